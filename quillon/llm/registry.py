@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, simhash
+from quillon.llm import bpe, linededup, mixing, simhash
 
-MODULES = (bpe, simhash)
+MODULES = (bpe, linededup, mixing, simhash)
 
 
 def queries() -> dict:
