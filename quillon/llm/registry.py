@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, linededup, mixing, simhash
+from quillon.llm import bpe, langid, linededup, mixing, simhash
 
-MODULES = (bpe, linededup, mixing, simhash)
+MODULES = (bpe, langid, linededup, mixing, simhash)
 
 
 def queries() -> dict:
