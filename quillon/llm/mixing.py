@@ -172,9 +172,14 @@ def mixed_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
-    """The mix itself, in the columns of df: a row for each row and pass that words are taken from; the text holds these words, with the white space before each."""
-    ranges = Mix(df, id_col, text_col, source_col, **parameters).ranges().select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("taken").alias("_taken"))
-    once = df.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, source_col, "_hash"]).drop("_hash")
+    """The mix itself, in the columns of df: a row for each row and pass that words are taken from; the text holds these words, with the white space before each.
+
+    Rows with the same id and text get the other columns of one of them.
+    """
+    plan = Mix(df, id_col, text_col, source_col, **parameters)
+    ranges = plan.ranges().select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("taken").alias("_taken"))
+    repeated = not plan.rows.groupBy("id", "text_hash").count().where("count > 1").isEmpty()
+    once = df.withColumn("_hash_of", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash_of"]).drop("_hash_of") if repeated else df
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.array_join(F.flatten(F.transform("_taken", lambda t: F.slice(words, (t["first"] + 1).cast("int"), t["words"].cast("int")))), "")
     joined = once.join(ranges, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")))

@@ -155,8 +155,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near-duplicates: of each component, the row with the smallest id. Of rows that share an id, one stays; rows with a null id go."""
-    kept = near_duplicates(df, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return df.dropDuplicates([id_col]).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    found = near_duplicates(df, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    kept = cut(found.groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")))
+    once = df.join(kept.where("_rows = 1"), F.col(id_col) == F.col("_kept"), "left_semi")
+    if kept.where("_rows > 1").isEmpty():
+        return once
+    return once.union(df.join(kept.where("_rows > 1"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col]))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
