@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, linededup, mixing, simhash
+from quillon.llm import bpe, langid, linededup, mixing, simhash, urlrules, vectordedup
 
-MODULES = (bpe, langid, linededup, mixing, simhash)
+MODULES = (vectordedup, simhash, bpe, linededup, urlrules, mixing, langid)
 
 
 def queries() -> dict:
