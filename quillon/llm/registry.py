@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, linededup, mixing, quality, simhash, toxicity, urlrules, vectordedup
+from quillon.llm import bpe, langid, linededup, mixing, quality, secretscan, simhash, toxicity, urlrules, vectordedup
 
-MODULES = (vectordedup, simhash, bpe, quality, linededup, urlrules, toxicity, mixing, langid)
+MODULES = (vectordedup, simhash, bpe, quality, linededup, urlrules, toxicity, secretscan, mixing, langid)
 
 
 def queries() -> dict:
