@@ -181,7 +181,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     repeated = not plan.rows.groupBy("id", "text_hash").count().where("count > 1").isEmpty()
     once = df.withColumn("_hash_of", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash_of"]).drop("_hash_of") if repeated else df
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.array_join(F.flatten(F.transform("_taken", lambda t: F.slice(words, (t["first"] + 1).cast("int"), t["words"].cast("int")))), "")
+    taken = lambda found: F.flatten(F.transform("_taken", lambda t: F.slice(found, (t["first"] + 1).cast("int"), t["words"].cast("int"))))
+    text = F.array_join(F.flatten(F.transform(F.array(words), taken)), "")  # the words are found once for each row, not for each range
     joined = once.join(ranges, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])
 
