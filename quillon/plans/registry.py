@@ -6,16 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
+from quillon.plans import metric_queries
 
-def _modules() -> list:
-    return []
+MODULES = (metric_queries,)
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {name: fn for module in _modules() for name, fn in module.QUERIES.items()}
+    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _modules() for name, sql in module.ORACLES.items()}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
