@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import metric_queries
+from quillon.plans import clean_queries, metric_queries
 
-MODULES = (metric_queries,)
+MODULES = (metric_queries, clean_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
