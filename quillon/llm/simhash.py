@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, small_batches, table
-from quillon.llm.components import components
+from quillon.operators.graph import components
 
 SHINGLE = 3
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, table
-from quillon.llm.components import components
+from quillon.operators.graph import components
 
 THRESHOLD = 0.98
 #: A label with more classes than this gets pivots, one for each so many.
