@@ -151,14 +151,15 @@ class Mix:
         """Per row of the input: id, size, source_size, target and taken, the words that the mix takes from it, repeats counted."""
         packed = cut(self.packed())
         times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
-        met = self.pieces(packed).join(times, ["src", "block"], "left")
+        met = self.pieces(packed).hint("merge").join(times, ["src", "block"], "left")
         sums = met.groupBy("src", "start", "id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
         empty = packed.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
         return sums.select("id", "size", "source_size", "target", "taken").union(empty)
 
     def ranges(self) -> DataFrame:
         """(id, text_hash, start, pass, taken): for each row and pass the (first, words) of what the mix takes, in the row's order."""
-        met = self.pieces(cut(self.packed())).join(self.slots(), ["src", "block"])
+        # Without the hint the slots, whose number can't be seen before they are laid out, would be broadcast.
+        met = self.pieces(cut(self.packed())).hint("merge").join(self.slots(), ["src", "block"])
         return met.groupBy("src", "start", "id", "text_hash", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("taken"))
 
 
