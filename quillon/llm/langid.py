@@ -109,7 +109,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """df and then lang_pred and score. A null text, and one without a letter, is "und" with score 0; with no model, every text is."""
+    """df and then lang_pred and score. A null text, and one without a letter, is "und" with score 0; with no model, every text is. Columns of df with these names are replaced."""
+    df = df.drop("lang_pred", "score")
     if model is None:
         return df.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     small_batches(df.sparkSession)

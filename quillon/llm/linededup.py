@@ -44,7 +44,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows and columns of df, text_col without the covered lines, and then n_lines (before) and n_removed.
 
     Rows that share an id count as one document and keep the same line numbers. Rows with a null id or text are left as they
-    are; a null text has zero lines, an empty one has one. Every row of df stays.
+    are; a null text has zero lines, an empty one has one. Every row of df stays; columns of df that are called n_lines or n_removed don't.
     """
     covered = repeats(df, id_col, text_col, span).select(F.col("id").alias("_of"), F.col("covered").alias("_covered"))
     lines = _lines(F.col(text_col))
@@ -52,7 +52,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     joined = df.join(covered, F.col(id_col) == F.col("_of"), "left")
     counted = joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in df.columns],
+        *[text.alias(c) if c == text_col else F.col(c) for c in df.columns if c not in ("n_lines", "n_removed")],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -95,11 +95,12 @@ def _gain(bad: int, good: int, all_bad: int, all_good: int) -> float:
 
 
 def _thresholds(labelled: DataFrame) -> dict[str, list[float]]:
-    """Quantiles of each feature, among the bad texts and among all."""
-    steps = F.array(*[F.lit((k + 1) / (BINS + 1)) for k in range(BINS)])
-    asked = [F.percentile_approx(x, steps, 10_000).alias(f"{name}:{f}") for f in FEATURES for name, x in (("all", F.col(f)), ("bad", F.when(F.col("bad"), F.col(f))))]
+    """The middles between neighbours among the quantiles, ends included, of each feature over the bad and over the good texts."""
+    steps = F.array(*[F.lit(k / BINS) for k in range(BINS + 1)])
+    asked = [F.percentile_approx(F.when(F.col("bad") == bad, F.col(f)), steps, 10_000).alias(f"{bad}:{f}") for f in FEATURES for bad in (True, False)]
     found = labelled.agg(*asked).first()
-    return {f: sorted({x for name in ("all", "bad") for x in (found[f"{name}:{f}"] or []) if x is not None}) for f in FEATURES}
+    values = {f: sorted({x for bad in (True, False) for x in found[f"{bad}:{f}"] or [] if x is not None}) for f in FEATURES}
+    return {f: [(a + b) / 2 for a, b in zip(x, x[1:])] for f, x in values.items()}
 
 
 def _bin(value: Column, thresholds: list[float]) -> Column:
