@@ -20,9 +20,10 @@ from quillon.llm.common import cut, small_batches, table
 BUCKETS, FACTORS = 1 << 18, 4
 #: Labelled texts to learn from, at most so many of each label; the bias makes up for their shares.
 SAMPLE = 6000
-#: A term counts if so many sampled texts have it and if its tie to the label is this strong (chi-squared).
-LEAST_TEXTS, LEAST_TIE = 3, 8.0
-ROUNDS, STEP, SHRINK, BATCH = 12, 0.2, 1e-4, 64
+#: A term counts if so many sampled texts have it and if its tie to the label is this strong (chi-squared), or if with another of the
+#: most frequent it makes a pair that is tied so much more strongly than either.
+LEAST_TEXTS, LEAST_TIE, FREQUENT, PAIR_TIE = 3, 8.0, 256, 30.0
+ROUNDS, STEP, SHRINK, BATCH = 12, 0.2, 1e-3, 64
 
 Model = tuple[float, np.ndarray, np.ndarray]
 
@@ -40,6 +41,28 @@ def raw_score(model: Model, ids: np.ndarray) -> float:
     return bias + float(weights[ids].sum()) + 0.5 * float(total @ total - (v * v).sum())
 
 
+def _tie(has: np.ndarray, has1: np.ndarray, n: int, n1: float) -> np.ndarray:
+    """Chi-squared of a feature, in `has` of n texts and `has1` of the n1 with label 1."""
+    has = has.astype(float)
+    return n * (n * has1 - has * n1) ** 2 / np.maximum(1.0, has * (n - has) * n1 * (n - n1))
+
+
+def _paired(rows: list[np.ndarray], y: np.ndarray, has: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Of the most frequent terms, those that tell in pairs what they don't tell alone."""
+    known = np.argsort(-has, kind="stable")[:FREQUENT]
+    known = known[has[known] > 0]
+    place = np.full(BUCKETS, -1)
+    place[known] = np.arange(len(known))
+    there = np.zeros((len(rows), len(known)), np.float32)
+    for i, r in enumerate(rows):
+        at = place[r]
+        there[i, at[at >= 0]] = 1
+    ties = _tie(there.T @ there, there[y == 1].T @ there[y == 1], len(y), float(y.sum()))
+    extra = ties - np.maximum(tie[known][:, None], tie[known][None, :])
+    np.fill_diagonal(extra, 0.0)
+    return known[(extra >= PAIR_TIE).any(axis=1)]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, positives: float, seed: int = 0) -> Model:
     """rows: hashed terms of each text; y: 0 or 1; positives: the share of label 1 among all labelled texts."""
     rng = np.random.default_rng(seed)
@@ -51,9 +74,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, positives: float, seed: int = 0)
     flat = np.concatenate(rows) if n else np.zeros(0, int)
     has = np.bincount(flat, minlength=BUCKETS)
     has1 = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), minlength=BUCKETS)
-    apart = has1 * n - has * n1
-    tie = n * (apart / n) ** 2 * n / np.maximum(1.0, has * (n - has) * n1 * (n - n1) / n)
+    tie = _tie(has, has1, n, n1)
     chosen = (has >= LEAST_TEXTS) & (tie >= LEAST_TIE)
+    chosen[_paired(rows, y, has, tie)] = True
     picked = [r[chosen[r]] for r in rows]
     vectors[chosen] = rng.normal(0, 0.05, (int(chosen.sum()), FACTORS))
     bias = float(np.log(n1 / (n - n1)))
