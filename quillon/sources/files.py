@@ -45,12 +45,13 @@ def epoch_of_name(name: Column) -> Column:
 
 
 def molecule_list(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(smiles): from lines of many shapes. Blank and header lines are skipped; of a line with commas the first of its first two cells that looks like a molecule, else the first word."""
-    s = F.trim(line)
-    cells = F.slice(F.transform(F.split(s, ","), F.trim), 1, 2)
-    looks = lambda x: x.rlike(r"^[A-Za-z0-9@+\-\[\]()=#/\\.%*]+$") & x.rlike(r"[BCNOPSFIbcnops]")
-    found = F.when(s.contains(","), F.get(F.filter(cells, looks), 0)).otherwise(F.get(F.split(s, r"\s+"), 0))
-    return lines.where((s != "") & ~F.lower(s).rlike(r"^(smiles|id|name|#)")).select(found.alias("smiles")).where("smiles IS NOT NULL")
+    """(smiles): from lines of many shapes. Blank and header lines are skipped; of a line with commas the first of its first two cells with a letter or a bond or bracket mark, else its first cell; of others the first word."""
+    s = F.btrim(line, F.lit(" \t\r\n\x0b\x0c"))
+    cells = F.transform(F.split(s, ","), F.trim)
+    looks = lambda x: x.rlike(r"[#\[\]=()@+\\/\-]|\p{L}")
+    of_cells = F.coalesce(F.get(F.filter(F.slice(cells, 1, 2), looks), 0), F.get(cells, 0))
+    found = F.when(s.contains(","), of_cells).otherwise(F.get(F.split(s, r"\s+"), 0))
+    return lines.where((s != "") & ~F.lower(s).rlike(r"^(smiles|chembl_id|id[,\t])")).select(found.alias("smiles")).where("smiles <> ''")
 
 
 def affinity_index(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -22,7 +22,7 @@ def test_texts(spark, tmp_path):
     lines = lambda text: S.numbered_lines(spark, put(tmp_path, "f", text))
     assert [(r.id, r.seq) for r in S.fasta(lines(">p1 d\nACD\nEFG\n>p2\nKLM\n"), ["file"]).orderBy("id").collect()] == [("p1", "ACDEFG"), ("p2", "KLM")]
     assert [(r.id, r.kind, r.nanomolar) for r in S.affinity_index(lines("# c\n1abc 2.0 1999 Kd=12.5uM\nshort\n")).collect()] == [("1abc", "KD", 12500.0)]
-    assert sorted(r.smiles for r in S.molecule_list(lines("smiles\nCCO\nCc1 name\nid_1!,CCN\n\n")).collect()) == ["CCN", "CCO", "Cc1"]
+    assert sorted(r.smiles for r in S.molecule_list(lines("smiles\nCCO\nCc1 name\n17,CCN\nid_1!,CCF\n5,6\nid,smiles\n\n")).collect()) == ["5", "CCN", "CCO", "Cc1", "id_1!"]
     atoms = S.structure_atoms(lines("MODEL        1\n" + ATOM + "ENDMDL\nMODEL        2\n" + ATOM), ["file"]).collect()
     assert [(a.chain, a.res_seq, a.x, a.z, a.element) for a in atoms] == [("A", 7, 11.104, -6.504, "C")]
     atoms = S.mmcif_atoms(lines(CIF), ["file"]).orderBy("res_seq").collect()
