@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quillon.plans.cut import cut, shared_folder
 
-__all__ = ["BATCH_ROWS", "WORD", "cut", "small_batches", "stored", "table"]
+__all__ = ["BATCH_ROWS", "WORD", "cut", "least_hashed", "small_batches", "stored", "table"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,3 +33,17 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds the texts that one Arrow batch holds; they may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def least_hashed(df: DataFrame, group: str, key: str, most: int, counts: dict) -> DataFrame:
+    """The rows of each group (a key of counts, with its number of rows) with the least hashes of the key: `most` of them, or all of a smaller group.
+
+    Hashes are uniform, so those below a bound that about twice as many rows pass hold the least ones; only they are ranked, and what one task
+    ranks doesn't grow with the group. Where a key is repeated very often, fewer rows than `most` may be found.
+    """
+    bounds = [(g, min(2**63 - 1, -(2**63) + 2**64 * (2 * most + 100) // n)) for g, n in counts.items()]
+    known = df.sparkSession.createDataFrame(bounds, f"`{group}` {df.schema[group].dataType.simpleString()}, _bound long")  # a row for each group
+    hashed = F.xxhash64(key)
+    near = df.join(F.broadcast(known), group).where(hashed <= F.col("_bound")).drop("_bound")
+    order = Window.partitionBy(group).orderBy(hashed, key)
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")

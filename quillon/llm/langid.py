@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, small_batches, table
+from quillon.llm.common import cut, least_hashed, small_batches, table
 from quillon.llm.linear import Grams, Sparse, svm
 
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
@@ -90,13 +90,13 @@ def features(df: DataFrame, text_col: str, label_col: str) -> tuple[np.ndarray,
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Learns from at most `sample` of the rows that have a language and a letter, the same number of each language at most, chosen by a hash of the id. None if there are none."""
     lettered = F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
-    languages = [r[0] for r in df.where(lettered).select(lang_col).distinct().orderBy(lang_col).limit(sample).collect()]
+    ids = cut(df.where(lettered).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")))
+    counts = {r["_lang"]: r["n"] for r in ids.groupBy("_lang").agg(F.count("*").alias("n")).orderBy("_lang").limit(sample).collect()}
+    languages = list(counts)
     if not languages:
         return None
     each = max(1, sample // len(languages))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = df.where(lettered).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    chosen = cut(ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).select("_id").distinct())  # `sample` rows at most
+    chosen = cut(least_hashed(ids, "_lang", "_id", each, counts).select("_id").distinct())  # `sample` rows at most
     rows = df.where(lettered).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").orderBy(F.xxhash64(id_col), id_col)
     labels, x = features(rows.select(text_col, lang_col), text_col, lang_col)
     groups, size = np.array([family(x) for x in labels]), Grams().size + 1

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, small_batches, table
+from quillon.llm.common import cut, least_hashed, small_batches, table
 
 #: Hashed terms, and the length of their vectors.
 BUCKETS, FACTORS = 1 << 18, 4
@@ -115,8 +115,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     there = df.select(F.col(id_col).alias("_id")).distinct()
     known = cut(said.join(there, "_id"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    ranked = known.withColumn("_rank", F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")))
-    chosen = cut(ranked.where(F.col("_rank") <= sample).select("_id", "_y"))  # twice `sample` rows at most
+    chosen = cut(least_hashed(known, "_y", "_id", sample, counts).select("_id", "_y"))  # twice `sample` rows at most
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", terms(F.col("_text")).alias("_terms"))
     found = rows.orderBy(F.xxhash64("_id"), "_id").limit(4 * sample).toPandas()  # the limit is above what there can be, but for repeated ids
     total = sum(counts.values())
