@@ -94,16 +94,21 @@ def _edges(spark, d):
     return li.select(F.col("l_suppkey").alias("src"), (10_000_000 + F.col("l_partkey")).alias("dst")).distinct()
 
 
-def symmetrize(spark, d):
-    return G.degree(G.symmetric(_edges(spark, d)))
+def _all_edges(spark, d):
+    """The whole graph: every pair of a supplier and a part in lineitem."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (10_000_000 + F.col("l_partkey")).alias("dst")).distinct()
 
 
-def self_loops(spark, d):
-    return G.with_loops(_edges(spark, d)).groupBy((F.col("src") == F.col("dst")).cast("int").alias("is_loop")).agg(F.count("*").alias("n"))
+def symmetrize(spark, d, edges=_edges):
+    return G.degree(G.symmetric(edges(spark, d)))
 
 
-def one_way_edges(spark, d):
-    half = G.symmetric(_edges(spark, d)).where("NOT (src > dst AND src % 3 = 0)")
+def self_loops(spark, d, edges=_edges):
+    return G.with_loops(edges(spark, d)).groupBy((F.col("src") == F.col("dst")).cast("int").alias("is_loop")).agg(F.count("*").alias("n"))
+
+
+def one_way_edges(spark, d, edges=_edges):
+    half = G.symmetric(edges(spark, d)).where("NOT (src > dst AND src % 3 = 0)")
     return G.one_way(half)
 
 
@@ -112,56 +117,68 @@ def undirected_bonds(spark, d):
     return G.undirected_max(li, ["mol"], "l_linenumber")
 
 
-def hop_edges(spark, d):
-    small = _edges(spark, d).where("src < 40")
-    return G.hops(small, 3).groupBy("src", "hop").agg(F.count("*").alias("n"))
+def _near(spark, d):
+    return _edges(spark, d).where("src < 40")
+
+
+def hop_edges(spark, d, edges=_near):
+    return G.hops(edges(spark, d), 3).groupBy("src", "hop").agg(F.count("*").alias("n"))
 
 
-def het_two_hop_code(spark, d):
-    small = _edges(spark, d).where("src < 40")
+def het_two_hop_code(spark, d, edges=_near):
+    small = edges(spark, d)
     kinds = small.select("src").union(small.select("dst")).distinct().withColumn("kind", F.col("src") % 3)
     return G.two_hop_code(small, kinds.withColumnRenamed("src", "node"), "node", "kind", {0: 1, 1: 3, 2: 9})
 
 
-def _values(spark, d):
-    e = _edges(spark, d)
+def _values(spark, d, edges):
+    e = edges(spark, d)
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
     return nodes.withColumn("x", (F.col("node") % 17).cast("double"))
 
 
-def neighbor_mean(spark, d):
-    return rounded(G.neighbor_mean(G.symmetric(_edges(spark, d)), _values(spark, d), "node", "x", 0.3).select("node", "smooth"), "smooth")
+def neighbor_mean(spark, d, edges=_edges):
+    return rounded(G.neighbor_mean(G.symmetric(edges(spark, d)), _values(spark, d, edges), "node", "x", 0.3).select("node", "smooth"), "smooth")
 
 
-def sgc_propagation(spark, d):
-    return rounded(G.propagate(G.symmetric(_edges(spark, d)), _values(spark, d), "node", "x", 2), "x")
+def sgc_propagation(spark, d, edges=_edges):
+    return rounded(G.propagate(G.symmetric(edges(spark, d)), _values(spark, d, edges), "node", "x", 2), "x")
 
 
-def subgraph(spark, d):
-    nodes = _values(spark, d).where("node % 5 < 3").select("node")
-    return G.subgraph(_edges(spark, d), nodes, "node")
+def subgraph(spark, d, edges=_edges):
+    nodes = _values(spark, d, edges).where("node % 5 < 3").select("node")
+    return G.subgraph(edges(spark, d), nodes, "node")
 
 
-def neighborhood(spark, d):
-    seeds = _values(spark, d).where("node < 2").select("node")
-    return G.neighborhood(G.symmetric(_edges(spark, d)), seeds, "node", 3).groupBy("distance").agg(F.count("*").alias("n"))
+def neighborhood(spark, d, edges=_edges):
+    seeds = _values(spark, d, edges).where("node < 2").select("node")
+    return G.neighborhood(G.symmetric(edges(spark, d)), seeds, "node", 3).groupBy("distance").agg(F.count("*").alias("n"))
 
 
-def min_cut(spark, d):
-    parts = _values(spark, d).select("node", (F.col("node") % 4).alias("part"))
-    return rounded(G.min_cut(G.symmetric(_edges(spark, d)), parts, "node", "part"), "min_cut")
+def min_cut(spark, d, edges=_edges):
+    parts = _values(spark, d, edges).select("node", (F.col("node") % 4).alias("part"))
+    return rounded(G.min_cut(G.symmetric(edges(spark, d)), parts, "node", "part"), "min_cut")
 
 
 def _thin(spark, d):
     return _edges(spark, d).where("(src + dst) % 4 = 0")
 
 
-def connected_components(spark, d):
-    return G.components(_thin(spark, d))
+def connected_components(spark, d, edges=_thin):
+    return G.components(edges(spark, d))
+
+
+def largest_component(spark, d, edges=_thin):
+    return G.largest_components(edges(spark, d), 3)
+
 
+def _whole(query):
+    """The same query over the whole graph."""
+    return lambda spark, d: query(spark, d, _all_edges)
 
-def largest_component(spark, d):
-    return G.largest_components(_thin(spark, d), 3)
+
+#: Each has, beside the query over a part of the graph, one of the name with _all over the whole.
+GRAPH = (symmetrize, self_loops, one_way_edges, hop_edges, het_two_hop_code, neighbor_mean, sgc_propagation, subgraph, neighborhood, min_cut, connected_components, largest_component)
 
 
 def _atoms(spark, d):
@@ -263,3 +280,15 @@ ORACLES = {
     "voronoi": f"WITH {_ATO}, {_GRID} SELECT i, j, vec_id AS cid FROM grid, ato WHERE vec_id < 6 QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY (x - gx) * (x - gx) + (y - gy) * (y - gy), vec_id) = 1",
     "percentile_zoom": f"WITH {_ATO}, b AS (SELECT quantile_cont(x, 0.05) AS xl, quantile_cont(x, 0.95) AS xh, quantile_cont(y, 0.05) AS yl, quantile_cont(y, 0.95) AS yh FROM ato) SELECT vec_id FROM ato, b WHERE x BETWEEN xl AND xh AND y BETWEEN yl AND yh",
 }
+
+QUERIES |= {f"{f.__name__}_all": _whole(f) for f in GRAPH}
+
+
+def _of_all(sql: str) -> str:
+    """The SQL without the filters of rows, ids and remainders on the edges."""
+    for cut in (" WHERE l_quantity = 50 AND l_linenumber <= 2", " WHERE src < 40", " WHERE (src + dst) % 4 = 0"):
+        sql = sql.replace(cut, "")
+    return sql
+
+
+ORACLES |= {f"{f.__name__}_all": _of_all(ORACLES[f.__name__]) for f in GRAPH}
