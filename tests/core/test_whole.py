@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from quillon.operators import losses as L
 from quillon.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -49,3 +51,23 @@ def test_hops_of_the_whole_graph(spark, pairs):
             if last:
                 wanted[n, hop] = len(last)
     assert {(r.src, r.hop): r.n for r in registry.queries()["hop_edges_all"](spark, DATA).collect()} == wanted
+
+
+def test_ranking_losses_over_all_events(spark):
+    users = spark.read.parquet(f"{DATA}/events.parquet").groupBy("user_id").count().where("count >= 2").collect()
+    found = registry.queries()["list_rank_loss_all"](spark, DATA).collect()
+    assert {r.user_id: r.n for r in found} == {r.user_id: r["count"] for r in users}
+
+
+@pytest.mark.parametrize("block", [7, 50_000])
+def test_pairs_of_a_hot_group_by_blocks(spark, block):
+    rng = np.random.default_rng(0)
+    rows = [(int(g > 0.9), float(s), float(t)) for g, s, t in zip(rng.random(300), rng.integers(0, 20, 300) / 20, rng.integers(0, 15, 300) / 10)]
+    df = spark.createDataFrame(rows + [(2, 0.5, 0.5), (2, 0.5, 0.55)] + rows[:20] + [(0, None, 0.1), (0, 0.3, None)], "g int, s double, t double")
+    wanted = {}
+    for g in (0, 1):
+        own = [(s, t) for k, s, t in rows + rows[:20] if k == g] + [(None, 0.1)] * (g == 0)
+        lost = [0.0 if None in (a[0], b[0]) else max(0.0, 0.05 - (a[0] - b[0])) for a in own for b in own if a[1] - b[1] > 0.1]
+        wanted[g] = (len(lost), pytest.approx(sum(lost) / len(lost)))
+    found = L.pairwise_rank_loss(df, "g", "s", "t", 0.1, 0.05, block).collect()
+    assert {r.g: (r.pairs, r.loss) for r in found} == wanted
