@@ -155,23 +155,34 @@ def split_threshold(n: float) -> float:
     return 0.05 if n >= 1e6 else 0.08 if n >= 2e5 else 0.12 if n >= 5e4 else 0.20
 
 
-def split_winner(center: np.ndarray, cs: np.ndarray, cooldown: np.ndarray, x: np.ndarray, cid: np.ndarray, seed: int = 0, least: int = 32, rest: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centres, counts and cooldowns after the largest centre, if too large, has shared its points with the smallest: both move half a deviation along the points' main axis."""
+def main_axis(second: np.ndarray, mean: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """The axis along which n points vary most, and their deviation along it, from the sums of their outer products and their mean; 0 where they are equal."""
+    values, axes = np.linalg.eigh(second / n - np.outer(mean, mean))
+    axis = axes[:, -1] * np.sign(axes[np.abs(axes[:, -1]).argmax(), -1])
+    return axis, float(np.sqrt(values[-1])) if values[-1] > 1e-14 * np.trace(second) / n else 0.0
+
+
+def winner_of(cs: np.ndarray, cooldown: np.ndarray) -> int:
+    """The place of the largest centre that doesn't rest."""
+    return int(np.where(cooldown <= 0, cs / max(cs.sum(), LEAST_COUNT), -1.0).argmax())
+
+
+def split_by_moments(center: np.ndarray, cs: np.ndarray, cooldown: np.ndarray, n: int, n_own: int, shift: np.ndarray, second: np.ndarray, seed: int = 0, least: int = 32, rest: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As split_winner, from the number of all points and, of the winner's, the number and the sums of what they are away from its centre and of the outer products of that."""
     center, cs, cooldown = center.copy(), cs.astype(float).copy(), cooldown.copy()
     total = cs.sum()
-    if len(cs) < 3 or len(x) < 200 or total <= 0:
+    if len(cs) < 3 or n < 200 or total <= 0:
         return center, cs, cooldown
-    p = np.where(cooldown <= 0, cs / total, -1.0)
-    winner = int(p.argmax())
-    own = x[cid == winner]
-    if p[winner] <= split_threshold(len(x)) or len(own) < least:
+    winner = winner_of(cs, cooldown)
+    share = cs[winner] / total if cooldown[winner] <= 0 else -1.0
+    if share <= split_threshold(n) or n_own < least:
         return center, cs, cooldown
     others = np.arange(len(cs)) != winner
     donor = int(np.where(others, cs, np.inf).argmin())
-    mean = own.mean(axis=0)
-    _, s, axes = np.linalg.svd(own - mean, full_matrices=False)
-    axis = axes[0] * np.sign(axes[0][np.abs(axes[0]).argmax()])
-    move = 0.5 * s[0] / np.sqrt(len(own)) * axis if s[0] > 0 else 1e-3 * np.random.default_rng(seed).normal(size=x.shape[1])
+    away = shift / n_own
+    axis, deviation = main_axis(second, away, n_own)
+    mean = center[winner] + away
+    move = 0.5 * deviation * axis if deviation > 0 else 1e-3 * np.random.default_rng(seed).normal(size=center.shape[1])
     center[winner], center[donor] = mean + move, mean - move
     center[[winner, donor]] /= np.maximum(np.linalg.norm(center[[winner, donor]], axis=1, keepdims=True), 1e-12)
     cs[[winner, donor]] = cs[winner] / 2
@@ -179,6 +190,12 @@ def split_winner(center: np.ndarray, cs: np.ndarray, cooldown: np.ndarray, x: np
     return center, cs, cooldown
 
 
+def split_winner(center: np.ndarray, cs: np.ndarray, cooldown: np.ndarray, x: np.ndarray, cid: np.ndarray, seed: int = 0, least: int = 32, rest: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, counts and cooldowns after the largest centre, if too large, has shared its points with the smallest: both move half a deviation along the points' main axis."""
+    away = x[cid == (winner := winner_of(cs, cooldown))] - center[winner]
+    return split_by_moments(center, cs, cooldown, len(x), len(away), away.sum(axis=0), away.T @ away, seed, least, rest)
+
+
 def revive(center: np.ndarray, cs: np.ndarray, ue: np.ndarray, x: np.ndarray, seed: int = 0, dead: float = 0.10, most: int = 512, fresh: float = 32.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dead centres start anew from points of the batch."""
     center, cs, ue = center.copy(), cs.astype(float).copy(), ue.astype(float).copy()
@@ -211,12 +228,47 @@ def per_key_seeds(points: DataFrame, key: str, row: str, vector: str, k: int, se
     return bounded.groupBy("key").applyInPandas(start, f"key {kind}, cid int, center array<double>").withColumnRenamed("key", key)
 
 
+def winner_moments(state: DataFrame, assigned: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, n_own, shift, second) of the winner's points of each key, over all of them: partial sums in every task, then one sum a key."""
+    ready = F.when(F.col("cooldown") <= 0, F.col("cs")).otherwise(-1e0)
+    winner = state.groupBy(F.col(key).alias("key")).agg(F.min(F.struct((-ready).alias("less"), "cid", "center")).alias("_w")).select("key", F.col("_w.cid").alias("_cid"), F.col("_w.center").alias("_center"))
+    own = assigned.select(F.col(key).alias("key"), "cid", F.col(vector).cast("array<double>").alias("v"))
+    away = own.join(winner, (own["key"] == winner["key"]) & (own["cid"] == winner["_cid"])).select(own["key"], F.zip_with("v", "_center", lambda x, c: x - c).alias("away"))
+    schema = f"key {state.schema[key].dataType.simpleString()}, n_own long, shift array<double>, second array<double>"
+
+    def partial(batches):
+        for batch in batches:
+            for name, rows in batch.groupby("key"):
+                x = np.stack(rows["away"].to_numpy())
+                yield pd.DataFrame({"key": [name], "n_own": [len(x)], "shift": [x.sum(axis=0)], "second": [(x.T @ x).ravel()]})
+
+    parts = away.mapInPandas(partial, schema)
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": rows["key"].iloc[:1], "n_own": [rows["n_own"].sum()], "shift": [np.sum(rows["shift"].to_list(), axis=0)], "second": [np.sum(rows["second"].to_list(), axis=0)]})
+
+    return salted.groupBy("key", "_salt").applyInPandas(total, schema).groupBy("key").applyInPandas(total, schema)
+
+
 def reshaped(state: DataFrame, assigned: DataFrame, key: str, vector: str, epoch: int, seed: int = 0, sample: int = 50_000) -> DataFrame:
-    """The state after splitting, reviving and pruning, in this order, key by key, with at most `sample` points of each key, chosen by a hash."""
+    """The state after splitting, reviving and pruning, in this order, key by key.
+
+    The split goes by all points of a key: their number, and the moments of the winner's. At most `sample` points of each key, chosen by a hash, are those
+    that dead centres may start anew from; only points whose hash is below a bound that about twice as many pass are ranked.
+    """
     p = assigned.select(F.col(key).alias("key"), F.lit(1).alias("kind"), "cid", F.col(vector).cast("array<double>").alias("v"))
+    sizes = cut(p.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("v")).alias("_least")))
+    moments = winner_moments(state, assigned, key, vector)
+    unit = (F.xxhash64("v") / F.lit(2.0**64)) + F.lit(0.5)
+    p = p.join(sizes, "key").where((unit <= 2.0 * sample / F.col("n")) | (F.xxhash64("v") == F.col("_least"))).drop("n", "_least")
     p = p.withColumn("_rn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("v"), "cid"))).where(F.col("_rn") <= sample).drop("_rn")
     nothing = [F.lit(0e0).alias("cs"), F.lit(0e0).alias("ue"), F.lit(0).alias("ever"), F.lit(0).alias("last_ep"), F.lit(0).alias("cooldown")]
+    unknown = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("n_own", "long"), ("shift", "array<double>"), ("second", "array<double>"))]
     s = state.select(F.col(key).alias("key"), F.lit(0).alias("kind"), "cid", F.col("center").alias("v"), "cs", "ue", "ever", "last_ep", "cooldown")
+    least = state.groupBy(F.col(key).alias("key")).agg(F.min("cid").alias("cid"))
+    totals = least.join(sizes.select("key", "n"), "key", "left").join(moments, "key", "left")
+    s = s.join(totals, ["key", "cid"], "left")  # one row of each key bears its totals
     kind = state.schema[key].dataType.simpleString()
     schema = f"key {kind}, cid int, center array<double>, cs double, ea array<double>, ue double, ever int, last_ep int, cooldown int"
 
@@ -228,11 +280,14 @@ def reshaped(state: DataFrame, assigned: DataFrame, key: str, vector: str, epoch
         center = np.stack(own["v"].to_numpy())
         x = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, center.shape[1]))
         cs, ue, cooldown, last = (own[c].to_numpy().copy() for c in ("cs", "ue", "cooldown", "last_ep"))
-        center, cs, cooldown = split_winner(center, cs, cooldown, x, batch["cid"].to_numpy(), seed)
+        of = own.iloc[0]
+        if pd.notna(of["n_own"]):
+            second = np.array(of["second"]).reshape(center.shape[1], center.shape[1])
+            center, cs, cooldown = split_by_moments(center, cs, cooldown, int(of["n"]), int(of["n_own"]), np.array(of["shift"]), second, seed)
         center, cs, ue = revive(center, cs, ue, x, seed)
         old = prune(last, epoch)
         center, cs_new, ue_new = revive(center, np.where(old, 0.0, cs), np.where(old, 0.0, ue), x, seed + 1)
         last = np.where(old & (cs_new > 0), epoch, last)
         return pd.DataFrame({"key": own["key"].iloc[0], "cid": own["cid"].to_numpy(), "center": list(center), "cs": cs_new, "ea": list(center * np.maximum(cs_new, LEAST_COUNT)[:, None]), "ue": ue_new, "ever": own["ever"].to_numpy(), "last_ep": last, "cooldown": cooldown})
 
-    return s.unionByName(p.select("*", *nothing)).groupBy("key").applyInPandas(step, schema).withColumnRenamed("key", key)
+    return s.unionByName(p.select("*", *nothing, *unknown)).groupBy("key").applyInPandas(step, schema).withColumnRenamed("key", key)

@@ -6,6 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from quillon.operators import codebook as V
 from quillon.operators import losses as L
 from quillon.plans import registry
 
@@ -71,3 +74,23 @@ def test_pairs_of_a_hot_group_by_blocks(spark, block):
         wanted[g] = (len(lost), pytest.approx(sum(lost) / len(lost)))
     found = L.pairwise_rank_loss(df, "g", "s", "t", 0.1, 0.05, block).collect()
     assert {r.g: (r.pairs, r.loss) for r in found} == wanted
+
+
+def test_reshaping_goes_by_all_points_of_a_key(spark):
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal([3, 0, 0], [0.1, 0.8, 0.1], (140, 3)), rng.normal([0, 3, 0], 0.1, (860, 3))])
+    cid = [int(i >= 140) for i in range(1000)]
+    points = spark.createDataFrame([(1, c, v.tolist()) for c, v in zip(cid, x)], "k int, cid int, v array<double>").repartition(3)
+    cs, rests = [140.0, 860.0, 1.0], [0, 5, 5]
+    state = spark.createDataFrame([(1, i, np.eye(3)[i].tolist(), cs[i], np.eye(3)[i].tolist(), 1.0, 1, 3, rests[i]) for i in range(3)], "k int, cid int, center array<double>, cs double, ea array<double>, ue double, ever int, last_ep int, cooldown int")
+    center, want, rest = V.split_winner(np.eye(3), np.array(cs), np.array(rests), np.vstack([x] * 60), np.array(cid * 60))
+    assert want.tolist() == [70, 860, 70]  # 0.14 of the points, above 0.12 from 50000 points on
+    many = points.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("_")
+    got = V.reshaped(state, many, "k", "v", 3, sample=500).orderBy("cid").collect()
+    assert [r.cs for r in got] == want.tolist() and [r.cooldown for r in got] == rest.tolist()
+    assert np.allclose([r.center for r in got], center)
+    own = x[:140] - x[:140].mean(axis=0)
+    _, s, axes = np.linalg.svd(own, full_matrices=False)
+    axis = axes[0] * np.sign(axes[0][np.abs(axes[0]).argmax()])
+    split = x[:140].mean(axis=0) + 0.5 * s[0] / np.sqrt(140) * axis
+    assert np.allclose(center[0], split / np.linalg.norm(split))
