@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.joins import square_distance
+from quillon.plans.cut import cut
 
 
 def contact_mask(residues: DataFrame, contacts: DataFrame, group: str, residue: str) -> DataFrame:
@@ -31,14 +32,32 @@ def chain_ranking(residues: DataFrame, ligand: DataFrame, xyz: tuple[str, str, s
     return stats.withColumn("place", place.cast("long"))
 
 
-def pair_quantiles(points: DataFrame, group: str, row: str, vector: str, at: tuple[float, ...], sample: int | None = 4096) -> DataFrame:
-    """(group, pairs, q<percent> ...): quantiles of the distances of all pairs in a group, of at most `sample` points of it (chosen by a hash)."""
-    p = points.select(group, F.col(row).alias("i"), F.col(vector).alias("v"))
+def pair_quantiles(points: DataFrame, group: str, row: str, vector: str, at: tuple[float, ...], sample: int | None = None, block: int = 2048, bins: int = 65536) -> DataFrame:
+    """(group, pairs, q<percent> ...): quantiles of the distances of all pairs in a group, exact; with `sample`, of at most so many points of it (chosen by a hash).
+
+    Points are dealt into blocks by a hash and every two blocks meet, so that a large group is spread. Distances are counted by bins first; only those in
+    the bins that hold a quantile's two neighbours are gathered and sorted, in a second pass.
+    """
+    p = points.select(F.col(group).alias("g"), F.col(row).alias("i"), F.col(vector).alias("v")).where("g IS NOT NULL AND i IS NOT NULL")
     if sample is not None:
-        p = p.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("i"), "i"))).where(F.col("_rn") <= sample).drop("_rn")
-    q = p.select(group, F.col("i").alias("j"), F.col("v").alias("w"))
-    d = p.join(q, group).where("i < j").select(group, F.sqrt(square_distance(F.col("v"), F.col("w"))).alias("d"))
-    return d.groupBy(group).agg(F.count("*").alias("pairs"), *[F.percentile("d", F.lit(x)).alias(f"q{round(100 * x)}") for x in at])
+        p = p.withColumn("_rn", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("i"), "i"))).where(F.col("_rn") <= sample).drop("_rn")
+    length = F.sqrt(F.aggregate("v", F.lit(0e0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    sizes = p.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_k"), (2e0 * F.max(length)).alias("_most"))
+    dealt = p.join(sizes, "g").withColumn("_own", F.pmod(F.xxhash64("i"), F.col("_k")).cast("int"))
+    a = dealt.select("g", "i", "v", "_most", F.col("_own").alias("a"), F.explode(F.sequence("_own", F.col("_k") - 1)).alias("b"))
+    z = dealt.select("g", F.col("i").alias("j"), F.col("v").alias("w"), F.col("_own").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("a"))
+    d = a.join(z, ["g", "a", "b"]).where("a < b OR i < j").select("g", "_most", F.sqrt(square_distance(F.col("v"), F.col("w"))).alias("d"))
+    d = d.select("g", "d", F.when(F.col("_most") > 0, F.least(F.lit(bins), F.floor(F.col("d") / F.col("_most") * bins).cast("int"))).otherwise(0).alias("bin"))
+    counts = d.groupBy("g", "bin").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("g")  # over the bins of a group
+    held = cut(counts.select("g", "bin", "n", F.sum("n").over(of).alias("pairs"), (F.sum("n").over(of.orderBy("bin")) - F.col("n")).alias("before")))
+    rank = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(x)) * (F.col("pairs") - 1)).alias("at")) for k, x in enumerate(at)])).alias("_r")
+    sides = F.explode(F.array(F.floor("_r.at"), F.ceil("_r.at"))).alias("place")
+    asked = held.select("*", rank).select("g", "bin", "before", "n", "pairs", "_r.k", "_r.at", sides).where("place >= before AND place < before + n").distinct()
+    near = d.join(F.broadcast(asked.select("g", "bin").distinct()), ["g", "bin"]).groupBy("g", "bin").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+    found = asked.join(near, ["g", "bin"]).select("g", "pairs", "k", "at", "place", F.get("ds", (F.col("place") - F.col("before")).cast("int")).alias("d"))
+    each = found.groupBy("g", "k").agg(F.max("pairs").alias("pairs"), (F.min("d") + (F.max("at") - F.floor(F.max("at"))) * (F.max("d") - F.min("d"))).alias("q"))
+    return each.groupBy(F.col("g").alias(group)).agg(F.max("pairs").alias("pairs"), *[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{round(100 * x)}") for k, x in enumerate(at)])
 
 
 def _grid(df: DataFrame, low: float, high: float, size: int) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import codebook as V
+from quillon.operators import geometry as Y
 from quillon.operators import losses as L
 from quillon.plans import registry
 
@@ -94,3 +95,13 @@ def test_reshaping_goes_by_all_points_of_a_key(spark):
     axis = axes[0] * np.sign(axes[0][np.abs(axes[0]).argmax()])
     split = x[:140].mean(axis=0) + 0.5 * s[0] / np.sqrt(140) * axis
     assert np.allclose(center[0], split / np.linalg.norm(split))
+
+
+def test_quantiles_of_all_pairs_of_a_large_group(spark):
+    x = np.random.default_rng(2).normal(size=4200)
+    rows = [(0, i, [float(v)]) for i, v in enumerate(x)] + [(1, i, [float(i * i)]) for i in range(3)] + [(2, 0, [1.0]), (2, 1, [1.0])]
+    got = {r.g: r for r in Y.pair_quantiles(spark.createDataFrame(rows, "g int, i int, v array<double>"), "g", "i", "v", (0.1, 0.75)).collect()}
+    d = np.abs(x[:, None] - x)[np.triu_indices(4200, 1)]
+    assert got[0].pairs == len(d) and [got[0].q10, got[0].q75] == pytest.approx(np.quantile(d, [0.1, 0.75]).tolist())
+    assert [got[1].pairs, got[1].q10, got[1].q75] == [3, pytest.approx(1.4), pytest.approx(3.5)]
+    assert [got[2].pairs, got[2].q10, got[2].q75] == [1, 0, 0]
