@@ -105,3 +105,8 @@ def test_quantiles_of_all_pairs_of_a_large_group(spark):
     assert got[0].pairs == len(d) and [got[0].q10, got[0].q75] == pytest.approx(np.quantile(d, [0.1, 0.75]).tolist())
     assert [got[1].pairs, got[1].q10, got[1].q75] == [3, pytest.approx(1.4), pytest.approx(3.5)]
     assert [got[2].pairs, got[2].q10, got[2].q75] == [1, 0, 0]
+
+
+def test_matrix_expansion_has_every_cell(spark):
+    cells = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.sum(F.size("embedding"))).first()[0]
+    assert registry.queries()["matrix_expansion_all"](spark, DATA).count() == cells
