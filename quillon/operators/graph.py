@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.cut import cut
+from quillon.plans.cut import cut, drop_stored, new_path, stored
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -125,17 +125,18 @@ def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataF
     """(node, component) for every node of an edge; component is the least node reachable.
 
     Large-star and small-star steps (Kiveris et al., 2014) alternate until nothing changes. Null ends and loops are left out. Rounds grow with the logarithm of the
-    longest chain; every round is checkpointed, and only a count and a checksum of the edges come to the driver.
+    longest chain; every round is a table in the shared folder, which the next but one replaces, and only a count and a checksum of the edges come to the driver.
     """
-    a, b = F.col(left), F.col(right)
-    now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = None
+    spark, a, b = edges.sparkSession, F.col(left), F.col(right)
+    path, seen = new_path(spark), None
+    now = stored(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), path)
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
-        now = cut(_small_star(_large_star(now)))
+        seen, old, path = mark, path, new_path(spark)
+        now = stored(_small_star(_large_star(now)), path)
+        drop_stored(spark, old)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 

@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where it names none, as in local tests, a temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where it names none, a temporary one on a local master, as in tests; elsewhere an error, as executors
+    share no local folder."""
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once, into the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new name of a table in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again."""
+    path = path or new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Deletes a table of new_path that nothing needs any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
