@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import small_batches, table
+from quillon.llm.common import table
 
 #: Entries of a worker's caches of pretokens, windows and token pairs; a full cache is emptied.
 CACHE = 300_000
@@ -209,7 +209,6 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     No special tokens. Null and empty texts have no ids and decode to no bytes; every row of the input gives one row, repeated rows and
     null ids of documents too; other columns are left out.
     """
-    small_batches(df.sparkSession)
     texts = df.select(F.col(id_col), F.col(text_col).alias("_text"))
     encoded = texts.select(F.col(id_col), encode_column(texts, "_text", path, pattern).alias("ids"))
     return encoded.withColumn("decoded", decode_column(encoded, "ids", path))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.plans.cut import cut, shared_folder
+from quillon.plans.cut import cut, drop_stored, new_path, stored
 
-__all__ = ["BATCH_ROWS", "WORD", "cut", "least_hashed", "small_batches", "stored", "table"]
+__all__ = ["WORD", "cut", "drop_stored", "join_hot", "new_path", "sampled", "stored", "table"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of whole texts that go to a Python worker at once.
-BATCH_ROWS = 1000
+#: A key with more than this part of the rows is hot; there are fewer of them than this, so that they may be broadcast.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,28 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the texts that one Arrow batch holds; they may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sampled(units: DataFrame, group: str, keys: list[str], most: int, groups: int = 10_000) -> DataFrame:
+    """At most `most` rows of each group, chosen by a hash of the keys; all of a smaller group. units has one row for each group and keys.
 
-
-def least_hashed(df: DataFrame, group: str, key: str, most: int, counts: dict) -> DataFrame:
-    """The rows of each group (a key of counts, with its number of rows) with the least hashes of the key: `most` of them, or all of a smaller group.
-
-    Hashes are uniform, so those below a bound that about twice as many rows pass hold the least ones; only they are ranked, and what one task
-    ranks doesn't grow with the group. Where a key is repeated very often, fewer rows than `most` may be found.
+    Hashes are uniform, so a bound on them that a little fewer rows than `most` are expected to pass takes the place of a ranking: no task sorts a group. Should more
+    pass, the bound is lowered. Of more than `groups` groups, the first in order are meant.
+    """
+    counts = {r[0]: r[1] for r in units.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).limit(groups).collect()}
+    shares = {g: 1.0 if n <= most else max(1.0, most - 4 * most**0.5) / n for g, n in counts.items()}
+    unit = F.xxhash64(*keys) / F.lit(2.0**64) + F.lit(0.5)
+    if not counts:
+        return units.limit(0)
+    while True:
+        bounds = units.sparkSession.createDataFrame(list(shares.items()), f"`{group}` {units.schema[group].dataType.simpleString()}, _bound double")  # a row for each group
+        chosen = units.join(F.broadcast(bounds), group).where((F.col("_bound") >= 1) | (unit < F.col("_bound"))).drop("_bound")
+        above = [r[0] for r in chosen.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()]
+        if not above:
+            return chosen
+        shares |= {g: 0.9 * shares[g] for g in above}
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has one row for each of the keys and says in column n how many of the rows it has.
+
+    Keys with more than a HOT-th of the rows, fewer than HOT by that, are broadcast, so that no task gets all rows of one; the others meet by shuffle.
     """
-    bounds = [(g, min(2**63 - 1, -(2**63) + 2**64 * (2 * most + 100) // n)) for g, n in counts.items()]
-    known = df.sparkSession.createDataFrame(bounds, f"`{group}` {df.schema[group].dataType.simpleString()}, _bound long")  # a row for each group
-    hashed = F.xxhash64(key)
-    near = df.join(F.broadcast(known), group).where(hashed <= F.col("_bound")).drop("_bound")
-    order = Window.partitionBy(group).orderBy(hashed, key)
-    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(keyed.where(F.col(n) * HOT > total).drop(n))
+    rest = keyed.where(F.col(n) * HOT <= total).drop(n)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys, how), allowMissingColumns=True)

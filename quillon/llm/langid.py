@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, least_hashed, small_batches, table
+from quillon.llm.common import cut, sampled, table
 from quillon.llm.linear import Grams, Sparse, svm
 
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
@@ -88,16 +88,18 @@ def features(df: DataFrame, text_col: str, label_col: str) -> tuple[np.ndarray,
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Learns from at most `sample` of the rows that have a language and a letter, the same number of each language at most, chosen by a hash of the id. None if there are none."""
+    """Learns from at most `sample` of the rows that have a language and a letter, the same number of each language at most, chosen by a hash of the id and the text; equal
+    rows are one. None if there are none."""
     lettered = F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
-    ids = cut(df.where(lettered).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")))
-    counts = {r["_lang"]: r["n"] for r in ids.groupBy("_lang").agg(F.count("*").alias("n")).orderBy("_lang").limit(sample).collect()}
-    languages = list(counts)
+    hashed = F.xxhash64(text_col)
+    units = cut(df.where(lettered).select(F.col(id_col).alias("_id"), hashed.alias("_txt"), F.col(lang_col).alias("_lang")).distinct())
+    languages = [r["_lang"] for r in units.groupBy("_lang").agg(F.count("*").alias("n")).orderBy("_lang").limit(sample).collect()]
     if not languages:
         return None
-    each = max(1, sample // len(languages))
-    chosen = cut(least_hashed(ids, "_lang", "_id", each, counts).select("_id").distinct())  # `sample` rows at most
-    rows = df.where(lettered).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").orderBy(F.xxhash64(id_col), id_col)
+    chosen = cut(sampled(units, "_lang", ["_id", "_txt"], max(1, sample // len(languages)), sample))  # `sample` rows at most
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (hashed == F.col("_txt")) & (F.col(lang_col) == F.col("_lang"))
+    found = df.where(lettered).join(F.broadcast(chosen), same).dropDuplicates(["_id", "_txt", "_lang"])
+    rows = found.orderBy("_txt", "_id", "_lang")
     labels, x = features(rows.select(text_col, lang_col), text_col, lang_col)
     groups, size = np.array([family(x) for x in labels]), Grams().size + 1
     machines = [svm(x, np.where(groups == f, 1.0, -1.0), size) if len(set(groups)) > 1 else np.zeros(size) for f in sorted(set(groups))]
@@ -113,7 +115,6 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text") -> Data
     df = df.drop("lang_pred", "score")
     if model is None:
         return df.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))  # its size is fixed by the languages and features
 
     @F.pandas_udf("lang string, score double")

@@ -48,33 +48,28 @@ class Grams:
         self.mask, self.half = (1 << bits) - 1, 1 << bits
         self.size = 2 * self.half
 
-    def codes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Of each position of the text, between blanks: its two-byte and its three-byte feature."""
-        folded = _FOLD[np.frombuffer(b" " + data + b"  ", np.uint8)]
-        keep = np.ones(len(folded), bool)
-        keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32)
-        f = folded[keep]
-        if len(f) < 3:
-            f = np.full(3, 32)
-        two = (f[:-2] * 31 + f[1:-1] * 1009) & self.mask
-        three = ((f[:-2] * 7919 + f[1:-1] * 104729 + f[2:] * 1299709) >> 3) & self.mask
-        return two, three + self.half
-
-    def pieces(self, data: bytes) -> Iterator[bytes]:
-        """The text in stretches that bound memory, cut at blanks where there are any; no word is read in parts, unless it is a stretch of its own."""
-        start = 0
-        while start < len(data):
-            stop = min(len(data), start + CHUNK)
-            if stop < len(data) and (blank := data.rfind(b" ", start + 1, stop)) > 0:
-                stop = blank
-            yield data[start:stop]
-            start = stop
+    def codes(self, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For stretches of the text, which bound memory: of each position, between blanks, its two-byte and its three-byte feature.
+
+        The last two bytes of a stretch begin the next, so that the features are those of the whole text wherever it is cut.
+        """
+        kept = np.full(1, 32)
+        for start in range(0, len(data) + 1, CHUNK):
+            piece = _FOLD[np.frombuffer(data[start : start + CHUNK] + (b"  " if start + CHUNK > len(data) else b""), np.uint8)]
+            f = np.concatenate([kept, piece])
+            keep = np.ones(len(f), bool)
+            keep[1:] = (f[1:] != 32) | (f[:-1] != 32)
+            f = f[keep]
+            if len(f) >= 3:
+                two = (f[:-2] * 31 + f[1:-1] * 1009) & self.mask
+                three = ((f[:-2] * 7919 + f[1:-1] * 104729 + f[2:] * 1299709) >> 3) & self.mask
+                yield two, three + self.half
+            kept = f[-2:]
 
     def vector(self, data: bytes) -> np.ndarray:
         """Frequencies of the features in a whole text."""
         counts, n = np.zeros(self.size), 0
-        for piece in self.pieces(data):
-            two, three = self.codes(piece)
+        for two, three in self.codes(data):
             counts += np.bincount(two, minlength=self.size) + np.bincount(three, minlength=self.size)
             n += len(two)
         return counts / max(1, n)
@@ -82,8 +77,7 @@ class Grams:
     def margins(self, data: bytes, weights: np.ndarray) -> np.ndarray:
         """weights (features by classifiers) times the frequencies."""
         total, n = np.zeros(weights.shape[1]), 0
-        for piece in self.pieces(data):
-            two, three = self.codes(piece)
+        for two, three in self.codes(data):
             total += (np.take(weights, two, axis=0) + np.take(weights, three, axis=0)).sum(axis=0, dtype=np.float64)
             n += len(two)
         return total / max(1, n)

@@ -2,14 +2,17 @@
 
 A text's tokens are runs of secret-like characters (letters, digits, + / _ . = -) and single other marks. Each is tagged begin, inside or outside of
 a secret from its own shape, the words on either side and features of the whole file. The field is fitted, by its exact gradient, to windows of
-tokens of a bounded sample of texts, with what the patterns find as labels; the pattern's keyword itself is outside. Decoding is by
+tokens of a bounded sample of texts: stretches with what the patterns find, the pattern's keyword itself being outside; the same places with other keywords and secrets of
+other shapes, which no pattern knows; and stretches of clean text, some with planted addresses, paths, numbers and names that only look like secrets. Decoding is by
 Viterbi. A token whose score for outside leads by more than any transitions can make up is outside in the best tagging, so that only the stretches
-between such tokens are decoded; the result is that of the whole text.
+between such tokens are decoded. Long texts are read in pieces that overlap by the neighbours that features see; the result is that of the whole text.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, small_batches, table
+from quillon.llm.common import cut, sampled, table
 
 #: The patterns by kind, the group that is the secret, and the least characters of it.
 PATTERNS = (
@@ -34,13 +37,13 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Slots of features, and hashed values of each.
 SLOTS, VALUES = 8, 4096
-#: Texts to learn from at most, those with labels and those without; tokens of a window; windows of one text at most.
-SAMPLE, WINDOW, WINDOWS = 1500, 24, 8
+#: Texts to learn from at most, those with labels and those without; windows of each kind that are learned from at most; tokens of a window.
+SAMPLE, WINDOWS, WINDOW = 1500, 3000, 24
 ROUNDS, STEP, SHRINK, BATCH = 6, 0.2, 1e-3, 256
-#: Bytes of a text whose tokens are in memory at once; longer texts are cut at white space.
+#: Bytes of a text whose tokens are in memory at once; longer texts are cut at white space, and a longer run without any is a piece of its own.
 CHUNK = 1 << 20
-#: A tagged token is a secret of its own only if it has so many characters.
-LEAST = 12
+#: Kinds of windows: clean text, what the patterns find, planted secrets, planted others.
+CLEAN, FOUND, SECRET, OTHER = range(4)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -86,8 +89,7 @@ class Tokens:
         hexes = count(_HEX[b])
         turns = count(np.concatenate([[False], c[1:] != c[:-1]]) & (c > 0))
         length = filled
-        weight = np.ones(len(b), np.int64)
-        place = np.arange(len(b)) - np.repeat(self.start, np.diff(np.append(self.start, len(b)))) if self.start[0] == 0 else np.arange(len(b)) - np.concatenate([np.zeros(self.start[0], np.int64), np.repeat(self.start, np.diff(np.append(self.start, len(b))))])
+        place = np.arange(len(b)) - self.start[np.maximum(0, np.cumsum(starts) - 1)]
         weight = (place * 2654435761 + 97) & 0xFFFF
         word = np.add.reduceat(np.where(c > 0, (_LOWER[b] + 1) * (weight | 1), 0), self.start)
         word = (word ^ (word >> 11)) & (VALUES - 1)
@@ -132,16 +134,25 @@ def file_features(data: bytes) -> int:
     return size * 8 + min(7, 64 * digits // max(1, len(data)))
 
 
-def pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(first byte, bytes) of stretches that bound memory, cut at white space where there is any."""
-    start = 0
+BLANK, FILLED = re.compile(rb"[\t-\r ]"), re.compile(rb"[^\t-\r ]")
+
+
+def featured(data: bytes, file: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, first bytes, bytes after the last) of all tokens of a text, piece by piece. A piece is read with the two tokens before it and one after."""
+    start = seen = 0
     while start < len(data):
         stop = min(len(data), start + CHUNK)
         if stop < len(data):
-            cut_at = max(data.rfind(b" ", start + 1, stop), data.rfind(b"\n", start + 1, stop))
-            stop = cut_at if cut_at > 0 else stop
-        yield start, data[start:stop]
-        start = stop
+            blank = max(data.rfind(c, start + 1, stop) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            stop = blank if blank > 0 else m.start() if (m := BLANK.search(data, stop)) else len(data)
+        after = m.start() if (m := FILLED.search(data, stop)) else len(data)
+        until = m.start() if (m := BLANK.search(data, after)) else len(data)
+        tokens = Tokens(data[seen:until], file)
+        at = tokens.start + seen
+        own = (at >= start) & (at < stop)
+        yield tokens.features[own], at[own], tokens.end[own] + seen
+        before = at[at < stop]
+        seen, start = int(before[-2:][0]) if len(before) else stop, stop
 
 
 Field = tuple[np.ndarray, np.ndarray]
@@ -168,60 +179,178 @@ def viterbi(emit: np.ndarray, moves: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def lead(moves: np.ndarray) -> float:
-    """By how much transitions can favour a tag over outside, whatever stands on either side."""
-    return max(float(moves[a, x] + moves[x, b] - moves[a, OUT] - moves[OUT, b]) for a in range(3) for b in range(3) for x in (BEGIN, INSIDE))
+def stretches(emit: np.ndarray, moves: np.ndarray) -> list[tuple[int, int]]:
+    """(first, after the last) of the stretches outside of which every token is outside in the best tagging.
+
+    What a token adds to a secret is at most h, its lead over outside with the best move into it. A secret that adds anything at all holds a token with h >= 0, but for
+    what its end may add. Within it, tokens whose h come to less than -split are better outside, whatever the moves at both sides of the gap.
+    """
+    stay, inner = moves[OUT, OUT], (BEGIN, INSIDE)
+    step = moves[:, inner].max() - stay
+    ending = max(0.0, max(moves[x, OUT] for x in inner) - stay)
+    split = max(0.0, max(moves[z, y] - moves[OUT, y] for z in inner for y in inner)) + max(0.0, max(stay - moves[x, OUT] for x in inner)) + 1e-3
+    h = emit[:, 1:].max(axis=1) - emit[:, OUT] + step
+    found: list[tuple[int, int]] = []
+    for seed in np.nonzero(h + ending >= -1e-3)[0].tolist():
+        done = found[-1][1] if found else 0
+        low, left = seed, 0.0
+        while low > done and (left := left + float(h[low - 1])) >= -split:
+            low -= 1
+        high, left = seed + 1, 0.0
+        while high < len(h) and (left := left + float(h[high])) >= -split and (high <= done or h[high] + ending < -1e-3):
+            high += 1
+        high = max(high, done)
+        if found and low <= done:
+            found[-1] = (found[-1][0], high)
+        else:
+            found.append((low, high))
+    return found
 
 
 def tagged(data: bytes, field: Field) -> list[tuple[int, int]]:
     """Byte spans of the secrets that the field finds in a whole text."""
     weights, moves = field
-    bound, file, found = lead(moves), file_features(data), []
-    for offset, piece in pieces(data):
-        tokens = Tokens(piece, file)
-        if not len(tokens.start):
-            continue
-        emit = scores(tokens.features, weights)
-        open_at = np.nonzero(emit[:, OUT] - emit[:, 1:].max(axis=1) <= bound)[0]
-        for run in np.split(open_at, np.nonzero(np.diff(open_at) > 1)[0] + 1) if len(open_at) else []:
-            tags = viterbi(emit[run[0] : run[-1] + 1], moves)
-            at = 0
-            while at < len(tags):
-                if tags[at] == OUT:
-                    at += 1
-                    continue
-                stop = at + 1
+    parts = [(start, end, scores(features, weights)) for features, start, end in featured(data, file_features(data))]
+    if not parts:
+        return []
+    start, end, emit = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found = []
+    for low, high in stretches(emit, moves):
+        tags = viterbi(emit[low:high], moves)
+        k = 0
+        while k < len(tags):
+            stop = k + 1
+            if tags[k] != OUT:
                 while stop < len(tags) and tags[stop] == INSIDE:
                     stop += 1
-                first, last = int(tokens.start[run[0] + at]), int(tokens.end[run[0] + stop - 1])
-                if last - first >= LEAST:
-                    found.append((offset + first, offset + last))
-                at = stop
+                found.append((int(start[low + k]), int(end[low + stop - 1])))
+            k = stop
     return found
 
 
-def windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, tags) of some stretches of a text: around what the patterns find, and one more."""
+def bytes_of(text: str, data: bytes, places: list[int]) -> list[int]:
+    """The byte that each code point, in rising order, begins at."""
+    if len(text) == len(data):
+        return places
+    out, at, byte = [], 0, 0
+    for p in places:
+        byte += len(text[at:p].encode("utf-8", "surrogatepass"))
+        at = p
+        out.append(byte)
+    return out
+
+
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Words before a planted secret, with and without a mark between.
+INTROS = ("", "", "", "pwd", "auth", "credential", "bearer", "access key", "private_key", "passphrase", "login", "cert", "key", "sig", "hash of the account", "Authorization")
+MARKS = (" ", ": ", " = ", "=", " is ", ":", " -> ", '="', ": '", " `")
+
+
+def secret_of(rng: random.Random) -> str:
+    """A made-up secret: digests, encoded bytes, prefixed keys, signed tokens, passwords with marks."""
+    pick = lambda chars, low, high: "".join(rng.choice(chars) for _ in range(rng.randint(low, high)))
+    mixed = LETTERS + LETTERS.upper() + DIGITS
+    kind = rng.randrange(7)
+    if kind == 0:
+        return pick(mixed + "+/", 20, 64) + "=" * rng.randrange(3)
+    if kind == 1:
+        return pick(mixed + "_-", 20, 64)
+    if kind == 2:
+        return pick(LETTERS, 2, 5) + rng.choice("_-") + pick(mixed, 16, 40)
+    if kind == 3:
+        return pick("0123456789ABCDEF", 24, 64)
+    if kind == 4:
+        return ".".join(pick(mixed + "_-", 12, 40) for _ in range(3))
+    if kind == 5:
+        return pick(LETTERS + DIGITS, 20, 48)
+    return pick(mixed, 4, 8) + rng.choice("!@#$%&*") + pick(mixed, 3, 8)
+
+
+def other_of(rng: random.Random) -> str:
+    """What only looks like one: addresses, paths, numbers, dates, versions, names."""
+    word = lambda low=3, high=9: "".join(rng.choice(LETTERS) for _ in range(rng.randint(low, high)))
+    number = lambda n: "".join(rng.choice(DIGITS) for _ in range(n))
+    return rng.choice(
+        [
+            lambda: f"{word()}.{number(2)}@{word()}{number(1)}.{word()}.com",
+            lambda: f"https://www.{word()}.org/{word()}/{word()}-{word()}-{number(4)}.html",
+            lambda: f"/usr/{word()}/{word()}_{word()}/{word()}{number(2)}.{word(1, 3)}",
+            lambda: number(rng.randint(6, 20)),
+            lambda: f"+{number(2)}-{number(3)}-{number(7)}",
+            lambda: f"20{number(2)}-0{number(1)}-1{number(1)}",
+            lambda: f"v{number(1)}.{number(2)}.{number(1)}-{word()}",
+            lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 5))),
+            lambda: "_".join(word() for _ in range(rng.randint(2, 5))),
+            lambda: "-".join(word() for _ in range(rng.randint(2, 4))),
+            lambda: word(14, 30),
+            lambda: word(6, 20).upper(),
+        ]
+    )()
+
+
+Window = tuple[int, np.ndarray, np.ndarray]
+
+
+def _cut(kind: int, features: np.ndarray, tags: np.ndarray, at: int) -> Window:
+    """The window around a token; a text of fewer tokens is filled up with empty ones, which are outside."""
+    low = max(0, min(len(tags) - WINDOW, at - WINDOW // 2))
+    x, y = features[low : low + WINDOW], tags[low : low + WINDOW]
+    lacking = WINDOW - len(y)
+    return kind, np.pad(x, ((0, lacking), (0, 0))).astype(np.int16), np.pad(y, (0, lacking)).astype(np.int8)
+
+
+def windows(text: str) -> list[Window]:
+    """(kind, features, tags) of all stretches of a text: around everything the patterns find, the clean ones between, and those with planted secrets and others."""
     data = text.encode("utf-8", "surrogatepass")
-    file, out = file_features(data), []
-    spans = [(len(text[:s].encode("utf-8", "surrogatepass")), len(text[:e].encode("utf-8", "surrogatepass"))) for _, e, _, s in base_spans(text)]
-    for offset, piece in pieces(data):
-        tokens = Tokens(piece, file)
-        tags = np.zeros(len(tokens.start), np.int64)
-        for first, last in spans:
-            at = np.nonzero((tokens.start + offset < last) & (tokens.end + offset > first))[0]
-            tags[at] = INSIDE
-            tags[at[:1]] = BEGIN
-        marked = np.nonzero(tags == BEGIN)[0].tolist()
-        for at in [*marked[: WINDOWS - 1], len(tags) // 2]:
-            low = max(0, min(len(tags) - WINDOW, at - WINDOW // 2))
-            if len(tags) >= WINDOW:
-                out.append((tokens.features[low : low + WINDOW], tags[low : low + WINDOW]))
-        if len(out) >= WINDOWS:
-            break
+    file, out, rng = file_features(data), [], random.Random(text)
+    spans = [(s, e, f) for f, e, _, s in base_spans(text)]
+    parts = list(featured(data, file))
+    if not parts:
+        return []
+    features, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    tags = np.zeros(len(start), np.int64)
+    first = bytes_of(text, data, [s for s, _, _ in sorted(spans)])
+    for a, (s, e, _) in zip(first, sorted(spans), strict=True):
+        b = a + len(text[s:e].encode("utf-8", "surrogatepass"))
+        low, high = np.searchsorted(end, a, "right"), np.searchsorted(start, b)
+        tags[low:high] = INSIDE
+        tags[low : low + 1] = BEGIN
+    out += [_cut(FOUND, features, tags, at) for at in np.nonzero(tags == BEGIN)[0]]
+    for at in range(0, len(tags), WINDOW):
+        if not tags[at : at + WINDOW].any():
+            out.append(_cut(CLEAN, features, tags, min(len(tags), at + WINDOW // 2)))
+    places = [(f, e) for _, e, f in spans] or [(m.start(), m.start()) for m in [re.compile(r"\s").search(text, rng.randrange(len(text)))] if m]
+    for f, e in places:
+        left, right = text[max(0, f - 150) : f], text[e : e + 150]
+        for kind, made in ((SECRET, secret_of(rng)), (OTHER, other_of(rng))):
+            intro, mark = rng.choice(INTROS), rng.choice(MARKS)
+            before = left + rng.choice((" ", "\n")) + (intro + mark if intro else rng.choice(("", '"', "(")))
+            whole = (before + made + rng.choice((" ", '" ', "\n", "' ", "; ")) + right).encode("utf-8", "surrogatepass")
+            low = len(before.encode("utf-8", "surrogatepass"))
+            tokens = Tokens(whole, file)
+            here = (tokens.end > low) & (tokens.start < low + len(made))
+            tags = np.where(here, INSIDE if kind == SECRET else OUT, OUT)
+            tags[np.nonzero(here)[0][:1]] = BEGIN if kind == SECRET else OUT
+            out.append(_cut(kind, tokens.features, tags, int(np.nonzero(here)[0][0])))
     return out
 
 
+def marginals(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows by tokens by tags: the logarithm of the sum over all taggings, the probability of each tag of each token, and the expected number of each move."""
+    ahead, behind, length = np.zeros_like(emit), np.zeros_like(emit), emit.shape[1]
+    ahead[:, 0] = moves[OUT] + emit[:, 0]
+    for t in range(1, length):
+        ahead[:, t] = emit[:, t] + _log_sum(ahead[:, t - 1, :, None] + moves, 1)
+    behind[:, -1] = moves[:, OUT]
+    for t in range(length - 2, -1, -1):
+        behind[:, t] = _log_sum(moves + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+    whole = _log_sum(ahead[:, -1] + moves[:, OUT], 1)
+    expected = np.zeros((3, 3))
+    for t in range(1, length):
+        expected += np.exp(ahead[:, t - 1, :, None] + moves + (emit[:, t] + behind[:, t])[:, None, :] - whole[:, None, None]).sum(axis=0)
+    return whole, np.exp(ahead + behind - whole[:, None, None]), expected
+
+
 def fit(features: np.ndarray, tags: np.ndarray, seed: int = 0) -> Field:
     """The field with the largest likelihood of the windows (windows by tokens by slots, and their tags), by AdaGrad."""
     rng = np.random.default_rng(seed)
@@ -229,7 +358,7 @@ def fit(features: np.ndarray, tags: np.ndarray, seed: int = 0) -> Field:
     weights[:, :, OUT] = 1.0 / SLOTS  # what was never seen is outside
     moves[OUT, INSIDE] = -4.0
     sum_w, sum_m = np.full_like(weights, 1e-4), np.full_like(moves, 1e-4)
-    n, length = tags.shape if len(tags) else (0, 0)
+    n = len(tags)
     slots = np.arange(SLOTS)
     for _ in range(ROUNDS):
         order = rng.permutation(n)
@@ -237,18 +366,7 @@ def fit(features: np.ndarray, tags: np.ndarray, seed: int = 0) -> Field:
             part = order[at : at + BATCH]
             x, y = features[part], tags[part]
             emit = weights[slots, x].sum(axis=2, dtype=np.float64)
-            ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
-            ahead[:, 0] = moves[OUT] + emit[:, 0]
-            for t in range(1, length):
-                ahead[:, t] = emit[:, t] + _log_sum(ahead[:, t - 1, :, None] + moves, 1)
-            behind[:, -1] = moves[:, OUT]
-            for t in range(length - 2, -1, -1):
-                behind[:, t] = _log_sum(moves + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            whole = _log_sum(ahead[:, -1] + moves[:, OUT], 1)
-            slope = np.exp(ahead + behind - whole[:, None, None])
-            g_m = np.zeros((3, 3))
-            for t in range(1, length):
-                g_m += np.exp(ahead[:, t - 1, :, None] + moves + (emit[:, t] + behind[:, t])[:, None, :] - whole[:, None, None]).sum(axis=0)
+            _, slope, g_m = marginals(emit, moves)
             np.subtract.at(g_m, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
             np.subtract.at(slope.reshape(-1, 3), (np.arange(y.size), y.ravel()), 1.0)
             slope = slope.reshape(-1, 3).astype(np.float32)
@@ -270,25 +388,24 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Fits to at most `sample` texts with something that the patterns find and as many without, chosen by a hash of the id.
+    """Fits to at most `sample` texts with something that the patterns find and as many without, and of these to at most WINDOWS windows of each kind, both chosen by hashes.
 
-    Whether a text has something is told by simpler patterns in Spark; the labels come from the patterns themselves.
+    Whether a text has something is told by simpler patterns in Spark, in one pass; the labels come from the patterns themselves. Equal texts are one.
     """
-    small_batches(df.sparkSession)
     may = F.col(text_col).rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|(?-i:[0-9a-f]{24})")
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), may.alias("_may"))
-    ids = cut(rows.where("_may").orderBy(F.xxhash64("_id"), "_id").limit(sample).union(rows.where("NOT _may").orderBy(F.xxhash64("_id"), "_id").limit(sample)).select("_id").distinct())
+    units = cut(df.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("_txt"), may.alias("_may")).distinct())
+    chosen = cut(sampled(units, "_may", ["_txt"], sample).select("_txt"))  # twice `sample` rows at most
 
-    @F.pandas_udf("x binary, y binary")
-    def cut_out(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<kind:int,x:binary,y:binary>>")
+    def cut_out(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = [windows(t) for t in texts]
-            yield pd.DataFrame([(b"".join([x.astype(np.int16).tobytes() for x, _ in f]), b"".join([y.astype(np.int8).tobytes() for _, y in f])) for f in found], columns=["x", "y"], dtype=object)
+            yield pd.Series([[{"kind": k, "x": x.tobytes(), "y": y.tobytes()} for k, x, y in windows(t)] for t in texts], dtype=object)
 
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id", "left_semi")
-    found = texts.select("_id", cut_out("_text").alias("w")).orderBy(F.xxhash64("_id"), "_id").limit(4 * sample).collect()
-    x = np.concatenate([np.frombuffer(r["w"]["x"], np.int16).reshape(-1, WINDOW, SLOTS) for r in found] or [np.zeros((0, WINDOW, SLOTS), np.int16)])
-    y = np.concatenate([np.frombuffer(r["w"]["y"], np.int8).reshape(-1, WINDOW) for r in found] or [np.zeros((0, WINDOW), np.int8)])
+    texts = df.select(F.xxhash64(text_col).alias("_txt"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_txt", "left_semi")
+    every = cut(texts.select(F.explode(cut_out("_text")).alias("w")).select("w.*").distinct())
+    found = sorted(sampled(every, "kind", ["x", "y"], WINDOWS).collect(), key=lambda r: (r["kind"], bytes(r["x"]), bytes(r["y"])))
+    x = np.concatenate([np.frombuffer(r["x"], np.int16).reshape(-1, WINDOW, SLOTS) for r in found] or [np.zeros((0, WINDOW, SLOTS), np.int16)])
+    y = np.concatenate([np.frombuffer(r["y"], np.int8).reshape(-1, WINDOW) for r in found] or [np.zeros((0, WINDOW), np.int8)])
     return fit(x.astype(np.int64), y.astype(np.int64))
 
 
@@ -297,7 +414,6 @@ def scan(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
     What the patterns find is there as it is; of what the field finds, that which touches none of it, as kind "crf". Null and empty texts have none.
     """
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(field)  # its size is fixed: SLOTS times VALUES times 3 numbers
 
     @F.pandas_udf("array<struct<kind:string,start:int,stop:int>>")
@@ -309,12 +425,18 @@ def scan(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
 
 def all_spans(text: str, field: Field) -> list[dict]:
-    found = [(start, stop, kind) for start, stop, kind, _ in base_spans(text)]
+    base = [(start, stop, kind) for start, stop, kind, _ in base_spans(text)]
+    starts, reach = [a for a, _, _ in base], []
+    for _, stop, _ in base:
+        reach.append(max(stop, reach[-1] if reach else 0))  # the furthest end of all that begin here or before
     data = text.encode("utf-8", "surrogatepass")
+    found, at, byte = list(base), 0, 0
     for first, last in tagged(data, field):
-        start = len(data[:first].decode("utf-8", "surrogatepass"))
+        start = at + len(data[byte:first].decode("utf-8", "surrogatepass"))
         stop = start + len(data[first:last].decode("utf-8", "surrogatepass"))
-        if all(stop <= a or start >= b for a, b, k in found if k < 3):
+        at, byte = stop, last
+        k = bisect_left(starts, stop)
+        if not k or reach[k - 1] <= start:
             found.append((start, stop, 3))
     return [{"kind": KINDS[k], "start": a, "stop": b} for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, small_batches, table
+from quillon.llm.common import cut, join_hot, table
 from quillon.operators.graph import components
 
 SHINGLE = 3
@@ -102,7 +102,6 @@ def _bits() -> np.ndarray:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every whole text. Null and empty texts have zero."""
-    small_batches(df.sparkSession)
 
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -138,29 +137,42 @@ def linked(prints: DataFrame) -> DataFrame:
     return star.select(F.explode("fps").alias("fp"), F.array_min("fps").alias("to")).where("fp <> to")
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, _txt, fp) of every row, and for each fingerprint its component and the first of its rows: by id, null last, and then by the text's hash."""
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    prints = cut(fingerprints(texts.select(F.struct("_id", F.xxhash64("_text").alias("_txt")).alias("_row"), "_text"), "_row", "_text").select("_row._id", "_row._txt", "fp"))
+    first = F.min(F.struct(F.isnull("_id").alias("nameless"), F.col("_id").alias("id"), F.col("_txt").alias("txt"))).alias("first")
+    least = cut(prints.groupBy("fp").agg(first, F.count("*").alias("n")))
+    groups = components(linked(least), "fp", "to")
+    named = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return prints, cut(named)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): texts are linked if their fingerprints differ in two bits or fewer; component_id is the smallest id reachable.
 
     Every row gives a row. Texts without words (null, empty, white space) have the fingerprint zero and are linked with each
     other. Rows with a null id get a component like others but give it no name; if all ids of a component are null, so is its name.
     """
-    prints = cut(fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text"))
-    least = cut(prints.groupBy("fp").agg(F.min("_id").alias("least")))
-    groups = components(linked(least), "fp", "to")
-    named = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    of_print = named.join(names, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    prints, named = _grouped(df, id_col, text_col)
+    names = named.groupBy("component").agg(F.min("first.id").alias("component_id"))
+    of_print = cut(named.join(names, "component").select("fp", "n", "component_id"))
+    return join_hot(prints, of_print, ["fp"], "n").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without near-duplicates: of each component, the row with the smallest id. Of rows that share an id, one stays; rows with a null id go."""
-    found = near_duplicates(df, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    kept = cut(found.groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")))
-    once = df.join(kept.where("_rows = 1"), F.col(id_col) == F.col("_kept"), "left_semi")
-    if kept.where("_rows > 1").isEmpty():
-        return once
-    return once.union(df.join(kept.where("_rows > 1"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col]))
+    """The rows of df without near-duplicates: of each component one row, that with the smallest id; null ids come last, and rows of one id go by their texts' hashes."""
+    prints, named = _grouped(df, id_col, text_col)
+    chosen = cut(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_kept"), F.col("first.txt").alias("_of")))
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_txt") == F.col("_of"))
+    often = prints.join(chosen, same, "left_semi").groupBy("_id", "_txt").count().where("count > 1").select(F.col("_id").alias("_many"), F.col("_txt").alias("_of_many"))
+    here = lambda i, t: df[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(df[text_col]) == F.col(t))
+    kept = df.join(chosen, here("_kept", "_of"), "left_semi")
+    often = cut(often)
+    if often.isEmpty():
+        return kept
+    repeated = df.join(often, here("_many", "_of_many"), "left_semi").withColumn("_txt", F.xxhash64(text_col)).dropDuplicates([id_col, "_txt"]).drop("_txt")
+    return df.join(chosen, here("_kept", "_of"), "left_semi").join(often, here("_many", "_of_many"), "left_anti").union(repeated)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

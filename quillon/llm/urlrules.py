@@ -33,13 +33,63 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+#: The references of HTML that addresses hold, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#58;", ":"), ("&#x3a;", ":"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+#: The ports that a scheme stands for.
+PORTS = {"http": "80", "https": "443"}
+
+
+def _unescaped(url: Column) -> Column:
+    for name, mark in ENTITIES:
+        url = F.regexp_replace(url, F.lit(f"(?i){name}"), F.lit(mark))
+    return url
+
+
+def _part(url: Column, k: int) -> Column:
+    """1: the scheme with its colon; 2: the slashes and the host; 3: the path; 4: the query with its mark. Empty where there is none."""
+    return F.regexp_extract(url, r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*:(?=//))?(//[^/?#]*)?([^?#]*)(\?[^#]*)?", k)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose "." and ".." are resolved (RFC 3986, 5.2.4)."""
+    steps = F.split(path, "/", -1)
+    last = F.element_at(steps, -1)
+    walk = F.aggregate(
+        F.filter(steps, lambda x, i: (i > 0) & (x != ".")),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x != "..", F.array_append(done, x)).otherwise(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))),
+    )
+    return F.concat(F.lit("/"), F.array_join(walk, "/"), F.when(last.isin(".", "..") & (F.size(walk) > 0), "/").otherwise(""))
+
+
 def _node(url: Column) -> Column:
-    """An address without its fragment."""
-    return F.regexp_replace(F.trim(url), r"(?s)#.*\z", "")
+    """An address in one spelling: scheme and host in small letters, without the scheme's own port, dots in the path and the fragment; "/" for an empty path."""
+    bare = F.trim(url)
+    scheme, host = F.lower(_part(bare, 1)), F.translate(_part(bare, 2), CAPITALS, CAPITALS.lower())
+    for name, port in PORTS.items():
+        host = F.when(scheme == f"{name}:", F.regexp_replace(host, f":(?:{port})?$", "")).otherwise(host)
+    path = _part(bare, 3)
+    return F.when(host == "", F.regexp_replace(bare, r"(?s)#.*\z", "")).otherwise(F.concat(scheme, host, F.when(path.contains("/."), _without_dots(path)).when(path == "", "/").otherwise(path), _part(bare, 4)))
+
+
+def _resolved(to: Column, base: Column) -> Column:
+    """Where a link of the page at base leads (RFC 3986, 5.2.2); null for links of other schemes, such as mailto."""
+    root = F.concat(_part(base, 1), _part(base, 2))
+    folder = F.regexp_replace(_part(base, 3), r"(?s)[^/]*\z", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return (
+        F.when(to.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(_part(base, 1), to))
+        .when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("?"), F.concat(root, _part(base, 3), to))
+        .when(to.startswith("#"), base)
+        .otherwise(F.concat(root, folder, to))
+    )
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): the address of each page and those that it names as canonical or redirects to; relative ones from the root are completed."""
+    """(a, b): the address of each page and those that it names as canonical or redirects to, all in one spelling; relative ones are resolved against the page's own."""
     tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     quoted = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
     told = (
@@ -47,11 +97,8 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         .when(F.col("tag").rlike(r"""(?is)\A<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract("tag", r"(?is)\burl" + quoted, 1))
         .otherwise("")
     )
-    found = pages.where(F.col(url_col).contains("://")).select(F.col(url_col).alias("url"), F.explode(tags).alias("tag")).select("url", told.alias("to")).where("to <> ''")
-    root = F.regexp_extract("url", r"(?s)\A.*?://[^/?#]*", 0)
-    scheme = F.regexp_extract("url", r"(?s)\A(.*?:)//", 1)
-    whole = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(root, "to"))
-    return found.select(_node(F.col("url")).alias("a"), _node(whole).alias("b")).where("b IS NOT NULL")
+    found = pages.where(F.col(url_col).contains("://")).select(F.trim(url_col).alias("url"), F.explode(tags).alias("tag")).select("url", _unescaped(told).alias("to")).where("to <> ''")
+    return found.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("to"), F.col("url"))).alias("b")).where("b IS NOT NULL")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
@@ -87,7 +134,7 @@ _PATH = r"regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _FITS = "SELECT {k}, r.rule, r.verdict FROM {t} t JOIN rules r ON (t.host = r.top OR ends_with(t.host, '.' || r.top)) AND starts_with(t.path, r.rest) QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY length(r.rule) DESC) = 1"
 
 QUERIES = {"op6_url_rules": op6_url_rules}
-#: The rules and the aliases. The canonical links and redirects are read with simpler patterns than above, for the forms that pages have.
+#: The rules and the aliases. The canonical links and redirects are read with simpler patterns than above, and addresses taken as they are spelled, for the forms that pages have.
 ORACLES = {
     "op6_url_rules": f"""
 WITH RECURSIVE rules(verdict, rule, top, rest) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),

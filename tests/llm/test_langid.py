@@ -37,3 +37,37 @@ def test_one_language_none_and_no_rows(spark):
     assert L.learn(none) is None
     assert L.identify(none, None).first()["lang_pred"] == "und"
     assert L.identify(none.limit(0), L.learn(df)).count() == 0
+
+
+def test_features_do_not_depend_on_where_a_text_is_cut(monkeypatch):
+    from quillon.llm import linear
+
+    data = ("schungei  ÄÖ" * 3 + "x" * 40 + "  the. thing\n" * 5 + "é").encode()
+    grams = linear.Grams()
+    weights = np.random.default_rng(0).normal(size=(grams.size, 3))
+    whole, margins = grams.vector(data), grams.margins(data, weights)
+    for size in (1, 2, 3, 7, 16, 100, len(data)):
+        monkeypatch.setattr(linear, "CHUNK", size)
+        assert np.array_equal(grams.vector(data), whole) and np.allclose(grams.margins(data, weights), margins)
+        assert np.array_equal(grams.vector(b""), grams.vector(b"  "))
+
+
+def test_votes_are_those_of_the_machines():
+    """The prediction, against a plain count of one-versus-one votes in the family with the largest margin."""
+    rng = np.random.default_rng(1)
+    languages = ["da", "de", "en", "es", "fr", "xx"]
+    families = sorted({L.family(x) for x in languages})
+    pairs = L.pairs_of(languages)
+    from quillon.llm.linear import Grams
+
+    grams = Grams()
+    weights, bias = rng.normal(size=(grams.size, len(families) + len(pairs))), rng.normal(size=len(families) + len(pairs)) * 0.01
+    model = L.Model(languages, weights, bias)
+    for k in range(60):
+        text = bytes(rng.integers(97, 123, 30).astype(np.uint8))
+        m = grams.vector(text) @ weights + bias
+        best = families[int(np.argmax(m[: len(families)]))]
+        members = [x for x in languages if L.family(x) == best]
+        votes = {x: sum((a == x and s >= 0) or (b == x and s < 0) for (a, b), s in zip(pairs, m[len(families) :], strict=True)) for x in members}
+        got, score = model.predict(text)
+        assert votes[got] == max(votes.values()) and 0 <= score <= 1

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillon.llm import urlrules as U
 
 SCHEMA = "page_id long, url string, html string, host string, verdict string"
@@ -44,3 +46,28 @@ def test_rules_and_aliases(spark):
 
 def test_no_rows(spark):
     assert U.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_spellings_of_one_address(spark):
+    node = lambda u: spark.range(1).select(U._node(F.lit(u))).first()[0]
+    same = ["http://A.org", "HTTP://a.ORG:80/", "http://a.org:/#top", " http://a.org/./b/.. "]
+    assert {node(u) for u in same} == {"http://a.org/"}
+    assert node("https://a.org:80/X?Y#z") == "https://a.org:80/X?Y" and node("http://a.org/b/./c/../d.e/..f?q=/../") == "http://a.org/b/d.e/..f?q=/../"
+    to = lambda link: spark.range(1).select(U._node(U._resolved(F.lit(link), F.lit("http://h.org/a/b/c?q")))).first()[0]
+    wanted = {"y.html": "/a/b/y.html", "../y": "/a/y", "../../../y": "/y", "./": "/a/b/", "..": "/a/", "?p=1": "/a/b/c?p=1", "#f": "/a/b/c?q", "/w": "/w", "y?z=://x": "/a/b/y?z=://x"}
+    assert {k: to(k) for k in wanted} == {k: "http://h.org" + v for k, v in wanted.items()}
+    assert to("//o.org/x") == "http://o.org/x" and to("mailto:x@y") is None and to("HTTPS://O.org:443") == "https://o.org/"
+
+
+def test_relative_mixed_and_cyclic_links(spark):
+    link = lambda to: f'<html><link href="{to}" rel="canonical">'
+    rows = [
+        (1, "http://r.org/dir/x.html", link("y.html")),
+        (2, "HTTP://R.org:80/dir/y.html", link("http://b.org/es/1")),
+        (3, "http://c1.org/", link("HTTP://C2.org")),
+        (4, "http://c2.org/", link("http://C3.org/?a=1&amp;b=2")),
+        (5, "http://c3.org/?a=1&b=2", link("http://c1.org") + link("http://z.org/es/9")),
+        (6, "http://self.org/", link("/")),
+    ]
+    found = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
