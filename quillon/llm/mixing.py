@@ -1,8 +1,9 @@
 """Mixing sources to target weights, by blocks.
 
 The words of a source, its documents in a fixed pseudorandom order, are packed into blocks of a fixed length. Output shards draw
-how many slots each source gets from a multinomial distribution, given that all shards together come to the targets (that is,
-without replacement from the slots still due). The k-th slot of a source stands for its block number p(k mod n) of pass k div n, where n is
+one after the other how many of their slots each source gets, from a multinomial distribution whose weights are the slots still due; a source that gets more
+than it is due hands the rest back to be drawn again, and the last shard gets what is left, so that all shards together come to the targets. The k-th slot of a source
+stands for its block number p(k mod n) of pass k div n, where n is
 its number of blocks and p is a keyed pseudorandom permutation of the pass, so a block comes back only once all have been taken.
 Slots and packed documents meet in a join by source and block.
 """
@@ -22,6 +23,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 #: Words of a block; output shards; groups of documents in which a source's order is laid out; slots laid out at once.
 BLOCK, SHARDS, GROUPS, RUN = 64, 64, 1024, 8192
+#: Slots that one task lays out.
+TASK = 1 << 17
 SEED = 20
 #: So many sources are broadcast; more are joined by shuffle.
 FEW_SOURCES = 10_000
@@ -42,32 +45,20 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def draw(slots: list[int], shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
-    """Slots by shard and source: multinomial counts, given what all shards come to."""
+    """Slots by shard and source: multinomial counts of even shards, held to what each source is still due."""
     rng, left = np.random.default_rng(seed), np.array(slots, np.int64)
     rows = []
     for k in range(shards, 0, -1):
-        want = int(left.sum()) // k
-        row = np.zeros_like(left)
-        rest, due = int(left.sum()), want
-        for i, n in enumerate(left.tolist()):  # one source after the other, each hypergeometric given those before
-            row[i] = _hypergeometric(rng, n, rest - n, due)
-            rest, due = rest - n, due - int(row[i])
+        row, want = (left, 0) if k == 1 else (np.zeros_like(left), int(left.sum()) // k)
+        while want:
+            due = left - row
+            row = np.minimum(left, row + rng.multinomial(want, due / due.sum()))
+            want = int(left.sum()) // k - int(row.sum())
         rows.append(row)
         left = left - row
     return np.array(rows)
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """Numpy's, and beyond its range the normal distribution of the same mean and variance, held to what is possible."""
-    if good == 0 or drawn == 0:
-        return 0
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, drawn))
-    total = good + bad
-    spread = (drawn * (good / total) * (bad / total) * ((total - drawn) / max(1, total - 1))) ** 0.5
-    return int(min(good, drawn, max(0, drawn - bad, round(rng.normal(drawn * good / total, spread)))))
-
-
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A permutation of range(n) for each key: four rounds of a Feistel network over the next even number of bits, again until below n."""
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
@@ -110,7 +101,7 @@ class Mix:
             self.sources = F.broadcast(self.sources)
         laid = [(shard, src, int(starts[shard, src]), int(counts[shard, src]), self.blocks[src]) for shard, src in zip(*np.nonzero(counts), strict=True)]
         self.draws = self.spark.createDataFrame([(int(a), int(b), c, d, e) for a, b, c, d, e in laid], "shard int, src int, start long, n long, n_blocks long")
-        self.seed = seed
+        self.seed, self.n_slots = seed, int(counts.sum())
 
     def packed(self) -> DataFrame:
         """(id, source, size, text_hash, src, start ...): rows with the place of their first word in their source."""
@@ -141,8 +132,9 @@ class Mix:
                 return pd.Series(permuted(place.to_numpy(np.int64), n.to_numpy(np.int64), key * np.uint64(0xD6E8FEB86659FD93)))
 
         stop = F.col("start") + F.col("n")
+        tasks = max(1, -(-self.n_slots // TASK))
         runs = self.draws.withColumn("from", F.explode(F.sequence("start", stop - 1, F.lit(RUN)))).withColumn("to", F.least(stop, F.col("from") + RUN) - 1)
-        spread = runs.select("shard", "src", "n_blocks", "from", "to").repartition(F.col("src"), F.col("from"))
+        spread = runs.select("shard", "src", "n_blocks", "from", "to").repartition(tasks, F.col("src"), F.col("from"))  # by number, so that few rows of many slots aren't merged into one task
         every = spread.select("shard", "src", "n_blocks", F.explode(F.sequence("from", "to")).alias("k"))
         turns = every.select("shard", "src", "n_blocks", F.expr("k div n_blocks").alias("pass"), (F.col("k") % F.col("n_blocks")).alias("place"))
         return turns.select("shard", "src", "pass", block_of("place", "n_blocks", "src", "pass").alias("block"))

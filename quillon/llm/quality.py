@@ -20,8 +20,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Fewer words than this, or more repeated ones (percent), fail the base.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Candidate thresholds of a feature, conditions of a rule, rules of a list, and the part of the pruning texts that a rule may cover wrongly.
-BINS, CONDITIONS, RULES, WRONG = 31, 3, 8, 0.1
+#: Candidate thresholds of a feature, conditions of a rule, rules of a list, the part of the pruning texts that a rule may cover wrongly, and the least it must cover rightly.
+BINS, CONDITIONS, RULES, WRONG, LEAST_RIGHT = 31, 3, 8, 0.1, 2
 FEATURES = ("word_length", "symbol_share", "dup_line_share", "repeat_share", "capital_share", "exclaim_share")
 
 
@@ -109,7 +109,7 @@ def _bin(value: Column, thresholds: list[float]) -> Column:
 
 
 def _grown(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule:
-    """The rule that rows (those to grow on) give."""
+    """The rule that rows (those to grow on) give with these thresholds."""
     rule: Rule = ()
     while len(rule) < CONDITIONS:
         inside = rows.where(covers(rule))
@@ -149,16 +149,25 @@ def _pruned(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
 
 
 def learn(labelled: DataFrame) -> list[Rule]:
-    """The decision list: texts that a rule covers are bad. labelled has the features, bad (boolean) and id; rows with null bad are left out."""
+    """The decision list: texts that a rule covers are bad. labelled has the features, bad (boolean) and id; rows with null bad are left out.
+
+    A rule is kept if on the texts to prune on it covers LEAST_RIGHT bad ones or more and is wrong on few. If not, the next is tried without the feature that it began
+    with, until no feature is left; a kept rule makes all features free again. Few labels, of which a rule may fail by chance, so don't end the list.
+    """
     rows = cut(labelled.where("bad IS NOT NULL").select("bad", *FEATURES, (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("prune")))
     thresholds, rules, left = _thresholds(rows), [], rows
-    while len(rules) < RULES:
-        rule = _grown(left.where("NOT prune"), thresholds)
-        rule, bad, good = _pruned(left.where("prune"), rule)
-        if not bad or good > WRONG * (bad + good):
+    free = set(FEATURES)
+    while len(rules) < RULES and free:
+        rule = _grown(left.where("NOT prune"), {f: t for f, t in thresholds.items() if f in free})
+        if not rule:
             break
+        first = rule[0].feature
+        rule, bad, good = _pruned(left.where("prune"), rule)
+        if bad < LEAST_RIGHT or good > WRONG * (bad + good):
+            free.discard(first)
+            continue
         rules.append(rule)
-        left = left.where(~covers(rule))
+        left, free = left.where(~covers(rule)), set(FEATURES)
     return rules
 
 
@@ -177,11 +186,12 @@ def base_failed() -> Column:
 def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> DataFrame:
     """Per row of df: the id, its statistics and features, base_failed, rule (0 if none) and kept.
 
-    labels has id_col and quality_col: 0 is bad, 1 is good, null is left out; an id may have several labels, each counts. Without labels no rule is learned.
+    labels has id_col and quality_col: 0 is bad, 1 is good, null is left out; an id may have several labels, each counts. The list is learned from labelled texts that the
+    base lets pass, as only these come to it. Without labels no rule is learned.
     """
     stats = cut(features(statistics(df, id_col, text_col)))
     said = labels.select(F.col(id_col).alias("_id"), (F.col(quality_col) == 0).alias("bad"))
-    labelled = stats.join(said, F.col(id_col) == F.col("_id")).withColumn("id", F.col("_id"))
+    labelled = stats.where(~base_failed()).join(said, F.col(id_col) == F.col("_id")).withColumn("id", F.col("_id"))
     judged_by = stats.withColumn("rule", verdict(learn(labelled))).withColumn("base_failed", base_failed())
     return judged_by.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 

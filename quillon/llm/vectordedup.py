@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, join_hot, table
 from quillon.operators.graph import components
 
 THRESHOLD = 0.98
 #: A label with more classes than this gets pivots, one for each so many.
 CELL = 2048
-#: Pivots of a label, and of all labels, at most; the largest labels get theirs first. They are broadcast.
-LABEL_PIVOTS, ALL_PIVOTS = 256, 8192
+#: Pivots of all labels at most, as they are broadcast. Where more are wanted, all labels get the same part of what they want; beyond that, cells and not their number grow.
+ALL_PIVOTS = 8192
 #: Vectors on each side of a comparison.
 BLOCK = 2048
 
@@ -49,19 +49,18 @@ def _unit(vectors: list) -> np.ndarray:
 def _pivots(classes: DataFrame) -> dict:
     """(label, length) to pivots, for large labels; the number of pivots is bounded."""
     sizes = classes.groupBy("label", F.size("vec").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    wanted = [(r["label"], r["d"], min(LABEL_PIVOTS, math.ceil(r["n"] / CELL))) for r in sizes.orderBy(F.desc("n"), "label", "d").limit(ALL_PIVOTS // 2).collect()]
-    given, left = [], ALL_PIVOTS
-    for label, d, n in wanted:
-        if left >= n:
-            given.append((label, d, n))
-            left -= n
+    wanted = sizes.orderBy(F.desc("n"), "label", "d").limit(ALL_PIVOTS // 2).collect()  # more large labels than this have one cell each
+    part = min(1.0, ALL_PIVOTS / max(1, sum(math.ceil(r["n"] / CELL) for r in wanted)))
+    given = [(r["label"], r["d"], math.floor(part * math.ceil(r["n"] / CELL))) for r in wanted if part * math.ceil(r["n"] / CELL) >= 2]
     if not given:
         return {}
     spark = classes.sparkSession
     quota = F.broadcast(spark.createDataFrame(given, classes.select("label", F.lit(0).alias("d"), F.lit(0).alias("quota")).schema))
+    sized = quota.join(F.broadcast(sizes), ["label", "d"])
+    bound = (2.0 * F.col("quota") + 100) / F.col("n")  # about twice as many vectors as are needed have a hash below, and only they are ranked
+    chosen = classes.withColumn("d", F.size("vec")).join(F.broadcast(sized), ["label", "d"]).where(F.xxhash64("id") / F.lit(2.0**64) + F.lit(0.5) <= bound)
     order = Window.partitionBy("label", "d").orderBy(F.xxhash64("id"), "id")
-    chosen = classes.withColumn("d", F.size("vec")).join(quota, ["label", "d"]).withColumn("rank", F.row_number().over(order))
-    rows = chosen.where((F.col("rank") <= LABEL_PIVOTS) & (F.col("rank") <= F.col("quota"))).select("label", "d", "rank", "vec").collect()
+    rows = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("quota")).select("label", "d", "rank", "vec").collect()
     found: dict = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         found.setdefault((r["label"], r["d"]), []).append(r["vec"])
@@ -152,8 +151,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.where("id <> root"), "id", "root").withColumnRenamed("node", "id")
     of_class = classes.join(counts, "id", "left").join(groups, "id", "left")
-    of_class = of_class.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("root"))
-    named = rows.withColumn("_vec", F.when(F.col("id").isNotNull(), F.col("vec"))).join(of_class.withColumnRenamed("vec", "_vec"), ["label", "_vec"], "left")
+    of_class = cut(of_class.select("label", F.col("vec").alias("_vec"), "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("root")))
+    named = join_hot(rows.withColumn("_vec", F.when(F.col("id").isNotNull(), F.col("vec"))), of_class, ["label", "_vec"], "weight", "left")
     component = F.coalesce("root", "id")
     return named.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 

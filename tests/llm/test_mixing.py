@@ -1,5 +1,8 @@
+import struct
+
 import numpy as np
 import pytest
+import xxhash
 
 from quillon.llm import mixing as M
 
@@ -50,6 +53,57 @@ def test_the_mix(spark):
         assert abs(part["taken"].sum() - target) <= M.BLOCK
 
 
+def plain_taken(rows):
+    """(id, size, taken) in plain loops: the order of a source, its blocks, and how often each slot's block is taken."""
+    def spark_hash(i):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", M.SEED), 42)
+        return h if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), h)
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    docs = [(i, len((t or "").split()), signed(xxhash.xxh64_intdigest((t or "").encode(), 42)) if t is not None else 42, s) for i, t, s in rows]
+    sizes = [sum(n for _, n, _, s in docs if s == x) for x in sources]
+    blocks = [-(-n // M.BLOCK) for n in sizes]
+    slots = [round(t * b / n) if n else 0 for t, b, n in zip(M.targets(sizes), blocks, sizes, strict=True)]
+    totals = M.draw(slots).sum(axis=0)
+    out = []
+    for k, x in enumerate(sources):
+        order = sorted((d for d in docs if d[3] == x), key=lambda d: (signed(spark_hash(d[0])) % M.GROUPS, d[0] is not None, d[0] or 0, d[1], d[2]))
+        times = [0] * blocks[k]
+        for slot in range(int(totals[k])):
+            turn, place = divmod(slot, blocks[k])
+            key = np.array([(k << 32) ^ (turn << 8) ^ M.SEED], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            times[int(M.permuted(np.array([place]), np.array([blocks[k]]), key)[0])] += 1
+        at = 0
+        for i, n, _, _ in order:
+            out.append((i, n, sum(times[w // M.BLOCK] for w in range(at, at + n))))
+            at += n
+    return out
+
+
+def test_against_a_plain_mix(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range((i * 37) % 150)), ["a", "b", None][i % 3]) for i in range(60)] + [(3, "other text of an id", "a"), (3, "third text " * 40, "a"), (None, "no name " * 30, None), (7, None, "b")]
+    found = M.mixed_words(spark.createDataFrame(make(rows), SCHEMA)).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    assert sorted(((r.doc_id, r.size, r.taken) for r in found), key=key) == sorted(plain_taken(rows), key=key)
+
+
+def test_draws_are_multinomial():
+    """Shares of a source over the shards vary as a multinomial draw does, and huge counts stay exact."""
+    counts = M.draw([600_000, 300_000, 100_000], shards=400)
+    assert abs(counts[:399, 0].std() / np.sqrt(2500 * 0.6 * 0.4) - 1) < 0.15
+    big = M.draw([3 * 10**12, 10**12, 7], shards=5)
+    assert big.sum(axis=0).tolist() == [3 * 10**12, 10**12, 7] and (big >= 0).all() and np.ptp(big.sum(axis=1)) <= 1
+
+
+def test_slots_are_laid_out_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "RUN", 4)
+    monkeypatch.setattr(M, "TASK", 16)
+    plan = M.Mix(spark.createDataFrame(make(corpus()), SCHEMA))
+    slots = plan.slots()
+    assert plan.n_slots == slots.count() and slots.rdd.getNumPartitions() >= plan.n_slots // 16
+
+
 def test_mixed_texts_hold_the_taken_words(spark):
     rows = corpus(1)
     df = spark.createDataFrame(make(rows), SCHEMA)

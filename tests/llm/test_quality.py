@@ -50,6 +50,29 @@ def test_a_list_is_learned_and_leaves_clean_texts_alone(spark):
     assert not any(r.base_failed for r in found.values())
 
 
+def test_few_labels_give_a_list_that_helps_held_out_texts(spark):
+    """About thirty bad texts that pass the base, of which a third is held out; the list has to find those and no good one. Two ids have labels of both kinds."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    rows, labels = [], []
+    for i in range(400):
+        words = [word() for _ in range(rng.randint(60, 120))]
+        bad = i % 10 == 0
+        if bad:
+            words = [w + "***" if rng.random() < 0.6 else w for w in words]
+        elif i % 10 == 1:
+            words = words[:9]  # the base fails it
+        rows.append((i, " ".join(words), None, None))
+        if i % 3:
+            labels.append((i, int(not bad and i % 10 != 1), 0))
+    labels += [(12, 0, 0), (14, 0, 0), (12, 1, 0)]
+    df, said = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in Q.judged(df, said).collect()}
+    held_out = [i for i in range(400) if i % 3 == 0 and i % 10 != 1]
+    assert all(found[i].kept == (i % 10 != 0) for i in held_out)
+    assert sum(not found[i].base_failed for i in held_out if i % 10 == 0) > 5
+
+
 def test_without_labels_and_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     df = spark.createDataFrame([(1, "a " * 60, None, None), (2, " ".join(f"w{i}" for i in range(60)), None, None), (3, None, None, None)], SCHEMA)

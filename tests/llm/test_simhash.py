@@ -106,5 +106,8 @@ def test_repeated_rows_null_ids_no_rows(spark):
     df = spark.createDataFrame([(2, "a b c d"), (2, "a b c d"), (1, "x y z w"), (None, "a b c d")], schema)
     assert sorted((r.doc_id or 0, r.component_id) for r in S.near_duplicates(df).collect()) == [(0, 2), (1, 1), (2, 2), (2, 2)]
     assert sorted(r.doc_id for r in S.keep_one(df).collect()) == [1, 2]
+    shared = spark.createDataFrame([(2, "a b c d"), (2, "one two three four five"), (None, "no name at all here"), (None, "no name at all here"), (None, "quite another text now"), (3, "a b c d"), (3, None), (4, "")], schema)
+    kept = sorted(((r.doc_id or 0, r.text) for r in S.keep_one(shared).collect()), key=str)
+    assert kept == sorted([(2, "a b c d"), (2, "one two three four five"), (0, "no name at all here"), (0, "quite another text now"), (3, None)], key=str)
     empty = spark.createDataFrame([], schema)
     assert S.near_duplicates(empty).count() == 0 and S.keep_one(empty).count() == 0
