@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, langid, linededup, mixing, simhash
-from quillon.llm.common import stored, table
+from quillon.llm.common import drop_stored, new_path, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other, each over a table of the shared folder that the one before has written; a table goes once the next is there."""
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = new_path(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if old is not None:
+            drop_stored(spark, old)
+        old = path
     return STAGES[-1][1](spark, docs, sf_dir)
