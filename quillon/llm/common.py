@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from quillon.plans.cut import cut, drop_stored, new_path, stored
 
-__all__ = ["WORD", "cut", "drop_stored", "join_hot", "new_path", "sampled", "stored", "table"]
+__all__ = ["WORD", "cut", "drop_stored", "join_hot", "new_path", "sampled", "small_batches", "stored", "table"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than this part of the rows is hot; there are fewer of them than this, so that they may be broadcast.
 HOT = 1000
+#: Bytes of whole texts that go to a Python worker at once.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch, where it is above BATCH_BYTES, for whole texts that go to Python.
+
+    Spark reads it when a query is planned, which is after an operator has returned, so it can't be put back here; a lower bound of the user stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def sampled(units: DataFrame, group: str, keys: list[str], most: int, groups: int = 10_000) -> DataFrame:
     """At most `most` rows of each group, chosen by a hash of the keys; all of a smaller group. units has one row for each group and keys.
 

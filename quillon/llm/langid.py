@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, sampled, table
+from quillon.llm.common import cut, sampled, small_batches, table
 from quillon.llm.linear import Grams, Sparse, svm
 
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
@@ -115,6 +115,7 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text") -> Data
     df = df.drop("lang_pred", "score")
     if model is None:
         return df.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))  # its size is fixed by the languages and features
 
     @F.pandas_udf("lang string, score double")

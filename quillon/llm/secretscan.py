@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, sampled, table
+from quillon.llm.common import cut, sampled, small_batches, table
 
 #: The patterns by kind, the group that is the secret, and the least characters of it.
 PATTERNS = (
@@ -392,6 +392,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     Whether a text has something is told by simpler patterns in Spark, in one pass; the labels come from the patterns themselves. Equal texts are one.
     """
+    small_batches(df.sparkSession)
     may = F.col(text_col).rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|(?-i:[0-9a-f]{24})")
     units = cut(df.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("_txt"), may.alias("_may")).distinct())
     chosen = cut(sampled(units, "_may", ["_txt"], sample).select("_txt"))  # twice `sample` rows at most
@@ -414,6 +415,7 @@ def scan(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
     What the patterns find is there as it is; of what the field finds, that which touches none of it, as kind "crf". Null and empty texts have none.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(field)  # its size is fixed: SLOTS times VALUES times 3 numbers
 
     @F.pandas_udf("array<struct<kind:string,start:int,stop:int>>")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, join_hot, table
+from quillon.llm.common import cut, join_hot, small_batches, table
 from quillon.operators.graph import components
 
 SHINGLE = 3
@@ -102,6 +102,7 @@ def _bits() -> np.ndarray:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every whole text. Null and empty texts have zero."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, sampled, table
+from quillon.llm.common import cut, sampled, small_batches, table
 
 #: Hashed terms, and the length of their vectors.
 BUCKETS, FACTORS = 1 << 20, 4
@@ -183,6 +183,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df and then score: the probability of label 1 for each row. A text without words gets what the bias says; equal texts get equal scores."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and FACTORS
 
     @F.pandas_udf("double")
