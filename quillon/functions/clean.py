@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Nanomolar in a unit.
 UNITS = {"m": 1e6, "u": 1e3, "n": 1e0, "p": 1e-3}
+#: Letters of the amino acids.
+AMINO = "ACDEFGHIKLMNPQRSTVWY"
 
 
 def number(cell: Column) -> Column:
@@ -26,13 +28,16 @@ def p_value(nanomolar: Column) -> Column:
     return F.when(nanomolar > 0, -F.log10(nanomolar * F.lit(1e-9)))
 
 
+#: Kind, operator, number and unit of an affinity in text.
+AFFINITY = r"(?i)(Kd|Ki|IC50|EC50)\s*([<>=~]*)\s*([0-9.]+)\s*([munp]?M)"
+
+
 def typed_affinity(cell: Column) -> Column:
-    """A struct of kind, op, nanomolar and p from text such as "Kd=12.5uM"; null where there is none."""
-    pattern = r"(?i)\b(kd|ki|ic50|ec50)\s*([<>=~]{1,2})\s*([0-9]+(?:\.[0-9]+)?)\s*([munp])M"
-    part = lambda k: F.regexp_extract(cell, pattern, k)
+    """A struct of kind and op (as written), nanomolar and p from text such as "Kd=12.5uM" or "ki 3 nM"; null where there is none, and for a bare M, whose size isn't told."""
+    part = lambda k: F.regexp_extract(cell, AFFINITY, k)
     unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    nanomolar = part(3).try_cast("double") * F.try_element_at(unit, F.lower(part(4)))
-    return F.when(part(1) != "", F.struct(F.upper(part(1)).alias("kind"), part(2).alias("op"), nanomolar.alias("nanomolar"), p_value(nanomolar).alias("p")))
+    nanomolar = part(3).try_cast("double") * F.try_element_at(unit, F.regexp_replace(F.lower(part(4)), "m$", ""))
+    return F.when(nanomolar.isNotNull(), F.struct(part(1).alias("kind"), part(2).alias("op"), nanomolar.alias("nanomolar"), p_value(nanomolar).alias("p")))
 
 
 def first_valid(columns: dict[str, Column]) -> Column:
@@ -40,7 +45,7 @@ def first_valid(columns: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(number(c).isNotNull(), F.struct(F.lit(name).alias("kind"), number(c).alias("value"))) for name, c in columns.items()])
 
 
-def sequence(cell: Column, shortest: int = 50, longest: int = 1022, foreign: float = 0.1, alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> Column:
+def sequence(cell: Column, shortest: int = 50, longest: int = 1022, foreign: float = 0.1, alphabet: str = AMINO) -> Column:
     """Capital letters without white space; null unless letters only, of a sound length, and with few letters outside the alphabet."""
     s = F.regexp_replace(F.upper(F.trim(cell)), r"\s+", "")
     odd = F.length(F.regexp_replace(s, f"[{alphabet}]", "")) / F.length(s)
@@ -98,3 +103,55 @@ def resolve_column(columns: list[str], candidates: list[str]) -> str | None:
         if candidate.lower() in lower:
             return lower[candidate.lower()]
     return next((c for candidate in candidates for c in columns if candidate.lower() in c.lower()), None)
+
+
+def usable(sequence_: Column, ligand: Column, tokens: Column | None = None) -> Column:
+    """Whether a row has a sequence and a ligand that aren't blank, and tokens where they are needed."""
+    there = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    both = there(sequence_) & there(ligand)
+    return both if tokens is None else both & there(tokens)
+
+
+def regressor_row(label: Column, ok: Column, y: Column) -> Column:
+    """A struct of label, dist_ok (0 where it can't be read), y (null where it can't be read) and y_ok."""
+    number_of = y.try_cast("double")
+    return F.struct(label.try_cast("double").alias("label"), F.coalesce(ok.try_cast("double").cast("int"), F.lit(0)).alias("dist_ok"), number_of.alias("y"), number_of.isNotNull().cast("int").alias("y_ok"))
+
+
+def key_allowed(key: Column, allowed: list[int]) -> Column:
+    """Whether the number that a key begins with is among the allowed ones."""
+    return F.coalesce(F.split(key, "_")[0].try_cast("int").isin(*allowed), F.lit(False))
+
+
+def number_or(cell: Column, default: float) -> Column:
+    """A cell as a number, or the default: minus infinity or NaN for missing metrics."""
+    return F.coalesce(cell.try_cast("double"), F.lit(default))
+
+
+def without_prefixes(names: Column, prefixes: list[str]) -> Column:
+    """Whether a name begins with none of the prefixes."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | names.startswith(p)
+    return ~found
+
+
+def superscript(number_: Column) -> Column:
+    """Digits and signs as superscripts."""
+    return F.translate(number_.cast("string"), "0123456789+-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻")
+
+
+def join_ids(ids: Column) -> Column:
+    """Numbers parted by blanks."""
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+
+
+def filled_lines(text: Column) -> Column:
+    """The trimmed lines of a text that aren't blank."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != "")
+
+
+def shape_fault(rows: Column, width: int, longest: int) -> Column:
+    """What is wrong with a matrix of features, an array of arrays: "empty", "ragged", "width" or "long"; null if nothing is."""
+    sizes = F.array_distinct(F.transform(rows, lambda r: F.size(r)))
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "empty").when(F.size(sizes) > 1, "ragged").when(sizes[0] != width, "width").when(F.size(rows) > longest, "long")

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.clean import stable_hash
+from quillon.plans.prefix import numbered
 
 #: The order of alternatives of the atom tokeniser.
-ATOM_TOKENS = r"(\[[^\]]+\]|Br|Cl|Si|Se|Na|Cn|N|O|S|P|F|I|B|C|\(|\)|=|#|-|\+|/|%[0-9]{2})"
+ATOM_TOKENS = r"(Cl|Br|Si|Se|Na|Li|Mg|Ca|Al|@@?|=|#|\(|\)|\[|\]|\.|/|\\|[A-Z][a-z]?)"
 SPECIALS = ("<pad>", "<mask>", "<cls>", "<unk>")
 
 
@@ -33,9 +34,9 @@ def ints_or_json(text: Column) -> Column:
 
 
 def vocabulary(df: DataFrame, tokens: Column, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
-    """(token, id): distinct tokens in order after the specials. The vocabulary is small beside the corpus; only it is sorted as a whole."""
+    """(token, id): distinct tokens in order after the specials. Only the distinct tokens are sorted, by ranges."""
     distinct = df.select(F.explode(tokens).alias("token")).distinct()
-    ranked = distinct.select("token", (F.row_number().over(Window.orderBy("token")) + (len(specials) - 1)).cast("long").alias("id"))
+    ranked = numbered(distinct, ["token"], "id", len(specials))
     special = df.sparkSession.createDataFrame(list(enumerate(specials)), "id long, token string").select("token", "id")
     return special.union(ranked)
 
@@ -92,3 +93,10 @@ def codebook_size(n: Column, largest: int | None = None) -> Column:
 def codebook_size_by_bands(n: Column) -> Column:
     """One centre for 30 rows or fewer, one for each 100 begun below 1000, one for each 30 begun from there."""
     return F.when(n <= 30, 1).when(n < 1000, F.ceil(n / F.lit(100e0))).otherwise(F.ceil(n / F.lit(30e0))).cast("long")
+
+
+def dict_entries(df: DataFrame, text: str) -> DataFrame:
+    """df, a row for each 'key': number of a dict literal in its text, with key and size."""
+    pairs = F.explode(F.regexp_extract_all(text, F.lit(r"'[^']+'\s*:\s*\d+"), F.lit(0)))
+    part = lambda k: F.regexp_extract("_pair", r"'([^']+)'\s*:\s*(\d+)", k)
+    return df.withColumn("_pair", pairs).select(*df.columns, part(1).alias("key"), part(2).cast("long").alias("size"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.prefix import totals_before
+
 
 def entity_stats(df: DataFrame, key: str, label: str) -> DataFrame:
     """Per key that isn't null or empty: n, pos, neg and pos_rate of rows with a label."""
@@ -65,6 +67,12 @@ def epoch_of_lines(df: DataFrame, groups: list[str], order: str, is_marker: Colu
     return df.withColumn("epoch", F.sum(is_marker.cast("long")).over(w))
 
 
+def epoch_of_log(df: DataFrame, order: str, is_marker: Column) -> DataFrame:
+    """As epoch_of_lines for one long log, whose lines are sorted by ranges."""
+    marked = df.withColumn("_mark", is_marker.cast("long"))
+    return totals_before(marked, order, {"epoch": "_mark"}).withColumn("epoch", F.col("epoch") + F.col("_mark")).drop("_mark")
+
+
 def dense_mean(df: DataFrame, epoch: str, value: str) -> DataFrame:
     """(epoch, mean) for every epoch from 0 to the last: the mean of positive values, 0 without any."""
     means = df.where(F.col(value) > 0).groupBy(epoch).agg(F.avg(value).alias("mean"))
@@ -104,10 +112,12 @@ def equivalence_groups(df: DataFrame, vector: str, row: str) -> DataFrame:
 
 
 def target_encoding(df: DataFrame, category: str, order: str, target: str, prior: float, strength: float) -> DataFrame:
-    """df and encoded: the mean target of earlier rows of the category, drawn to the prior."""
-    before = Window.partitionBy(category).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    total, n = F.coalesce(F.sum(target).over(before), F.lit(0e0)), F.count(target).over(before)
-    return df.withColumn("encoded", (total + prior * strength) / (n + strength))
+    """df (rows with a category) and encoded: the mean target of earlier rows of the category, drawn to the prior. Rows are sorted by ranges, so that a category may be large."""
+    one = F.when(F.col(target).isNotNull(), 1).otherwise(0).cast("long")
+    run = totals_before(df.where(F.col(category).isNotNull()).withColumn("_one", one), [category, order], {"_total": target, "_n": "_one"})
+    start = run.groupBy(category).agg(F.min(F.struct(order, "_total", "_n")).alias("_s")).select(category, F.col("_s._total").alias("_t0"), F.col("_s._n").alias("_n0"))
+    encoded = (F.col("_total") - F.col("_t0") + prior * strength) / (F.col("_n") - F.col("_n0") + strength)
+    return run.join(start, category).select(*df.columns, encoded.alias("encoded"))
 
 
 def min_max(df: DataFrame, value: str, is_train: Column) -> DataFrame:
@@ -115,3 +125,47 @@ def min_max(df: DataFrame, value: str, is_train: Column) -> DataFrame:
     fitted = df.where(is_train).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     filled = F.coalesce(F.col(value), F.col("_lo") - 1)
     return df.join(F.broadcast(fitted)).withColumn("scaled", F.when(F.col("_hi") > F.col("_lo"), (filled - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0e0)).drop("_lo", "_hi")
+
+
+def token_stats(df: DataFrame, token: str) -> DataFrame:
+    """One row: the least, the largest, the distinct and all tokens."""
+    return df.agg(F.min(token).alias("least"), F.max(token).alias("most"), F.countDistinct(token).alias("distinct_tokens"), F.count(token).alias("n"))
+
+
+def frequent_classes(df: DataFrame, label: str, least: int) -> DataFrame:
+    """Rows of classes with more than `least` of them."""
+    return df.join(df.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(label), label, "left_semi")
+
+
+def values_at(df: DataFrame, key: str, places: tuple[int, ...], sep: str = "_") -> DataFrame:
+    """(place, n, found): the distinct fields of a key at each place, from 0, and their number."""
+    field = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.get(F.split(key, sep), p).alias("v")) for p in places])).alias("f")
+    return df.select(field).where("f.v IS NOT NULL").groupBy("f.place").agg(F.countDistinct("f.v").alias("n"), F.array_join(F.array_sort(F.collect_set("f.v")), " ").alias("found"))
+
+
+def last_epoch(df: DataFrame, epoch: str) -> DataFrame:
+    """Rows of the largest epoch."""
+    return df.join(F.broadcast(df.agg(F.max(epoch).alias(epoch))), epoch)
+
+
+def boxes(df: DataFrame, epoch: str, value: str) -> DataFrame:
+    """(epoch, n, least, q25, q50, q75, most): what a box of each epoch shows."""
+    q = [F.percentile(value, F.lit(p)).alias(f"q{round(100 * p)}") for p in (0.25, 0.5, 0.75)]
+    return df.groupBy(epoch).agg(F.count("*").alias("n"), F.min(value).alias("least"), *q, F.max(value).alias("most"))
+
+
+def top_scores(df: DataFrame, score: str, n: str, k: str, tie: str, least_n: int, least_k: int, rows: int = 30, strict: float = 0.35, loose: float = 0.25) -> DataFrame:
+    """The best and the worst rows among those with enough points and classes, told apart by end, and whether each passes the strict and the loose bound: a report."""
+    good = df.where((F.col(n) >= least_n) & (F.col(k) >= least_k)).withColumn("strict", F.col(score) >= strict).withColumn("loose", F.col(score) >= loose)
+    return good.orderBy(F.desc(score), tie).limit(rows).withColumn("end", F.lit("best")).union(good.orderBy(score, tie).limit(rows).withColumn("end", F.lit("worst")))
+
+
+def row_shares(df: DataFrame, row: str, value: str) -> DataFrame:
+    """df and share: the value by the sum of its row; 0 for a row of zeros."""
+    total = F.sum(value).over(Window.partitionBy(row))
+    return df.withColumn("share", F.when(total != 0, F.col(value) / total).otherwise(0e0))
+
+
+def one_hot(value: Column, categories: list) -> Column:
+    """An array with 1 at the category of a value and 0 elsewhere."""
+    return F.array(*[F.coalesce((value == c).cast("int"), F.lit(0)) for c in categories])

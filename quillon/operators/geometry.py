@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.joins import square_distance
+from quillon.operators.joins import nearest_center, square_distance
 from quillon.plans.cut import cut
 
 
@@ -19,16 +19,16 @@ def contact_mask(residues: DataFrame, contacts: DataFrame, group: str, residue:
     return marked.groupBy(group).agg(F.array_join(F.transform(ordered, lambda x: x["_bit"]), "").alias("mask"), F.count(F.when(F.col("_bit") == "1", 1)).alias("contact_n"))
 
 
-def chain_ranking(residues: DataFrame, ligand: DataFrame, xyz: tuple[str, str, str], chain: str, residue: str, cutoff: float, sigma: float) -> DataFrame:
-    """(chain, contacts, soft, best, place): residues nearer than the cutoff, the sum of exp(-distance / sigma), the least distance.
+def chain_ranking(residues: DataFrame, ligand: DataFrame, xyz: tuple[str, str, str], structure: str, chain: str, residue: str, cutoff: float, sigma: float) -> DataFrame:
+    """(structure, chain, contacts, soft, best, place): residues nearer than the cutoff, the sum of exp(-distance / sigma), the least distance, and the place in the structure.
 
     All residues of a chain meet all ligand points of the same chain, as the soft score needs; the ligand is gathered, since it is a molecule.
     """
     gathered = ligand.groupBy(chain).agg(F.collect_list(F.struct(*xyz)).alias("_lig"))
     square = lambda p: sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in xyz), F.lit(0e0))
     least = residues.join(gathered, chain).withColumn("_d", F.sqrt(F.array_min(F.transform("_lig", square))))
-    stats = least.groupBy(chain).agg(F.count(F.when(F.col("_d") < cutoff, 1)).alias("contacts"), F.sum(F.exp(-F.col("_d") / sigma)).alias("soft"), F.min("_d").alias("best"))
-    place = F.row_number().over(Window.orderBy(F.desc("contacts"), F.desc("soft"), "best", chain))
+    stats = least.groupBy(structure, chain).agg(F.count(F.when(F.col("_d") < cutoff, 1)).alias("contacts"), F.sum(F.exp(-F.col("_d") / sigma)).alias("soft"), F.min("_d").alias("best"))
+    place = F.row_number().over(Window.partitionBy(structure).orderBy(F.desc("contacts"), F.desc("soft"), "best", chain))
     return stats.withColumn("place", place.cast("long"))
 
 
@@ -47,17 +47,26 @@ def pair_quantiles(points: DataFrame, group: str, row: str, vector: str, at: tup
     a = dealt.select("g", "i", "v", "_most", F.col("_own").alias("a"), F.explode(F.sequence("_own", F.col("_k") - 1)).alias("b"))
     z = dealt.select("g", F.col("i").alias("j"), F.col("v").alias("w"), F.col("_own").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("a"))
     d = a.join(z, ["g", "a", "b"]).where("a < b OR i < j").select("g", "_most", F.sqrt(square_distance(F.col("v"), F.col("w"))).alias("d"))
+    found = exact_quantiles(d.select("g", "_most", "d"), at, bins)
+    return found.withColumnsRenamed({"g": group, "n": "pairs"})
+
+
+def exact_quantiles(d: DataFrame, at: tuple[float, ...], bins: int = 65536) -> DataFrame:
+    """(g, n, q<percent> ...) of (g, _most, d): quantiles of the values of each group, between neighbours by the line; values are from 0 to _most, which a group shares.
+
+    Values are counted by bins first; only those in the bins that hold a quantile's two neighbours are gathered and sorted, in a second pass, so that no task holds a group.
+    """
     d = d.select("g", "d", F.when(F.col("_most") > 0, F.least(F.lit(bins), F.floor(F.col("d") / F.col("_most") * bins).cast("int"))).otherwise(0).alias("bin"))
     counts = d.groupBy("g", "bin").agg(F.count("*").alias("n"))
     of = Window.partitionBy("g")  # over the bins of a group
-    held = cut(counts.select("g", "bin", "n", F.sum("n").over(of).alias("pairs"), (F.sum("n").over(of.orderBy("bin")) - F.col("n")).alias("before")))
-    rank = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(x)) * (F.col("pairs") - 1)).alias("at")) for k, x in enumerate(at)])).alias("_r")
+    held = cut(counts.select("g", "bin", "n", F.sum("n").over(of).alias("all"), (F.sum("n").over(of.orderBy("bin")) - F.col("n")).alias("before")))
+    rank = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(x)) * (F.col("all") - 1)).alias("at")) for k, x in enumerate(at)])).alias("_r")
     sides = F.explode(F.array(F.floor("_r.at"), F.ceil("_r.at"))).alias("place")
-    asked = held.select("*", rank).select("g", "bin", "before", "n", "pairs", "_r.k", "_r.at", sides).where("place >= before AND place < before + n").distinct()
-    near = d.join(F.broadcast(asked.select("g", "bin").distinct()), ["g", "bin"]).groupBy("g", "bin").agg(F.sort_array(F.collect_list("d")).alias("ds"))
-    found = asked.join(near, ["g", "bin"]).select("g", "pairs", "k", "at", "place", F.get("ds", (F.col("place") - F.col("before")).cast("int")).alias("d"))
-    each = found.groupBy("g", "k").agg(F.max("pairs").alias("pairs"), (F.min("d") + (F.max("at") - F.floor(F.max("at"))) * (F.max("d") - F.min("d"))).alias("q"))
-    return each.groupBy(F.col("g").alias(group)).agg(F.max("pairs").alias("pairs"), *[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{round(100 * x)}") for k, x in enumerate(at)])
+    asked = held.select("*", rank).select("g", "bin", "before", "n", "all", "_r.k", "_r.at", sides).where("place >= before AND place < before + n").distinct()
+    near = d.join(asked.select("g", "bin").distinct(), ["g", "bin"]).groupBy("g", "bin").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+    found = asked.join(near, ["g", "bin"]).select("g", "all", "k", "at", "place", F.get("ds", (F.col("place") - F.col("before")).cast("int")).alias("d"))
+    each = found.groupBy("g", "k").agg(F.max("all").alias("all"), (F.min("d") + (F.max("at") - F.floor(F.max("at"))) * (F.max("d") - F.min("d"))).alias("q"))
+    return each.groupBy("g").agg(F.max("all").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{round(100 * x)}") for k, x in enumerate(at)])
 
 
 def _grid(df: DataFrame, low: float, high: float, size: int) -> DataFrame:
@@ -77,10 +86,10 @@ def kde_grid(points: DataFrame, x: str, y: str, low: float, high: float, size: i
 
 
 def voronoi_grid(centers: DataFrame, cid: str, x: str, y: str, low: float, high: float, size: int) -> DataFrame:
-    """(i, j, cid): the nearest centre of each grid place, the smallest id of equals."""
-    all_centers = centers.agg(F.collect_list(F.struct(F.col(cid).alias("cid"), F.col(x).alias("x"), F.col(y).alias("y"))).alias("_c"))
-    d = lambda c: F.struct(((F.col("gx") - c["x"]) ** 2 + (F.col("gy") - c["y"]) ** 2).alias("d"), c["cid"].alias("cid"))
-    return _grid(centers, low, high, size).join(F.broadcast(all_centers)).select("i", "j", F.array_min(F.transform("_c", d))["cid"].alias("cid"))
+    """(i, j, cid): the nearest centre of each grid place, the smallest id of equals. Blocks of places and of centres meet as matrices."""
+    places = _grid(centers, low, high, size).select(F.lit(0).alias("k"), "i", "j", F.array("gx", "gy").alias("v"))
+    known = centers.select(F.lit(0).alias("k"), F.col(cid).alias("cid"), F.array(x, y).cast("array<double>").alias("center"))
+    return nearest_center(places, known, "k", "v", "center", "cid", cosine=False).select("i", "j", "cid")
 
 
 def percentile_zoom(points: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:

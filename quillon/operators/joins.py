@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def map_distinct(df: DataFrame, key: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -75,12 +79,70 @@ def square_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0e0), lambda s, x: s + x)
 
 
-def nearest_center(points: DataFrame, centers: DataFrame, key: str, point: str, center: str, cid: str) -> DataFrame:
-    """points and the centre of their key with the largest inner product (the smallest id of equals), as cid and similarity.
+#: Points and centres that are compared at once.
+POINTS, CENTERS = 1 << 15, 2048
 
-    centers has one row per (key, cid). They are gathered by key, so each point is compared in its own row and no pairs are shuffled.
+
+def nearest_center(points: DataFrame, centers: DataFrame, key: str, point: str, center: str, cid: str, cosine: bool = True) -> DataFrame:
+    """points and the best centre of their key, as cid and similarity: the largest inner product or, without cosine, the least distance (similarity is then minus its
+    square). Of centres that are equal to twelve digits the smallest id is meant.
+
+    centers has one row per (key, cid). Points of a key are dealt into chunks by a hash of the whole row, and each chunk meets all centres of its key in one task, where blocks of
+    both are multiplied as matrices: no row carries the centres, and a hot key is spread. Points of unknown keys go; a vector that is null, holds null or has another length
+    than the centres gets null.
     """
-    gathered = centers.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(cid).alias("c"), F.col(center).alias("v")))).alias("_centers"))
-    joined = points.join(gathered, key)
-    best = F.array_max(F.transform("_centers", lambda x: F.struct(dot(x["v"], F.col(point)).alias("s"), (-x["c"]).alias("c"))))
-    return joined.withColumn("_best", best).withColumn(cid, -F.col("_best.c")).withColumn("similarity", F.col("_best.s")).drop("_best", "_centers")
+    points = points.drop(cid, "similarity")
+    spark_type = centers.schema[cid].dataType
+    schema = StructType([*points.schema.fields, StructField(cid, spark_type), StructField("similarity", DoubleType())])
+    n_key = len(points.columns)
+    chunks = points.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / F.lit(POINTS)).cast("int").alias("_chunks"))
+    dealt = points.join(chunks, F.col(key) == F.col("_key")).withColumn("_chunk", F.pmod(F.xxhash64(*points.columns), F.col("_chunks")).cast("int")).drop("_chunks")
+    spread = centers.select(F.col(key).alias("_key"), F.col(cid).alias("_cid"), F.col(center).cast("array<double>").alias("_center")).join(chunks, "_key")
+    spread = spread.select(F.col("_key").alias("_of"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_at"), "_cid", "_center")
+
+    def rows_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors as doubles, and which of them are whole; all have the length that most whole ones have."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = np.asarray(column.value_lengths().fill_null(0))
+        flat = column.flatten()
+        whole = np.asarray(column.is_valid()) & (sizes > 0)
+        if flat.null_count:
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            whole[of[np.asarray(flat.is_null())]] = False
+        length = int(np.bincount(sizes[whole]).argmax()) if whole.any() else 0
+        whole &= sizes == length
+        return np.asarray(flat.fill_null(0), np.float64)[np.repeat(whole, sizes)].reshape(int(whole.sum()), length), whole
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = left.select(list(range(n_key)))
+        y, sound = rows_of(right.column("_center"))
+        ids = right.column("_cid").filter(pa.array(sound))
+        if not len(left) or not len(ids):
+            return own.slice(0, 0).append_column(cid, ids.slice(0, 0)).append_column("similarity", pa.array([], pa.float64()))
+        order = pc.sort_indices(ids).to_numpy()
+        ids, y = ids.take(pa.array(order)), y[order]
+        x, known = rows_of(left.column(point))
+        if x.shape[1] != y.shape[1]:
+            x, known = np.zeros((0, y.shape[1])), np.zeros(len(known), bool)
+        best, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
+        lengths = (x * x).sum(axis=1)
+        for low in range(0, len(y), CENTERS):
+            part = y[low : low + CENTERS]
+            for start in range(0, len(x), CENTERS):
+                rows = slice(start, start + CENTERS)
+                score = x[rows] @ part.T
+                if not cosine:
+                    score = 2 * score - lengths[rows, None] - (part * part).sum(axis=1)
+                score = np.round(score, 12)
+                top = score.argmax(axis=1)
+                value = score[np.arange(len(top)), top]
+                better = value > best[rows]
+                best[rows], at[rows] = np.where(better, value, best[rows]), np.where(better, top + low, at[rows])
+        place = np.full(len(known), -1)
+        place[known] = at
+        taken = pa.array(place, mask=~known)
+        value = np.zeros(len(known))
+        value[known] = best
+        return own.append_column(cid, ids.take(taken)).append_column("similarity", pa.array(value, mask=~known))
+
+    return dealt.groupBy("_key", "_chunk").cogroup(spread.groupBy("_of", "_at")).applyInArrow(meet, schema)

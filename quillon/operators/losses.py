@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.prefix import numbered
+
 
 def weighted_loss(df: DataFrame, groups: list[str], loss: str, weight: str, most: float = 20.0) -> DataFrame:
     """Per group: the mean loss by weight (0 without any weight), and the perplexity e^loss, the exponent held to `most`."""
@@ -114,6 +116,6 @@ def histogram_2d(df: DataFrame, x: str, y: str, low: float, high: float, bins: i
 
 
 def first_seen_ids(df: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, id): distinct values, numbered from 0 by where they are first seen. Only the distinct values are sorted."""
+    """(value, id): distinct values, numbered from 0 by where they are first seen. Only the distinct values are sorted, by ranges."""
     first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("_first", value)) - 1).cast("long").alias("id"))
+    return numbered(first, ["_first", value], "id").select(value, "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.prefix import totals_before
+from quillon.plans.prefix import numbered, totals_before
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -105,13 +105,26 @@ def ndcg_by_rank(df: DataFrame, score: str, truth: str, group: str, tie: str, k:
 
 
 def average_ranks(df: DataFrame, columns: dict[str, str], groups: list[str]) -> DataFrame:
-    """df and ranks from 1 within each group, ties at their mean."""
+    """df and ranks from 1 within each group, ties at their mean. They come from counts of distinct values, which are sorted by ranges, so that a group may be large."""
     for name, column in columns.items():
-        ties = Window.partitionBy(*groups, column)
-        df = df.withColumn(name, F.rank().over(Window.partitionBy(*groups).orderBy(column)) + (F.count("*").over(ties) - 1) / F.lit(2e0))
+        keys = [*groups, column]
+        counts = totals_before(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, {"_before": "_n"})
+        first = counts.groupBy(*groups).agg(F.min("_before").alias("_start")) if groups else counts.agg(F.min("_before").alias("_start"))
+        ranks = _null_safe(counts, first, groups) if groups else counts.join(F.broadcast(first))
+        ranks = ranks.select(*keys, (F.col("_before") - F.col("_start") + (F.col("_n") + 1) / F.lit(2e0)).alias(name))
+        df = _null_safe(df, ranks, keys)
     return df
 
 
+def _null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df joined with other by keys, of which nulls are equal; the keys once."""
+    named = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(named, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def regression(df: DataFrame, predicted: str, truth: str, groups: list[str]) -> DataFrame:
     """Per group: n, mae, rmse, pearson and spearman (mean ranks of ties); correlations are 0 where one side is constant."""
     sound = df.where(F.col(predicted).isNotNull() & F.col(truth).isNotNull())
@@ -133,3 +146,49 @@ def standardized(df: DataFrame, value: str, is_train: Column, eps: float = 1e-6)
     """df and z: value by the mean and population deviation of the training rows."""
     fitted = df.where(is_train).agg(F.avg(value).alias("_mean"), (F.stddev_pop(value) + F.lit(eps)).alias("_std"))
     return df.join(F.broadcast(fitted)).withColumn("z", (F.col(value) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
+
+
+def probability(logit: Column) -> Column:
+    return 1 / (1 + F.exp(-logit))
+
+
+def logit_block(df: DataFrame, logit: str, y: str, threshold: float = 0.5) -> DataFrame:
+    """One row: auroc, average_precision and f1 of the probabilities, the threshold, and the probabilities' mean and population deviation; the metrics are 0 for one class."""
+    rows = df.select(probability(F.col(logit)).alias("p"), (F.col(y) > 0.5).cast("int").alias("y"))
+    spread = rows.agg(F.avg("p").alias("prob_mean"), F.stddev_pop("p").alias("prob_std"), (F.min("y") < F.max("y")).alias("_two"))
+    found = auroc(rows, "p", "y").crossJoin(average_precision(rows, "p", "y")).crossJoin(f1(rows, "p", "y", threshold).select("f1")).crossJoin(spread)  # one row each
+    return found.select("auroc", "average_precision", F.when(F.col("_two"), F.col("f1")).otherwise(0e0).alias("f1"), F.lit(threshold).alias("threshold"), "prob_mean", "prob_std")
+
+
+def top_enrichment(df: DataFrame, score: str, label: str, tie: str, fracs: tuple[float, ...], rounding: str = "even") -> DataFrame:
+    """One row over a whole table: ef<percent> of each top fraction, 0 without hits. Rows are placed by ranges, so that no task sorts the table."""
+    placed = numbered(df.select(F.col(score).alias("_s"), F.col(tie).alias("_t"), (F.col(label) > 0.5).cast("long").alias("_y")), [F.desc("_s"), "_t"], "_place")
+    all_of = df.agg(F.count("*").alias("n"), F.sum((F.col(label) > 0.5).cast("long")).alias("hits")).select("n", "hits", *[top_count(f, rounding).alias(f"k{i}") for i, f in enumerate(fracs)])
+    tops = placed.join(F.broadcast(all_of)).agg(F.max("n").alias("n"), F.max("hits").alias("hits"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(len(fracs))], *[F.sum(F.when(F.col("_place") < F.col(f"k{i}"), F.col("_y")).otherwise(0)).alias(f"t{i}") for i in range(len(fracs))])
+    return tops.select(*[F.when(F.col("hits") > 0, (F.col(f"t{i}") / F.col(f"k{i}")) / (F.col("hits") / F.col("n"))).otherwise(0e0).alias(f"ef{round(100 * f)}") for i, f in enumerate(fracs)])
+
+
+def ranking_cls(df: DataFrame, logit: str, y: str, tie: str, fracs: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
+    """One row: auroc, average_precision and the enrichment at top fractions of the probabilities."""
+    rows = df.select(probability(F.col(logit)).alias("p"), (F.col(y) > 0.5).cast("int").alias("y"), tie)
+    return auroc(rows, "p", "y").crossJoin(average_precision(rows, "p", "y")).crossJoin(top_enrichment(rows, "p", "y", tie, fracs))  # one row each
+
+
+def affinity_ranking(df: DataFrame, predicted: str, truth: str, mask: Column, tie: str, ks: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """One row over the masked rows: aff_n, spearman, pearson and ndcg<k> with gains from the truth's rank; zeros for fewer than three."""
+    rows = df.where(mask).select(F.col(predicted).alias("p"), F.col(truth).alias("t"), F.col(tie).alias("i"))
+    ranked = average_ranks(rows, {"rp": "p", "rt": "t"}, [])
+    safe = lambda a, b: F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b)).otherwise(0e0)
+    sums = ranked.agg(F.count("*").alias("aff_n"), safe("rp", "rt").alias("spearman"), safe("p", "t").alias("pearson"))
+    placed = numbered(numbered(rows, ["t", "i"], "up"), [F.desc("p"), "i"], "at").join(F.broadcast(sums.select(F.col("aff_n").alias("_n"))))
+    gain = F.pow(F.lit(2e0), F.col("up") / (F.col("_n") - 1)) - 1
+    part = lambda place, k: F.sum(F.when(place < k, gain / F.log2(place + F.lit(2e0))).otherwise(0e0))
+    best = F.col("_n") - 1 - F.col("up")
+    shares = placed.where("_n > 1").agg(*[(part(F.col("at"), k) / part(best, k)).alias(f"ndcg{k}") for k in ks])
+    enough = F.col("aff_n") >= 3
+    return sums.crossJoin(shares).select("aff_n", *[F.when(enough, F.coalesce(c, F.lit(0e0))).otherwise(0e0).alias(c) for c in ("spearman", "pearson", *[f"ndcg{k}" for k in ks])])  # one row each
+
+
+def argmax_accuracy(df: DataFrame, scores: str, label: str) -> DataFrame:
+    """One row: the share of rows whose largest score, the first of equals, is at the label."""
+    return df.agg(F.avg((F.array_position(scores, F.array_max(scores)) - 1 == F.col(label)).cast("double")).alias("accuracy"))

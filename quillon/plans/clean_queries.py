@@ -34,9 +34,9 @@ def affinity_pvalue(spark, d):
 
 
 def typed_affinity_parse(spark, d):
-    """Cells such as "Kd=12.5uM", with some that can't be read."""
+    """Cells such as "Kd=12.5uM", "ki 3 nM" and "EC50~2.0pM", without an operator too, and some that can't be read: other kinds, a bare M, two points."""
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % len(xs) + 1).cast("int"))
-    cell = F.concat(pick("Kd", "KI", "ic50", "EC50", "none"), pick("=", "<", ">=", "~"), F.col("p_size").cast("string"), F.lit(".5"), pick("u", "n", "p", "m", "M"), F.lit("M"))
+    cell = F.concat(pick("Kd", "KI", "ic50", "EC50", "none"), pick("=", "", " ", ">=", "~", "==< "), F.col("p_size").cast("string"), pick(".5", "", ".25.5", ".125", "", ".", "0"), pick("uM", "nM", " pM", "mM", "M", "UM", "NM", "kM"))
     found = table(spark, d, "part").select("p_partkey", C.typed_affinity(cell).alias("a"))
     return rounded(found.select("p_partkey", "a.kind", "a.op", F.col("a.nanomolar").alias("nanomolar"), F.col("a.p").alias("p")), "nanomolar", "p")
 
@@ -140,10 +140,10 @@ ORACLES = {
     "label_binarize": "SELECT l_suppkey AS prot, CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END AS label, count(*) AS n FROM lineitem GROUP BY ALL",
     "numeric_clean": f"WITH {_CELLS} SELECT p_partkey, num, TRY_CAST(nullif(regexp_extract(cell, '(\\d+(?:\\.\\d+)?)', 1), '') AS DOUBLE) AS first_num FROM nums",
     "affinity_pvalue": f"WITH {_CELLS} SELECT p_partkey, round(-log10(num * 1e-9), 6) AS p FROM nums",
-    "typed_affinity_parse": """WITH c AS (SELECT p_partkey, ['Kd', 'KI', 'ic50', 'EC50', 'none'][p_partkey % 5 + 1] || ['=', '<', '>=', '~'][p_partkey % 4 + 1] || p_size || '.5' || ['u', 'n', 'p', 'm', 'M'][p_partkey % 5 + 1] || 'M' AS cell FROM part),
- x AS (SELECT p_partkey, regexp_extract(cell, '(?i)\\b(kd|ki|ic50|ec50)\\s*([<>=~]{1,2})\\s*([0-9]+(?:\\.[0-9]+)?)\\s*([munp])M', ['k', 'o', 'v', 'u']) AS a FROM c),
- v AS (SELECT p_partkey, nullif(upper(a.k), '') AS kind, nullif(a.o, '') AS op, TRY_CAST(nullif(a.v, '') AS DOUBLE) * CASE lower(a.u) WHEN 'm' THEN 1e6 WHEN 'u' THEN 1e3 WHEN 'n' THEN 1e0 ELSE 1e-3 END AS nm FROM x)
- SELECT p_partkey, kind, op, round(nm, 6) AS nanomolar, round(-log10(nm * 1e-9), 6) AS p FROM v""",
+    "typed_affinity_parse": """WITH c AS (SELECT p_partkey, ['Kd', 'KI', 'ic50', 'EC50', 'none'][p_partkey % 5 + 1] || ['=', '', ' ', '>=', '~', '==< '][p_partkey % 6 + 1] || p_size || ['.5', '', '.25.5', '.125', '', '.', '0'][p_partkey % 7 + 1] || ['uM', 'nM', ' pM', 'mM', 'M', 'UM', 'NM', 'kM'][p_partkey % 8 + 1] AS cell FROM part),
+ x AS (SELECT p_partkey, regexp_extract(cell, '(?i)(Kd|Ki|IC50|EC50)\\s*([<>=~]*)\\s*([0-9.]+)\\s*([munp]?M)', ['k', 'o', 'v', 'u']) AS a FROM c),
+ v AS (SELECT p_partkey, a.k AS kind, a.o AS op, TRY_CAST(nullif(a.v, '') AS DOUBLE) * CASE lower(a.u) WHEN 'mm' THEN 1e6 WHEN 'um' THEN 1e3 WHEN 'nm' THEN 1e0 WHEN 'pm' THEN 1e-3 END AS nm FROM x)
+ SELECT p_partkey, CASE WHEN nm IS NOT NULL THEN kind END AS kind, CASE WHEN nm IS NOT NULL THEN op END AS op, round(nm, 6) AS nanomolar, round(CASE WHEN nm > 0 THEN -log10(nm * 1e-9) END, 6) AS p FROM v""",
     "first_valid_column": f"WITH {_CELLS} SELECT p_partkey, CASE WHEN num IS NOT NULL THEN 'cell' WHEN p_size > 25 THEN 'size' END AS kind, coalesce(num, CASE WHEN p_size > 25 THEN CAST(p_size AS DOUBLE) END) AS value FROM nums",
     "seq_clean": "WITH s AS (SELECT item_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z ]', '', 'g')), '\\s+', '', 'g') AS s FROM benchmark) SELECT item_id, CASE WHEN length(s) BETWEEN 50 AND 1022 AND length(regexp_replace(s, '[ACDEFGHIKLMNPQRSTVWY]', '', 'g')) / CAST(length(s) AS DOUBLE) <= 0.3e0 THEN length(s) END AS length FROM s",
     "id_list_parse": "SELECT p_partkey, '1AB' || (p_size % 10) || ' 2XY' || (p_partkey % 10) AS ids, '1AB' || (p_size % 10) || ' 2XY' || (p_partkey % 10) AS sorted_ids FROM part",
@@ -151,7 +151,7 @@ ORACLES = {
     "safe_key": "WITH k AS (SELECT DISTINCT regexp_replace((p_size - 10) || '_' || p_brand, '[^0-9A-Za-z_]', '_', 'g') AS s FROM part) SELECT DISTINCT CASE WHEN regexp_matches(s, '^[A-Za-z_]') THEN s ELSE 'k_' || s END AS safe FROM k",
     "reject_reasons": "SELECT CASE WHEN p_size < 5 THEN 'small' WHEN p_retailprice < 950 THEN 'cheap' WHEN p_type = 'PROMO' THEN 'promo' ELSE 'ok' END AS reason, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM part GROUP BY 1",
     "stable_hash": "SELECT p_partkey, ('0x' || substring(sha1('123|' || p_partkey), 1, 15))::BIGINT AS h FROM part",
-    "regex_tokenize_counts": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(\\[[^\\]]+\\]|Br|Cl|Si|Se|Na|Cn|N|O|S|P|F|I|B|C|\\(|\\)|=|#|-|\\+|/|%[0-9]{2})', 1)) AS token FROM documents) GROUP BY token",
+    "regex_tokenize_counts": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, 'Cl|Br|Si|Se|Na|Li|Mg|Ca|Al|@@?|=|#|\\(|\\)|\\[|\\]|\\.|/|\\\\|[A-Z][a-z]?')) AS token FROM documents) GROUP BY token",
     "char_vocab": "WITH t AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM benchmark) SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM t UNION ALL SELECT * FROM (VALUES ('<pad>', 0), ('<mask>', 1), ('<cls>', 2), ('<unk>', 3))",
     "encode_with_unk": "SELECT item_id, list_aggregate(list_transform(list_concat([2], list_transform(string_split(text, ''), lambda c: CASE WHEN c = ' ' THEN 17 WHEN c BETWEEN 'a' AND 'm' THEN ascii(c) - 93 ELSE 3 END))[1:32], lambda x: CAST(x AS VARCHAR)), 'string_agg', ' ') AS ids FROM benchmark",
     "ragged_offsets": "SELECT conv_id, turn, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset, n AS length FROM (SELECT conv_id, turn, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM conversations)",

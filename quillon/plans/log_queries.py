@@ -20,7 +20,7 @@ def log_parse_silhouette(spark, d):
     """Epochs from marker lines, then the mean of positive scores by epoch."""
     e = table(spark, d, "events")
     line = F.when(F.col("event_id") % 500 == 0, F.lit("x [CODEBOOK] mode=init")).otherwise(F.format_string("x Silhouette Score (subsample): 6_%d %s0.%02d, sample size %d, K_e %d", F.col("user_id"), F.when(F.col("event_id") % 7 == 0, "-").otherwise(""), F.col("event_id") % 100, F.col("event_id"), F.col("user_id")))
-    rows = A.epoch_of_lines(e.select(F.lit(1).alias("file"), "event_id", line.alias("line")), ["file"], "event_id", L.is_epoch_marker(F.col("line")))
+    rows = A.epoch_of_log(e.select("event_id", line.alias("line")), "event_id", L.is_epoch_marker(F.col("line")))
     return rounded(A.dense_mean(L.silhouette_lines(rows), "epoch", "score"), "mean")
 
 

@@ -74,13 +74,7 @@ def exclusion_anti(spark, d):
 
 
 def matrix_expansion(spark, d):
-    """Long rows of a matrix in an array column."""
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("col", "value"))
-    return e.where("col < 4").select("vec_id", F.col("col").cast("long").alias("col"), F.round(F.col("value").cast("double"), 6).alias("value"))
-
-
-def matrix_expansion_all(spark, d):
-    """As matrix_expansion, with every component."""
+    """Long rows of a matrix in an array column: every component."""
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("col", "value"))
     return e.select("vec_id", F.col("col").cast("long").alias("col"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
@@ -238,7 +232,7 @@ def token_intersection(spark, d):
     return words("benchmark", "item_id").intersect(words("documents", "doc_id")).groupBy(F.length("w").cast("long").alias("length")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (token_join_inner, token_join_missing, entity_semi_join, cluster_semi_join, left_lookup, priority_lookup, match_cascade, exclusion_anti, matrix_expansion, matrix_expansion_all, entity_stats, split_summary, balance_summary, pair_stats, describe_groups, key_freq_sum, histogram_bins, rolling_mean_20, running_offsets, argmax_per_run, mean_std_by_method, epoch_from_markers, dense_epoch_mean, prefix_rollup, top20_reasons, equivalence_groups, contingency_entropy, target_encoding, min_max_scale, status_shares, stratified_block_split, balanced_undersample, file_split, per_class_sample, random_sample, entity_overlap, pair_overlap, leakage_audit, guide_split_case, dedup_pairs, token_intersection)}
+QUERIES = {f.__name__: f for f in (token_join_inner, token_join_missing, entity_semi_join, cluster_semi_join, left_lookup, priority_lookup, match_cascade, exclusion_anti, matrix_expansion, entity_stats, split_summary, balance_summary, pair_stats, describe_groups, key_freq_sum, histogram_bins, rolling_mean_20, running_offsets, argmax_per_run, mean_std_by_method, epoch_from_markers, dense_epoch_mean, prefix_rollup, top20_reasons, equivalence_groups, contingency_entropy, target_encoding, min_max_scale, status_shares, stratified_block_split, balanced_undersample, file_split, per_class_sample, random_sample, entity_overlap, pair_overlap, leakage_audit, guide_split_case, dedup_pairs, token_intersection)}
 
 
 def _h(seed: int, text: str) -> str:
@@ -256,8 +250,7 @@ ORACLES = {
     "priority_lookup": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_totalprice DESC, o_orderkey) = 1",
     "match_cascade": "WITH b AS (SELECT p_brand AS k2, 'brand ' || max(p_partkey) AS m FROM part WHERE p_size < 5 GROUP BY 1), t AS (SELECT p_type AS k3, 'type ' || max(p_partkey) AS m FROM part WHERE p_size > 45 GROUP BY 1) SELECT p_partkey, coalesce(CASE WHEN p_partkey % 11 = 0 THEN 'key ' || p_partkey END, b.m, t.m) AS match FROM part LEFT JOIN b ON p_partkey % 2 = 0 AND k2 = p_brand LEFT JOIN t ON k3 = p_type",
     "exclusion_anti": f"WITH {INTERACTIONS} SELECT prot, count(*) AS n FROM inter i WHERE NOT EXISTS (SELECT 1 FROM inter c WHERE c.ord % 10 = 0 AND c.prot = i.prot AND c.lig = i.lig) GROUP BY prot",
-    "matrix_expansion_all": "SELECT vec_id, c AS col, round(CAST(embedding[c + 1] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS c FROM embeddings)",
-    "matrix_expansion": "SELECT vec_id, c AS col, round(CAST(embedding[c + 1] AS DOUBLE), 6) AS value FROM embeddings, range(4) r(c)",
+    "matrix_expansion": "SELECT vec_id, c AS col, round(CAST(embedding[c + 1] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS c FROM embeddings)",
     "entity_stats": f"WITH {_LABELLED} SELECT lig, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg, round(avg(label), 6) AS pos_rate FROM lab GROUP BY lig",
     "split_summary": f"WITH {INTERACTIONS}, {_SPLIT} SELECT split, count(*) AS n, count(DISTINCT prot) AS prots, count(DISTINCT lig) AS ligs FROM sp GROUP BY split",
     "balance_summary": f"WITH {_LABELLED}, e AS (SELECT ord % 3 AS split, prot, avg(label) AS v FROM lab GROUP BY 1, 2) SELECT split, count(*) AS entities, {_TWO}, round(min(v), 6) AS least, round(max(v), 6) AS most FROM e GROUP BY split",

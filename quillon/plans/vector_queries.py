@@ -1,4 +1,4 @@
-"""Codebook, graph and geometry queries. Keys are the labels of embeddings; the graph joins suppliers and parts by some line items."""
+"""Codebook, graph and geometry queries. Keys are the labels of embeddings; the graph joins suppliers and parts by all line items, and hops run in a small graph of each order."""
 
 from __future__ import annotations
 
@@ -90,25 +90,26 @@ def codebook_reshape(spark, d):
 
 
 def _edges(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber <= 2")
-    return li.select(F.col("l_suppkey").alias("src"), (10_000_000 + F.col("l_partkey")).alias("dst")).distinct()
+    """Every pair of a supplier and a part in lineitem."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (10_000_000 + F.col("l_partkey")).alias("dst")).distinct()
 
 
-def _all_edges(spark, d):
-    """The whole graph: every pair of a supplier and a part in lineitem."""
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (10_000_000 + F.col("l_partkey")).alias("dst")).distinct()
+def _molecules(spark, d):
+    """A small graph for each order, as molecules are: every line item joins two of its seven nodes."""
+    node = lambda c: (F.col("l_orderkey") * 100 + F.col(c) % 7)
+    return table(spark, d, "lineitem").select(node("l_suppkey").alias("src"), node("l_partkey").alias("dst")).where("src <> dst").distinct()
 
 
-def symmetrize(spark, d, edges=_edges):
-    return G.degree(G.symmetric(edges(spark, d)))
+def symmetrize(spark, d):
+    return G.degree(G.symmetric(_edges(spark, d)))
 
 
-def self_loops(spark, d, edges=_edges):
-    return G.with_loops(edges(spark, d)).groupBy((F.col("src") == F.col("dst")).cast("int").alias("is_loop")).agg(F.count("*").alias("n"))
+def self_loops(spark, d):
+    return G.with_loops(_edges(spark, d)).groupBy((F.col("src") == F.col("dst")).cast("int").alias("is_loop")).agg(F.count("*").alias("n"))
 
 
-def one_way_edges(spark, d, edges=_edges):
-    half = G.symmetric(edges(spark, d)).where("NOT (src > dst AND src % 3 = 0)")
+def one_way_edges(spark, d):
+    half = G.symmetric(_edges(spark, d)).where("NOT (src > dst AND src % 3 = 0)")
     return G.one_way(half)
 
 
@@ -117,68 +118,51 @@ def undirected_bonds(spark, d):
     return G.undirected_max(li, ["mol"], "l_linenumber")
 
 
-def _near(spark, d):
-    return _edges(spark, d).where("src < 40")
-
-
-def hop_edges(spark, d, edges=_near):
-    return G.hops(edges(spark, d), 3).groupBy("src", "hop").agg(F.count("*").alias("n"))
+def hop_edges(spark, d):
+    return G.hops(_molecules(spark, d), 3).groupBy("src", "hop").agg(F.count("*").alias("n"))
 
 
-def het_two_hop_code(spark, d, edges=_near):
-    small = edges(spark, d)
-    kinds = small.select("src").union(small.select("dst")).distinct().withColumn("kind", F.col("src") % 3)
-    return G.two_hop_code(small, kinds.withColumnRenamed("src", "node"), "node", "kind", {0: 1, 1: 3, 2: 9})
+def het_two_hop_code(spark, d):
+    edges = _molecules(spark, d)
+    kinds = edges.select("src").union(edges.select("dst")).distinct().withColumn("kind", F.col("src") % 3)
+    return G.two_hop_code(edges, kinds.withColumnRenamed("src", "node"), "node", "kind", {0: 1, 1: 3, 2: 9})
 
 
-def _values(spark, d, edges):
-    e = edges(spark, d)
+def _values(spark, d):
+    e = _edges(spark, d)
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
     return nodes.withColumn("x", (F.col("node") % 17).cast("double"))
 
 
-def neighbor_mean(spark, d, edges=_edges):
-    return rounded(G.neighbor_mean(G.symmetric(edges(spark, d)), _values(spark, d, edges), "node", "x", 0.3).select("node", "smooth"), "smooth")
-
-
-def sgc_propagation(spark, d, edges=_edges):
-    return rounded(G.propagate(G.symmetric(edges(spark, d)), _values(spark, d, edges), "node", "x", 2), "x")
-
-
-def subgraph(spark, d, edges=_edges):
-    nodes = _values(spark, d, edges).where("node % 5 < 3").select("node")
-    return G.subgraph(edges(spark, d), nodes, "node")
+def neighbor_mean(spark, d):
+    return rounded(G.neighbor_mean(G.symmetric(_edges(spark, d)), _values(spark, d), "node", "x", 0.3).select("node", "smooth"), "smooth")
 
 
-def neighborhood(spark, d, edges=_edges):
-    seeds = _values(spark, d, edges).where("node < 2").select("node")
-    return G.neighborhood(G.symmetric(edges(spark, d)), seeds, "node", 3).groupBy("distance").agg(F.count("*").alias("n"))
+def sgc_propagation(spark, d):
+    return rounded(G.propagate(G.symmetric(_edges(spark, d)), _values(spark, d), "node", "x", 2), "x")
 
 
-def min_cut(spark, d, edges=_edges):
-    parts = _values(spark, d, edges).select("node", (F.col("node") % 4).alias("part"))
-    return rounded(G.min_cut(G.symmetric(edges(spark, d)), parts, "node", "part"), "min_cut")
+def subgraph(spark, d):
+    nodes = _values(spark, d).where("node % 5 < 3").select("node")
+    return G.subgraph(_edges(spark, d), nodes, "node")
 
 
-def _thin(spark, d):
-    return _edges(spark, d).where("(src + dst) % 4 = 0")
+def neighborhood(spark, d):
+    seeds = _values(spark, d).where("node < 2").select("node")
+    return G.neighborhood(G.symmetric(_edges(spark, d)), seeds, "node", 3).groupBy("distance").agg(F.count("*").alias("n"))
 
 
-def connected_components(spark, d, edges=_thin):
-    return G.components(edges(spark, d))
+def min_cut(spark, d):
+    parts = _values(spark, d).select("node", (F.col("node") % 4).alias("part"))
+    return rounded(G.min_cut(G.symmetric(_edges(spark, d)), parts, "node", "part"), "min_cut")
 
 
-def largest_component(spark, d, edges=_thin):
-    return G.largest_components(edges(spark, d), 3)
+def connected_components(spark, d):
+    return G.components(_edges(spark, d))
 
 
-def _whole(query):
-    """The same query over the whole graph."""
-    return lambda spark, d: query(spark, d, _all_edges)
-
-
-#: Each has, beside the query over a part of the graph, one of the name with _all over the whole.
-GRAPH = (symmetrize, self_loops, one_way_edges, hop_edges, het_two_hop_code, neighbor_mean, sgc_propagation, subgraph, neighborhood, min_cut, connected_components, largest_component)
+def largest_component(spark, d):
+    return G.largest_components(_edges(spark, d), 3)
 
 
 def _atoms(spark, d):
@@ -204,7 +188,7 @@ def contact_mask(spark, d):
 
 def chain_ranking(spark, d):
     lig, res = _sides(spark, d)
-    return rounded(Y.chain_ranking(res, lig, ("x", "y", "z"), "label", "res", 1.0, 4.0), "soft", "best")
+    return rounded(Y.chain_ranking(res.withColumn("structure", F.col("label") % 3), lig, ("x", "y", "z"), "structure", "label", "res", 1.0, 4.0), "soft", "best")
 
 
 def pair_quantiles(spark, d):
@@ -234,11 +218,12 @@ _EMA = f"""{_ASS}, x AS (SELECT label, cid, i, sum(v[i]) AS s, count(*) AS n FRO
  m AS (SELECT c.label, c.cid, r.i, c.c[r.i] AS old, coalesce(n, 0) AS n, 0.8e0 + 0.2e0 * coalesce(n, 0) AS cs, 0.8e0 * c.c[r.i] + 0.2e0 * coalesce(s, 0e0) AS ea FROM cen c CROSS JOIN range(1, 65) r(i) LEFT JOIN x ON x.label = c.label AND x.cid = c.cid AND x.i = r.i),
  l AS (SELECT *, sqrt(sum(ea * ea) OVER (PARTITION BY label, cid)) AS len FROM m),
  ema AS (SELECT label, cid, i, n, cs, 0.03e0 * n AS ue, CASE WHEN n > 0 THEN ea / len ELSE old END AS center FROM l)"""
-_EDG = "edg AS (SELECT DISTINCT l_suppkey AS src, 10000000 + l_partkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber <= 2)"
+_EDG = "edg AS (SELECT DISTINCT l_suppkey AS src, 10000000 + l_partkey AS dst FROM lineitem)"
 _SYM = f"{_EDG}, sym AS (SELECT src, dst FROM edg UNION SELECT dst, src FROM edg)"
 _VAL = f"{_SYM}, val AS (SELECT DISTINCT src AS node, CAST(src % 17 AS DOUBLE) AS x FROM sym)"
-_HOPS = f"{_EDG}, h1 AS (SELECT src, dst FROM edg WHERE src < 40 UNION SELECT dst, src FROM edg WHERE src < 40), h2 AS (SELECT DISTINCT a.src, b.dst FROM h1 a JOIN h1 b ON a.dst = b.src WHERE a.src <> b.dst EXCEPT SELECT * FROM h1), h3 AS (SELECT DISTINCT a.src, b.dst FROM h2 a JOIN h1 b ON a.dst = b.src WHERE a.src <> b.dst EXCEPT (SELECT * FROM h1 UNION SELECT * FROM h2))"
-_COMP = f"{_EDG}, thin AS (SELECT * FROM edg WHERE (src + dst) % 4 = 0), e AS (SELECT src AS a, dst AS b FROM thin UNION SELECT dst, src FROM thin), reach AS (SELECT a AS node, a AS r FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.r = e.a), comp AS (SELECT node, min(r) AS component FROM reach GROUP BY node)"
+_MOL = "edg AS (SELECT DISTINCT l_orderkey * 100 + l_suppkey % 7 AS src, l_orderkey * 100 + l_partkey % 7 AS dst FROM lineitem WHERE l_suppkey % 7 <> l_partkey % 7)"
+_HOPS = f"{_MOL}, h1 AS (SELECT src, dst FROM edg UNION SELECT dst, src FROM edg), h2 AS (SELECT DISTINCT a.src, b.dst FROM h1 a JOIN h1 b ON a.dst = b.src WHERE a.src <> b.dst EXCEPT SELECT * FROM h1), h3 AS (SELECT DISTINCT a.src, b.dst FROM h2 a JOIN h1 b ON a.dst = b.src WHERE a.src <> b.dst EXCEPT (SELECT * FROM h1 UNION SELECT * FROM h2))"
+_COMP = f"{_EDG}, e AS (SELECT src AS a, dst AS b FROM edg UNION SELECT dst, src FROM edg), comp(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT p.node, min(c.component) FROM recurring.comp p JOIN e ON e.a = p.node JOIN comp c ON c.node = e.b WHERE c.component < p.component GROUP BY p.node)"
 _ATO = "ato AS (SELECT label, vec_id, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE) * 10, 4) AS {c}" for i, c in enumerate("xyz")) + " FROM embeddings)"
 _SID = f"{_ATO}, prs AS (SELECT a.label, a.vec_id AS lig, b.vec_id AS res, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM ato a JOIN ato b ON a.label = b.label AND a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)"
 _GRID = "grid AS (SELECT i, j, -4e0 + 8e0 * i / 7 AS gx, -4e0 + 8e0 * j / 7 AS gy FROM range(8) a(i), range(8) b(j))"
@@ -274,21 +259,9 @@ ORACLES = {
     "largest_component": f"WITH RECURSIVE {_COMP} SELECT component, count(*) AS size FROM comp GROUP BY component ORDER BY size DESC, component LIMIT 3",
     "contact_range_join": f"WITH {_SID} SELECT label, lig, res, round(d, 6) AS distance FROM prs WHERE d <= 1.0",
     "contact_mask": f"WITH {_SID} SELECT label, string_agg(CASE WHEN near THEN '1' ELSE '0' END, '' ORDER BY res) AS mask, count_if(near) AS contact_n FROM (SELECT b.label, b.vec_id AS res, EXISTS (SELECT 1 FROM prs WHERE prs.res = b.vec_id AND d <= 1.0) AS near FROM ato b WHERE b.vec_id % 5 <> 0) GROUP BY label",
-    "chain_ranking": f"WITH {_SID}, m AS (SELECT label, res, min(d) AS d FROM prs GROUP BY ALL), c AS (SELECT label, count_if(d < 1.0) AS contacts, sum(exp(-d / 4e0)) AS soft, min(d) AS best FROM m GROUP BY label) SELECT label, contacts, round(soft, 6) AS soft, round(best, 6) AS best, row_number() OVER (ORDER BY contacts DESC, soft DESC, best, label) AS place FROM c",
+    "chain_ranking": f"WITH {_SID}, m AS (SELECT label, res, min(d) AS d FROM prs GROUP BY ALL), c AS (SELECT label, count_if(d < 1.0) AS contacts, sum(exp(-d / 4e0)) AS soft, min(d) AS best FROM m GROUP BY label) SELECT label % 3 AS structure, label, contacts, round(soft, 6) AS soft, round(best, 6) AS best, row_number() OVER (PARTITION BY label % 3 ORDER BY contacts DESC, soft DESC, best, label) AS place FROM c",
     "pair_quantiles": f"WITH {_PTS}, q AS (SELECT a.label, sqrt({_DIST.format(a='a.v', b='b.v')}) AS d FROM pts a JOIN pts b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT label, count(*) AS pairs, round(quantile_cont(d, 0.1), 6) AS q10, round(quantile_cont(d, 0.25), 6) AS q25, round(quantile_cont(d, 0.75), 6) AS q75 FROM q GROUP BY label",
     "kde_grid": f"WITH {_ATO}, {_GRID} SELECT i, j, round(sum(exp(-((x - gx) * (x - gx) + (y - gy) * (y - gy)) / (2 * 0.8e0 * 0.8e0))) / (count(*) * 2 * pi() * 0.8e0 * 0.8e0), 6) AS density FROM ato, grid GROUP BY i, j",
     "voronoi": f"WITH {_ATO}, {_GRID} SELECT i, j, vec_id AS cid FROM grid, ato WHERE vec_id < 6 QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY (x - gx) * (x - gx) + (y - gy) * (y - gy), vec_id) = 1",
     "percentile_zoom": f"WITH {_ATO}, b AS (SELECT quantile_cont(x, 0.05) AS xl, quantile_cont(x, 0.95) AS xh, quantile_cont(y, 0.05) AS yl, quantile_cont(y, 0.95) AS yh FROM ato) SELECT vec_id FROM ato, b WHERE x BETWEEN xl AND xh AND y BETWEEN yl AND yh",
 }
-
-QUERIES |= {f"{f.__name__}_all": _whole(f) for f in GRAPH}
-
-
-def _of_all(sql: str) -> str:
-    """The SQL without the filters of rows, ids and remainders on the edges."""
-    for cut in (" WHERE l_quantity = 50 AND l_linenumber <= 2", " WHERE src < 40", " WHERE (src + dst) % 4 = 0"):
-        sql = sql.replace(cut, "")
-    return sql
-
-
-ORACLES |= {f"{f.__name__}_all": _of_all(ORACLES[f.__name__]) for f in GRAPH}

@@ -28,3 +28,16 @@ def is_epoch_marker(line: Column) -> Column:
 def metric(document: Column, section: list[str], name: str) -> Column:
     """A number of a JSON document, under the first of some section names that has it."""
     return F.coalesce(*[F.get_json_object(document, f"$.{s}.{name}").try_cast("double") for s in section])
+
+
+#: A line of a key, quoted or not, and a number.
+KEY_NUMBER = r'^\s*"?([^":,\s]+)"?\s*[: ,]\s*([0-9]+)\s*,?\s*$'
+
+
+def raw_counts(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(key, n): totals by key of two kinds of lines, the sample size of a silhouette line and a key and a number; others are left out."""
+    of_score = r"Silhouette Score \(subsample\): (\S+) -?\d+\.\d+, sample size (\d+)"
+    plain = KEY_NUMBER
+    pick = lambda k: F.when(F.col(line).rlike(of_score), F.regexp_extract(line, of_score, k)).when(F.col(line).rlike(plain), F.regexp_extract(line, plain, k))
+    rows = lines.select(pick(1).alias("key"), pick(2).cast("long").alias("n"))
+    return rows.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))

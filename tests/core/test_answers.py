@@ -68,7 +68,8 @@ def test_codebook_sizes(spark, n, a, b):
 def test_cells(spark):
     got = lambda text: one(spark, x=C.number(F.lit(text))).x
     assert [got(x) for x in (">1,200", "-5", "", "abc", "inf", "nan", None)] == [1200.0, None, None, None, None, None, None]
-    r = one(spark, a=C.p_value(F.lit(1200.0)), b=C.typed_affinity(F.lit("IC50=12.5uM")), c=C.typed_affinity(F.lit("Kd=3M")))
+    r = one(spark, a=C.p_value(F.lit(1200.0)), b=C.typed_affinity(F.lit("IC50=12.5uM")), c=C.typed_affinity(F.lit("Kd=3M")), d=C.typed_affinity(F.lit("x Kd 12 nM")), e=C.typed_affinity(F.lit("kd12NM")))
+    assert (r.d.kind, r.d.op, r.d.nanomolar) == ("Kd", "", 12.0) and (r.e.kind, r.e.nanomolar) == ("kd", 12.0)
     assert r.a == pytest.approx(5.920818754) and r.b.p == pytest.approx(4.903089987) and r.c is None
     assert one(spark, x=C.binarize(F.lit(float("nan")), 1.0)).x == 0
     r = one(spark, a=C.stable_hash(F.lit("abc"), 123, 16).cast("string"), b=C.stable_hash(F.lit("abc"), 123))
@@ -79,6 +80,7 @@ def test_cells(spark):
 def test_tokens(spark):
     got = lambda text: one(spark, x=T.regex_tokens(F.lit(text))).x
     assert got("CCl") == ["C", "Cl"] and got("c1ccccc1O") == ["O"] and got("Cn1cccc1") == ["Cn"] and got("CC(=O)O") == ["C", "C", "(", "=", "O", ")", "O"]
+    assert got("[C@@H](O)Mg.N\\C-1%12") == ["[", "C", "@@", "H", "]", "(", "O", ")", "Mg", ".", "N", "\\", "C"]
     assert one(spark, x=T.ints(F.lit(" 1,2 x 3 "))).x == [1, 2, 3] and one(spark, x=T.ints_or_json(F.lit("[4, 5]"))).x == [4, 5]
     df = spark.createDataFrame([(0, 0, ["a"] * 3), (0, 1, ["b"]), (0, 2, ["c"] * 2)], "b int, i int, t array<string>")
     assert [r.offset for r in T.ragged(df, "b", "i", "t").orderBy("i").collect()] == [0, 3, 4]
@@ -110,8 +112,13 @@ def test_codebook_changes():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal([3, 0], 0.5, (300, 2)), rng.normal([0, 3], 0.1, (20, 2))])
     cid = np.array([0] * 300 + [1] * 20)
-    center, cs, cooldown = V.split_winner(np.array([[1.0, 0], [0, 1.0], [-1.0, 0]]), np.array([300.0, 20, 0.0]), np.zeros(3, int), x, cid)
-    assert cs.tolist() == [150, 20, 150] and cooldown.tolist() == [2000, 0, 2000] and not np.allclose(center[0], center[2])
+    book, use = np.array([[1.0, 0], [0, 1.0], [-1.0, 0]]), np.array([300.0, 20, 0.0])
+    center, cs, ue, cooldown = V.split_winner(book, use, use / 2, np.zeros(3, int), x, cid)
+    assert cs.tolist() == [150, 20, 150] and ue.tolist() == [75, 10, 75] and cooldown.tolist() == [2000, 0, 2000] and not np.allclose(center[0], center[2])
+    even = np.array([250.0, 250, 250, 250, 250, 250])
+    split = lambda ue, before: not np.array_equal(V.split_winner(np.eye(6), even, ue, np.zeros(6, int), np.ones((300, 6)), np.zeros(300, int), before)[2], ue)
+    rising = np.array([22.0, 17, 16, 15, 15, 15])  # a share of 0.22 of use, 0.193 mixed: only growth lets it split
+    assert split(rising, 0.1) and not split(rising, 0.18) and not split(even, 0.0)
     center, cs, ue = V.revive(np.eye(2), np.array([0.05, 9.0]), np.array([0.0, 1.0]), x)
     assert cs.tolist() == [32, 9] and ue.tolist() == [32, 1]
     assert V.prune(np.array([0, 2]), 3).tolist() == [True, False]

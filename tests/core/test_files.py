@@ -21,7 +21,7 @@ def put(folder, name, text):
 def test_texts(spark, tmp_path):
     lines = lambda text: S.numbered_lines(spark, put(tmp_path, "f", text))
     assert [(r.id, r.seq) for r in S.fasta(lines(">p1 d\nACD\nEFG\n>p2\nKLM\n"), ["file"]).orderBy("id").collect()] == [("p1", "ACDEFG"), ("p2", "KLM")]
-    assert [(r.id, r.kind, r.nanomolar) for r in S.affinity_index(lines("# c\n1abc 2.0 1999 Kd=12.5uM\nshort\n")).collect()] == [("1abc", "KD", 12500.0)]
+    assert [(r.id, r.kind, r.nanomolar) for r in S.affinity_index(lines("# c\n1abc 2.0 1999 Kd=12.5uM\nshort\n2DEF 1.0 2000 Ki7nM // x\n")).orderBy("id").collect()] == [("1abc", "Kd", 12500.0), ("2def", "Ki", 7.0)]
     assert sorted(r.smiles for r in S.molecule_list(lines("smiles\nCCO\nCc1 name\n17,CCN\nid_1!,CCF\n5,6\nid,smiles\n\n")).collect()) == ["5", "CCN", "CCO", "Cc1", "id_1!"]
     atoms = S.structure_atoms(lines("MODEL        1\n" + ATOM + "ENDMDL\nMODEL        2\n" + ATOM), ["file"]).collect()
     assert [(a.chain, a.res_seq, a.x, a.z, a.element) for a in atoms] == [("A", 7, 11.104, -6.504, "C")]
@@ -34,6 +34,12 @@ def test_molecules(spark, tmp_path):
     assert [(x.title, x.n_atoms, x.fields["ID"], x.deep, x.bonds[0].order) for x in m] == [("mol1", 2, "M7", True, 2)] * 2
 
 
+def test_depth(spark):
+    deep = lambda *atoms: spark.createDataFrame([([*atoms],)], "a array<struct<x:double,y:double,z:double>>").select(S.has_depth(F.col("a"))).first()[0]
+    assert deep((0.0, 1.0, 2.0), (5.0, 1.0, 2.0)) and deep((0.0, 0.0, 1.0))
+    assert not deep((1.0, 1.0, 1.0), (1.0, 1.0, 1.0)) and not deep((0.0, float("nan"), 2.0), (1.0, 2.0, 3.0)) and not deep((0.0, float("inf"), 2.0)) and not deep((0.0, None, 2.0)) and not deep()
+
+
 def test_tables(spark, tmp_path):
     assert S.delimited(spark, put(tmp_path, "t.csv", 'a,b\n1,"x, y"\n2,\n'), required=["a"]).count() == 2
     hits = S.best_hits(spark, put(tmp_path, "h.tsv", "q\tt2\t1\t2\t1\t1\t0\t5\nq\tt1\t1\t2\t1\t1\t0\t9\nbad\n"))

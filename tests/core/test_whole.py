@@ -8,9 +8,13 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from quillon.operators import aggregates as A
 from quillon.operators import codebook as V
 from quillon.operators import geometry as Y
+from quillon.operators import joins as J
 from quillon.operators import losses as L
+from quillon.operators import metrics as M
+from quillon.plans import prefix as P
 from quillon.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -34,16 +38,20 @@ def test_components_and_degrees_of_the_whole_graph(spark, pairs):
     for a, b in pairs:
         low, high = sorted((root(a), root(b)))
         parent[high] = low
-    found = registry.queries()["connected_components_all"](spark, DATA).collect()
+    found = registry.queries()["connected_components"](spark, DATA).collect()
     assert {r.node: r.component for r in found} == {n: root(n) for n in parent}
-    degrees = {r.src: r.degree for r in registry.queries()["symmetrize_all"](spark, DATA).collect()}
+    degrees = {r.src: r.degree for r in registry.queries()["symmetrize"](spark, DATA).collect()}
     wanted = pd.Series([n for e in pairs for n in e]).value_counts().to_dict()
     assert degrees == wanted
 
 
-def test_hops_of_the_whole_graph(spark, pairs):
+def test_hops_of_every_molecule(spark):
+    li = pd.read_parquet(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_suppkey", "l_partkey"]).drop_duplicates()
     near = {}
-    for a, b in pairs:
+    for o, s, p in li.itertuples(index=False):
+        a, b = int(o * 100 + s % 7), int(o * 100 + p % 7)
+        if a == b:
+            continue
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     wanted = {}
@@ -54,12 +62,12 @@ def test_hops_of_the_whole_graph(spark, pairs):
             seen |= last
             if last:
                 wanted[n, hop] = len(last)
-    assert {(r.src, r.hop): r.n for r in registry.queries()["hop_edges_all"](spark, DATA).collect()} == wanted
+    assert {(r.src, r.hop): r.n for r in registry.queries()["hop_edges"](spark, DATA).collect()} == wanted
 
 
 def test_ranking_losses_over_all_events(spark):
     users = spark.read.parquet(f"{DATA}/events.parquet").groupBy("user_id").count().where("count >= 2").collect()
-    found = registry.queries()["list_rank_loss_all"](spark, DATA).collect()
+    found = registry.queries()["list_rank_loss"](spark, DATA).collect()
     assert {r.user_id: r.n for r in found} == {r.user_id: r["count"] for r in users}
 
 
@@ -82,9 +90,9 @@ def test_reshaping_goes_by_all_points_of_a_key(spark):
     x = np.vstack([rng.normal([3, 0, 0], [0.1, 0.8, 0.1], (140, 3)), rng.normal([0, 3, 0], 0.1, (860, 3))])
     cid = [int(i >= 140) for i in range(1000)]
     points = spark.createDataFrame([(1, c, v.tolist()) for c, v in zip(cid, x)], "k int, cid int, v array<double>").repartition(3)
-    cs, rests = [140.0, 860.0, 1.0], [0, 5, 5]
-    state = spark.createDataFrame([(1, i, np.eye(3)[i].tolist(), cs[i], np.eye(3)[i].tolist(), 1.0, 1, 3, rests[i]) for i in range(3)], "k int, cid int, center array<double>, cs double, ea array<double>, ue double, ever int, last_ep int, cooldown int")
-    center, want, rest = V.split_winner(np.eye(3), np.array(cs), np.array(rests), np.vstack([x] * 60), np.array(cid * 60))
+    cs, rests = [140.0, 860.0, 1.0], [0, 5, 0]
+    state = spark.createDataFrame([(1, i, np.eye(3)[i].tolist(), cs[i], np.eye(3)[i].tolist(), cs[i] / 4, 1, 3, rests[i]) for i in range(3)], "k int, cid int, center array<double>, cs double, ea array<double>, ue double, ever int, last_ep int, cooldown int")
+    center, want, _, rest = V.split_winner(np.eye(3), np.array(cs), np.array(cs) / 4, np.array(rests), np.vstack([x] * 60), np.array(cid * 60))
     assert want.tolist() == [70, 860, 70]  # 0.14 of the points, above 0.12 from 50000 points on
     many = points.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("_")
     got = V.reshaped(state, many, "k", "v", 3, sample=500).orderBy("cid").collect()
@@ -109,4 +117,60 @@ def test_quantiles_of_all_pairs_of_a_large_group(spark):
 
 def test_matrix_expansion_has_every_cell(spark):
     cells = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.sum(F.size("embedding"))).first()[0]
-    assert registry.queries()["matrix_expansion_all"](spark, DATA).count() == cells
+    assert registry.queries()["matrix_expansion"](spark, DATA).count() == cells
+
+
+def test_a_key_with_many_centers(spark):
+    """30000 centres and 3000 points of one key, by blocks, against one product; equal centres give the smallest id."""
+    rng = np.random.default_rng(3)
+    book = rng.normal(size=(30_000, 16))
+    book[29_999], book[17] = book[5], book[16]
+    x = np.vstack([rng.normal(size=(3000, 16)), book[5] * 3, book[17] * 3])
+    points = spark.createDataFrame(pd.DataFrame({"k": 1, "i": np.arange(len(x)), "v": x.tolist()})).repartition(4)
+    centers = spark.createDataFrame(pd.DataFrame({"k": 1, "cid": np.arange(len(book)), "c": book.tolist()})).repartition(4)
+    got = {r.i: (r.cid, r.similarity) for r in J.nearest_center(points, centers, "k", "v", "c", "cid").select("i", "cid", "similarity").collect()}
+    score = np.round(x @ book.T, 12)
+    assert [got[i][0] for i in range(len(x))] == score.argmax(axis=1).tolist()
+    assert np.allclose([got[i][1] for i in range(len(x))], score.max(axis=1))
+    far = {r.i: r.cid for r in J.nearest_center(points.where("i < 50"), centers, "k", "v", "c", "cid", cosine=False).collect()}
+    assert [far[i] for i in range(50)] == ((x[:50, None] - book[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()
+
+
+def test_nearest_center_of_odd_vectors(spark):
+    points = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, None), (1, 2, []), (1, 3, [1.0, None]), (1, 4, [1.0, 2.0, 3.0]), (2, 5, [1.0, 0.0]), (3, 6, [0.0, 1.0])], "k int, i int, v array<double>")
+    centers = spark.createDataFrame([(1, 7, [1.0, 0.0]), (1, 8, [0.0, 1.0]), (3, 9, [1.0, 0.0])], "k int, cid int, c array<double>")
+    found = {r.i: (r.cid, r.similarity) for r in J.nearest_center(points, centers, "k", "v", "c", "cid").collect()}
+    assert found == {0: (7, 1.0), 1: (None, None), 2: (None, None), 3: (None, None), 4: (None, None), 6: (9, 0.0)}
+    assert J.nearest_center(points.limit(0), centers, "k", "v", "c", "cid").count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 7, 2048])
+def test_silhouette_by_blocks(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(c), i, rng.normal(size=3).tolist()) for k in (1, 2) for i, c in enumerate(np.append(rng.integers(0, 4, 40) ** 2, 77))] + [(3, 0, 0, [1.0, 2.0, 3.0])]
+    found = {r.k: (r.n, r.silhouette) for r in V.silhouette(spark.createDataFrame(rows, "k int, c int, i int, v array<double>"), "k", "c", "v", "i", block=block).collect()}
+    for key in (1, 2):
+        own = [(c, np.array(v)) for k, c, _, v in rows if k == key]
+        total = 0.0
+        for i, (c, v) in enumerate(own):
+            mean = {d: np.mean([np.linalg.norm(v - w) for j, (e, w) in enumerate(own) if e == d and j != i] or [0.0]) for d in {e for e, _ in own}}
+            a, b = mean[c], min(m for d, m in mean.items() if d != c)
+            total += (b - a) / max(a, b)
+        assert found[key] == (len(own), pytest.approx(total / len(own)))
+    assert found[3] == (1, 0.0)
+
+
+def test_running_totals_by_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("o"), F.col("id").alias("v"))
+    run, want = 0, {}
+    for r in sorted(df.collect()):
+        want[r.o], run = run, run + r.v
+    assert {r.o: r.t for r in P.totals_before(df, "o", {"t": "v"}).collect()} == want
+    assert [r.n for r in P.numbered(df, [F.desc("o")], "n", 5).orderBy(F.desc("o")).collect()] == list(range(5, 1005))
+    assert P.totals_before(df.limit(0), "o", {"t": "v"}).count() == 0
+
+
+def test_ranks_and_encodings_of_large_groups(spark):
+    df = spark.createDataFrame([(g, float(v), i) for i, (g, v) in enumerate([("a", 3), ("a", 1), ("a", 3), ("b", 2), (None, 5), (None, 4), ("a", 2)])], "g string, v double, i int")
+    assert {r.i: r.r for r in M.average_ranks(df, {"r": "v"}, ["g"]).collect()} == {0: 3.5, 1: 1, 2: 3.5, 3: 1, 4: 2, 5: 1, 6: 2}
+    assert {r.i: r.encoded for r in A.target_encoding(df, "g", "i", "v", 1.0, 1.0).collect()} == {0: 1, 1: 2, 2: 5 / 3, 3: 1, 6: 2}
