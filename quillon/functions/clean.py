@@ -155,3 +155,8 @@ def shape_fault(rows: Column, width: int, longest: int) -> Column:
     """What is wrong with a matrix of features, an array of arrays: "empty", "ragged", "width" or "long"; null if nothing is."""
     sizes = F.array_distinct(F.transform(rows, lambda r: F.size(r)))
     return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "empty").when(F.size(sizes) > 1, "ragged").when(sizes[0] != width, "width").when(F.size(rows) > longest, "long")
+
+
+def first_sequence(columns: list[Column], **bounds) -> Column:
+    """The first of some cells, in order, that holds a sound sequence."""
+    return F.coalesce(*[sequence(c, **bounds) for c in columns])

@@ -84,6 +84,11 @@ def masked(df: DataFrame, token: str, keys: list[str], base_vocab: int, mask_id:
     return df.withColumn("input", value.cast("long")).withColumn("label", F.when(chosen, F.col(token)).otherwise(F.lit(-100)).cast("long"))
 
 
+def masked_text(df: DataFrame, token: str, keys: list[str], vocab: int, mask_id: int, kept: tuple[int, ...], prob: float = 0.15, seed: int = 0) -> DataFrame:
+    """As masked, for tokens of text: padding and first tokens (kept) are never chosen, and a random token may be any of the vocabulary, specials too."""
+    return masked(df, token, keys, vocab, mask_id, prob, seed, ~F.col(token).isin(*kept))
+
+
 def codebook_size(n: Column, largest: int | None = None) -> Column:
     """One centre for 30 rows or fewer, else one for each 30 begun; at most the largest."""
     k = F.when(n <= 30, 1).otherwise(F.ceil(n / F.lit(30e0)))

@@ -169,3 +169,16 @@ def row_shares(df: DataFrame, row: str, value: str) -> DataFrame:
 def one_hot(value: Column, categories: list) -> Column:
     """An array with 1 at the category of a value and 0 elsewhere."""
     return F.array(*[F.coalesce((value == c).cast("int"), F.lit(0)) for c in categories])
+
+
+def bin_counts(df: DataFrame, value: str, size: int) -> DataFrame:
+    """(bin, n) for every number from 0 below size; what lies outside is left out."""
+    counts = df.where(F.col(value).between(0, size - 1)).groupBy(F.col(value).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return df.sparkSession.range(size).select(F.col("id").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def histogram_signature(counts: DataFrame, groups: list[str], n: str, eps: float = 1e-12) -> DataFrame:
+    """Per group of counts: total, used (those above 0), most, max_share and entropy, of which eps keeps the logarithm finite."""
+    p = F.col(n) / F.sum(n).over(Window.partitionBy(*groups))
+    rows = counts.withColumn("_p", F.when(F.sum(n).over(Window.partitionBy(*groups)) > 0, p).otherwise(0e0))
+    return rows.groupBy(*groups).agg(F.sum(n).alias("total"), F.count(F.when(F.col(n) > 0, 1)).alias("used"), F.max(n).alias("most"), F.max("_p").alias("max_share"), (-F.sum(F.col("_p") * F.log(F.col("_p") + F.lit(eps)))).alias("entropy"))

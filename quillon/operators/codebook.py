@@ -271,9 +271,12 @@ def prune(last_ep: np.ndarray, epoch: int, age: int = 3) -> np.ndarray:
 
 
 def per_key_seeds(points: DataFrame, key: str, row: str, vector: str, k: int, seed: int = 0, sample: int = 50_000) -> DataFrame:
-    """(key, cid, center): seeds for each key, from at most `sample` of its points, chosen by a hash."""
-    w = Window.partitionBy(key).orderBy(F.xxhash64(row), row)
-    bounded = points.select(F.col(key).alias("key"), F.col(row).alias("row"), F.col(vector).cast("array<double>").alias("v")).withColumn("_rn", F.row_number().over(w.partitionBy("key").orderBy(F.xxhash64("row"), "row"))).where(F.col("_rn") <= sample)
+    """(key, cid, center): seeds for each key, from at most `sample` of its points, chosen by a hash; only points whose hash is below a bound that about twice as many pass are
+    ranked, so that no task gets a whole key."""
+    named = points.select(F.col(key).alias("key"), F.col(row).alias("row"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = named.groupBy("key").agg(F.count("*").alias("n"))
+    near = named.join(sizes, "key").where(F.xxhash64("row") / F.lit(2.0**64) + F.lit(0.5) <= (2.0 * sample + 100) / F.col("n")).drop("n")
+    bounded = near.withColumn("_rn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row"), "row"))).where(F.col("_rn") <= sample)
     kind = points.schema[key].dataType.simpleString()
 
     def start(rows: pd.DataFrame) -> pd.DataFrame:
@@ -488,7 +491,7 @@ def same_type_loss(points: DataFrame, kind: str, row: str, vector: str, block: i
 
 
 def gaussian_mixture(points: DataFrame, row: str, vector: str, k: int, seed: int = 0) -> DataFrame:
-    """(row, cid): the likeliest of k Gaussians, fitted by Spark's own expectation maximisation."""
+    """(row, cid): the likeliest of k Gaussians, fitted by Spark's own expectation maximisation, whose start depends on the seed and the partitions."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector
 

@@ -99,3 +99,33 @@ def percentile_zoom(points: DataFrame, columns: list[str], low: float, high: flo
     for c in columns:
         joined = joined.where(F.col(c).between(F.col(f"_{c}_lo"), F.col(f"_{c}_hi")))
     return joined.select(*points.columns)
+
+
+def soft_scores(distances: DataFrame, groups: list[str], distance: str, sigma: float, cutoff: float) -> DataFrame:
+    """Per group: soft, the sum of exp(-distance / sigma) of what lies within the cutoff; 0 without any."""
+    return distances.groupBy(*groups).agg(F.sum(F.when(F.col(distance) > cutoff, 0e0).otherwise(F.exp(-F.col(distance) / sigma))).alias("soft"))
+
+
+def clip_bounds(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """One row: the bounds that a part of the values at either end lies beyond; the whole range where the bounds meet."""
+    found = df.agg(F.percentile(value, F.lit(low)).alias("a"), F.percentile(value, F.lit(high)).alias("b"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    flat = F.col("b") <= F.col("a")
+    return found.select(F.when(flat, F.col("_lo")).otherwise(F.col("a")).alias("low"), F.when(flat, F.col("_hi")).otherwise(F.col("b")).alias("high"))
+
+
+def common_grid(points: DataFrame, x: str, y: str, size: int, pad: float = 0.02) -> DataFrame:
+    """(i, j, gx, gy): places evenly over the box of all points, padded by a part of its sides."""
+    side = lambda c: F.when(F.max(c) > F.min(c), (F.max(c) - F.min(c)) * pad).otherwise(1e-3)
+    box = points.agg(*[(F.min(c) - side(c)).alias(f"_lo{n}") for n, c in (("x", x), ("y", y))], *[(F.max(c) + side(c)).alias(f"_hi{n}") for n, c in (("x", x), ("y", y))])
+    n = points.sparkSession.range(size * size).select((F.col("id") / size).cast("long").alias("i"), (F.col("id") % size).alias("j"))
+    at = lambda k, c: F.col(f"_lo{c}") + (F.col(f"_hi{c}") - F.col(f"_lo{c}")) * F.col(k) / (size - 1)
+    return n.join(F.broadcast(box)).select("i", "j", at("i", "x").alias("gx"), at("j", "y").alias("gy"))  # one row
+
+
+def cluster_densities(points: DataFrame, cluster: str, x: str, y: str, low: float, high: float, size: int, width: float, least: int = 80) -> DataFrame:
+    """(i, j, density): on a grid, the sum over clusters with enough points of each one's mean Gaussian kernel."""
+    sizes = points.groupBy(cluster).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    grid = _grid(points, low, high, size).agg(F.array_sort(F.collect_list(F.struct("i", "j", "gx", "gy"))).alias("_grid"))
+    spread = points.join(sizes, cluster).select(x, y, "_n").join(F.broadcast(grid)).select(x, y, "_n", F.explode("_grid").alias("g"))
+    square = (F.col(x) - F.col("g.gx")) ** 2 + (F.col(y) - F.col("g.gy")) ** 2
+    return spread.groupBy("g.i", "g.j").agg((F.sum(F.exp(-square / (2 * width * width)) / F.col("_n")) / (2 * math.pi * width * width)).alias("density"))

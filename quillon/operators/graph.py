@@ -145,3 +145,26 @@ def largest_components(edges: DataFrame, n: int) -> DataFrame:
     """(component, size) of the n largest, the smaller name first of equals."""
     sizes = components(edges).groupBy("component").agg(F.count("*").alias("size"))
     return sizes.orderBy(F.desc("size"), "component").limit(n)
+
+
+def normalised(edges: DataFrame) -> DataFrame:
+    """edges and both, 1 by the root of the product of the ends' degrees, and row, 1 by the degree of the source."""
+    out = edges.groupBy("src").agg(F.count("*").alias("_a"))
+    into = edges.groupBy("dst").agg(F.count("*").alias("_b"))
+    joined = edges.join(out, "src").join(into, "dst")
+    return joined.select("src", "dst", (1 / F.sqrt(F.col("_a") * F.col("_b"))).alias("both"), (1 / F.col("_a")).alias("row"))
+
+
+def weighted_hops(edges: DataFrame, second: float = 0.5, third: float = 0.3) -> DataFrame:
+    """(src, dst, kind, weight): edges of one, two and three steps, each pair once by its least number of steps, with their weights, and a loop of weight 1 at every node (kind 0)."""
+    found = hops(edges, 3).select("src", "dst", F.col("hop").alias("kind"), F.when(F.col("hop") == 1, 1e0).when(F.col("hop") == 2, second).otherwise(third).alias("weight"))
+    nodes = found.select("src").distinct()
+    return found.union(nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("kind"), F.lit(1e0).alias("weight")))
+
+
+def soft_min_cut(edges: DataFrame, parts: DataFrame, node: str, shares: str) -> DataFrame:
+    """One row: trace(S'AS) by trace(S'DS) for a soft assignment, an array of shares of each node."""
+    end = lambda name, as_: parts.select(F.col(node).alias(name), F.col(shares).alias(as_))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0e0), lambda s, x: s + x)
+    both = edges.join(end("src", "_a"), "src").join(end("dst", "_b"), "dst")
+    return both.agg((F.sum(dot("_a", "_b")) / F.sum(dot("_b", "_b"))).alias("min_cut"))

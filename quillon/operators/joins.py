@@ -48,6 +48,21 @@ def cascade(df: DataFrame, steps: list[tuple[DataFrame, Column]], value: str) ->
     return df.withColumn(value, F.coalesce(*names)).drop(*names)
 
 
+def cluster_of(df: DataFrame, value: str, members: DataFrame) -> DataFrame:
+    """df and cluster: of members (member, cluster) that of the value itself, else that of the first 16 digits of its SHA-1, else an empty text."""
+    by = lambda k: members.select(F.col("member").alias(f"_m{k}"), "cluster")
+    short = F.substring(F.sha1(F.col(value).cast("binary")), 1, 16)
+    found = cascade(df, [(by(0), F.col(value) == F.col("_m0")), (by(1), short == F.col("_m1"))], "cluster").drop("_m0", "_m1")
+    return found.withColumn("cluster", F.coalesce("cluster", F.lit("")))
+
+
+def affinity_join(complexes: DataFrame, id_col: str, index: DataFrame | None) -> DataFrame:
+    """Complexes with what an index (id, y) tells of them, ids in small letters; those that it lacks go, unless no index is given."""
+    if index is None:
+        return complexes.withColumn("y", F.lit(None).cast("double"))
+    return complexes.join(index.select(F.col("id").alias("_id"), "y"), F.lower(id_col) == F.col("_id")).drop("_id")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in a total order."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

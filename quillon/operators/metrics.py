@@ -125,14 +125,18 @@ def _null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(named, same).drop(*[f"_k_{k}" for k in keys])
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation as an aggregate; 0 where one side is constant, which F.corr takes for a division by zero."""
+    return F.coalesce(F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0e0)), F.lit(0e0))
+
+
 def regression(df: DataFrame, predicted: str, truth: str, groups: list[str]) -> DataFrame:
     """Per group: n, mae, rmse, pearson and spearman (mean ranks of ties); correlations are 0 where one side is constant."""
     sound = df.where(F.col(predicted).isNotNull() & F.col(truth).isNotNull())
     ranked = average_ranks(sound, {"_rp": predicted, "_rt": truth}, groups)
     p, t = F.col(predicted), F.col(truth)
-    safe = lambda a, b: F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b)).otherwise(0e0)
     return ranked.groupBy(*groups).agg(
-        F.count("*").alias("n"), F.avg(F.abs(p - t)).alias("mae"), F.sqrt(F.avg((p - t) * (p - t))).alias("rmse"), safe(p, t).alias("pearson"), safe(F.col("_rp"), F.col("_rt")).alias("spearman")
+        F.count("*").alias("n"), F.avg(F.abs(p - t)).alias("mae"), F.sqrt(F.avg((p - t) * (p - t))).alias("rmse"), correlation(p, t).alias("pearson"), correlation(F.col("_rp"), F.col("_rt")).alias("spearman")
     )
 
 
@@ -178,8 +182,7 @@ def affinity_ranking(df: DataFrame, predicted: str, truth: str, mask: Column, ti
     """One row over the masked rows: aff_n, spearman, pearson and ndcg<k> with gains from the truth's rank; zeros for fewer than three."""
     rows = df.where(mask).select(F.col(predicted).alias("p"), F.col(truth).alias("t"), F.col(tie).alias("i"))
     ranked = average_ranks(rows, {"rp": "p", "rt": "t"}, [])
-    safe = lambda a, b: F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b)).otherwise(0e0)
-    sums = ranked.agg(F.count("*").alias("aff_n"), safe("rp", "rt").alias("spearman"), safe("p", "t").alias("pearson"))
+    sums = ranked.agg(F.count("*").alias("aff_n"), correlation("rp", "rt").alias("spearman"), correlation("p", "t").alias("pearson"))
     placed = numbered(numbered(rows, ["t", "i"], "up"), [F.desc("p"), "i"], "at").join(F.broadcast(sums.select(F.col("aff_n").alias("_n"))))
     gain = F.pow(F.lit(2e0), F.col("up") / (F.col("_n") - 1)) - 1
     part = lambda place, k: F.sum(F.when(place < k, gain / F.log2(place + F.lit(2e0))).otherwise(0e0))

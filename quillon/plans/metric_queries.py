@@ -57,7 +57,7 @@ def regression_metrics(spark, d):
 
 def spearman_avg_ties(spark, d):
     ranks = M.average_ranks(scored(spark, d).withColumn("all", F.lit(1)), {"rank_score": "score", "rank_truth": "truth"}, ["event_type"])
-    return rounded(ranks.groupBy("event_type").agg(F.corr("rank_score", "rank_truth").alias("spearman")), "spearman")
+    return rounded(ranks.groupBy("event_type").agg(M.correlation("rank_score", "rank_truth").alias("spearman")), "spearman")
 
 
 def pos_weight(spark, d):
