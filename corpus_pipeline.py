@@ -1,4 +1,7 @@
-"""From documents to tokens: language identification, line dedup, near-dedup, mixing, encoding. Part of the corpus operators."""
+"""From documents to tokens: language identification, line dedup, near-dedup, mixing, encoding. Part of the corpus operators.
+
+Every stage takes documents with nulls in any column, repeated rows, ids shared by different texts and other columns, which it drops; what becomes of them is told for each.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +20,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; what has no letters or no likely language goes. A missing language is filled in."""
+    """Documents of a known language; what has no letters or no likely language goes, null texts too. A missing language is filled in. Rows are judged by their texts alone, so repeated rows and ids stay."""
     learned = docs.where(F.coalesce(langid.fold("doc_id", 4) != 2, F.lit(False)))
     found = langid.identify(docs.select(*COLUMNS), langid.learn(learned))
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.LEAST_SCORE))
@@ -25,23 +28,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated windows of lines; a document of which only blanks are left goes."""
+    """Texts without repeated windows of lines; a document of which only blanks are left goes. Rows of one id and text keep the same, rows of one id with different texts are documents of their own."""
     found = linededup.dedup_lines(docs.select(*COLUMNS))
     return _documents(found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest id, null last, and then the smallest hash of the text."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, a row for each document and pass."""
+    """The words that the mix takes, a row for each document and pass, so that an id may come twice from here on. A null source is a source."""
     return _documents(mixing.mix(docs.select(*COLUMNS)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token ids of each text, and what they decode to in digest."""
+    """Packed token ids of each text, and what they decode to in digest; a row for each row."""
     import public_tokenizers
 
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
