@@ -81,30 +81,28 @@ STEREO = (("NONE",), ("CIS",), ("TRANS",), ("E", "Z"), None)
 WAYS = (("NONE",), ("BEGINWEDGE", "ENDUPRIGHT"), ("BEGINDASH", "ENDDOWNRIGHT"), ("EITHERDOUBLE",), None)
 
 
-def _one_hot(holds: list[Column]) -> list[Column]:
-    """1 at the first condition that holds, or at the place after them if none does."""
-    none, out = F.lit(True), []
-    for h in holds:
-        out.append(F.when(none & h, 1e0).otherwise(0e0))
-        none = none & ~h
-    return [*out, F.when(none, 1e0).otherwise(0e0)]
+def _one_hot(holds: list[Column]) -> Column:
+    """An array with 1 at the first condition that holds, or at the place after them if none does: a choice among literals."""
+    at = lambda k: F.array(*[F.lit(1e0 if i == k else 0e0) for i in range(len(holds) + 1)])
+    found = F.when(holds[0], at(0))
+    for k, h in enumerate(holds[1:], 1):
+        found = found.when(h, at(k))
+    return found.otherwise(at(len(holds)))
 
 
 def bond_features(kind: Column, aromatic: Column, conjugated: Column, rings: Column, stereo: Column, way: Column) -> Column:
     """24 numbers: kind (6), aromatic, conjugated, in a ring, smallest ring of 3 to 6 or larger (5), stereo (5), direction (5). rings has the sizes of all rings of the bond."""
     flag = lambda c: F.when(c, 1e0).otherwise(0e0)
-    there = F.coalesce(F.size(rings) > 0, F.lit(False))
-    ring = [F.when(there, x).otherwise(0e0) for x in _one_hot([F.coalesce(F.array_contains(rings, n), F.lit(False)) for n in RINGS[:-1]])]
-    of = lambda value, names: _one_hot([F.coalesce(value.isin(*([n] if isinstance(n, str) else n)), F.lit(False)) for n in names[:-1]])
-    return F.array(*of(kind, KINDS), flag(aromatic), flag(conjugated), flag(there), *ring, *of(stereo, STEREO), *of(way, WAYS))
+    there = F.size(rings) > 0
+    ring = F.when(there, _one_hot([F.array_contains(rings, n) for n in RINGS[:-1]])).otherwise(F.array(*[F.lit(0e0)] * len(RINGS)))
+    of = lambda value, names: _one_hot([value.isin(*([n] if isinstance(n, str) else n)) for n in names[:-1]])
+    return F.concat(of(kind, KINDS), F.array(flag(aromatic), flag(conjugated), flag(there)), ring, of(stereo, STEREO), of(way, WAYS))
 
 
 def bond_environment(atoms: DataFrame, bonds: DataFrame, mol: str, atom: str, src: str, dst: str, features: str, size: int = 24) -> DataFrame:
     """atoms and env: sums and then maxima of the features of each atom's bonds; zeros for an atom without any."""
-    ends = [bonds.select(F.col(mol).alias("_mol"), F.col(end).alias("_atom"), F.posexplode(features).alias("_k", "_x")) for end in (src, dst)]
-    parts = ends[0].union(ends[1]).groupBy("_mol", "_atom", "_k").agg(F.sum("_x").alias("s"), F.max("_x").alias("m"))
-    rows = F.array_sort(F.collect_list(F.struct("_k", "s", "m")))
-    env = parts.groupBy("_mol", "_atom").agg(F.concat(F.transform(rows, lambda r: r["s"]), F.transform(rows, lambda r: r["m"])).alias("env"))
+    ends = bonds.select(F.col(mol).alias("_mol"), F.col(features).alias("_f"), F.explode(F.array(src, dst)).alias("_atom"))  # features are made once for both ends
+    env = ends.groupBy("_mol", "_atom").agg(F.array(*[F.sum(F.get("_f", k)) for k in range(size)], *[F.max(F.get("_f", k)) for k in range(size)]).alias("env"))
     joined = atoms.join(env, (F.col(mol) == F.col("_mol")) & (F.col(atom) == F.col("_atom")), "left").drop("_mol", "_atom")
     return joined.withColumn("env", F.coalesce("env", F.array_repeat(F.lit(0e0), 2 * size)))
 

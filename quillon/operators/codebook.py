@@ -124,6 +124,7 @@ def silhouette(points: DataFrame, key: str, cluster: str, vector: str, row: str,
     p = points.select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).alias("v"), F.col(row).alias("i"))
     if sample is not None:
         p = p.withColumn("_rn", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("i"), "i"))).where(F.col("_rn") <= sample).drop("_rn")
+    p = cut(p)  # read four times
     sizes = p.groupBy("k", "c").agg(F.count("*").alias("n"))
     of = Window.partitionBy("k")  # over the clusters of a key
     before = F.sum("n").over(of.orderBy("c")) - F.col("n")
