@@ -36,11 +36,16 @@ Model = tuple[float, np.ndarray, np.ndarray, np.ndarray]
 def terms(text: Column) -> Column:
     """The distinct hashed words (runs of letters) of a whole text and their beginnings; null and empty texts have none."""
     words = F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), ""))
-    begun = [F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.xxhash64(F.lit(k), F.substring(w, 1, k))) for k in BEGINNINGS]
+    begun = [_beginnings(words, k) for k in BEGINNINGS]
     hashes = F.concat(F.transform(words, lambda w: F.xxhash64(w)), *begun)
     return F.array_distinct(F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
 
 
+def _beginnings(words: Column, k: int) -> Column:
+    """Hashes of the first k letters of the words that have so many."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.xxhash64(F.lit(k), F.substring(w, 1, k)))
+
+
 def raw_score(model: Model, ids: np.ndarray) -> float:
     """The bias, the weights and the products of all pairs of vectors, these by half of (the square of the sum - the sum of the squares)."""
     bias, place, weights, vectors = model

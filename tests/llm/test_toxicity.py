@@ -1,6 +1,9 @@
 import random
+import struct
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from quillon.llm import toxicity as T
 
@@ -49,6 +52,16 @@ def test_the_sum_over_pairs_is_that_of_explicit_pairs():
     assert abs(T.raw_score(model, ids) - plain) < 1e-9
 
 
+def test_terms_are_words_and_their_beginnings(spark):
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42)) % T.BUCKETS
+    start = lambda w, k: signed(xxhash.xxh64_intdigest(w[:k].encode(), xxhash.xxh64_intdigest(struct.pack("<i", k), 42))) % T.BUCKETS
+    got = spark.createDataFrame([("Vile vile, Über7abcdefgh x",), (None,), ("",)], "t string").select(T.terms(F.col("t")).alias("x")).collect()
+    long_ = "abcdefgh"
+    assert set(got[0].x) == {word("vile"), word("über"), word(long_), word("x"), start(long_, 5), start(long_, 7)}
+    assert got[1].x == got[2].x == []
+
+
 def test_candidates_hold_all_that_fit_may_choose():
     rng = np.random.default_rng(5)
     rows = [np.unique(rng.integers(0, 300, 40)) for _ in range(400)]
