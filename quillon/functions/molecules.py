@@ -12,10 +12,11 @@ LETTERS = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F",
     "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M", "SEC": "U", "PYL": "O", "ASX": "B", "GLX": "Z", "XLE": "J",
 }
-#: Names of water.
+#: Names of water among the atoms of a ligand, and among residues.
 WATER = ("HOH", "WAT", "DOD")
-#: Names of ions that are no ligands; a parameter.
-IONS = ("NA", "CL", "K", "MG", "CA", "ZN", "MN", "FE", "CU", "NI", "CO", "CD")
+WATER_RESIDUES = ("HOH", "WAT", "H2O", "DOD")
+#: Ions and additives that are no ligands.
+IONS = ("NA", "K", "CL", "MG", "MN", "CA", "ZN", "FE", "CU", "CO", "NI", "SO4", "PO4", "GOL", "EDO", "PEG", "ACT", "FMT", "DMS")
 HEAVY = 5
 
 
@@ -32,7 +33,7 @@ def is_protein_residue(record: Column, resname: Column) -> Column:
 def ligand_residues(atoms: DataFrame, residue: list[str], record: str = "record", resname: str = "resname", element: str = "element", ions: tuple[str, ...] = IONS, least: int = HEAVY) -> DataFrame:
     """(residue ..., resname, heavy): residues of HETATM records that are neither water nor ions and have enough atoms other than hydrogen."""
     name = F.upper(F.trim(resname))
-    other = atoms.where((F.col(record) == "HETATM") & ~name.isin(*WATER) & ~name.isin(*ions))
+    other = atoms.where((F.col(record) == "HETATM") & ~name.isin(*WATER_RESIDUES) & ~name.isin(*ions))
     return other.groupBy(*residue, name.alias(resname)).agg(heavy_atoms(F.col(element)).alias("heavy")).where(F.col("heavy") >= least)
 
 
