@@ -172,5 +172,8 @@ def test_running_totals_by_ranges(spark):
 
 def test_ranks_and_encodings_of_large_groups(spark):
     df = spark.createDataFrame([(g, float(v), i) for i, (g, v) in enumerate([("a", 3), ("a", 1), ("a", 3), ("b", 2), (None, 5), (None, 4), ("a", 2)])], "g string, v double, i int")
-    assert {r.i: r.r for r in M.average_ranks(df, {"r": "v"}, ["g"]).collect()} == {0: 3.5, 1: 1, 2: 3.5, 3: 1, 4: 2, 5: 1, 6: 2}
+    for large in (True, False):
+        assert {r.i: r.r for r in M.average_ranks(df, {"r": "v"}, ["g"], large).collect()} == {0: 3.5, 1: 1, 2: 3.5, 3: 1, 4: 2, 5: 1, 6: 2}
+        flat = M.regression(df.withColumn("c", F.lit(1.0)), "c", "v", ["g"], large).collect()
+        assert all(r.pearson == r.spearman == 0 for r in flat) and sum(r.n for r in flat) == 7
     assert {r.i: r.encoded for r in A.target_encoding(df, "g", "i", "v", 1.0, 1.0).collect()} == {0: 1, 1: 2, 2: 5 / 3, 3: 1, 6: 2}
