@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, linededup, mixing, quality, secretscan, simhash, suffixdedup, toxicity, urlrules, vectorcodes, vectordedup
+from quillon.llm import bpe, langid, linededup, mixing, periodic, quality, secretscan, simhash, suffixdedup, toxicity, urlrules, vectorcodes, vectordedup
 
-MODULES = (vectordedup, simhash, bpe, quality, linededup, urlrules, toxicity, secretscan, mixing, langid, suffixdedup, vectorcodes)
+MODULES = (vectordedup, simhash, bpe, quality, linededup, urlrules, toxicity, secretscan, mixing, langid, suffixdedup, vectorcodes, periodic)
 
 
 def queries() -> dict:
