@@ -58,8 +58,8 @@ def id_list(cell: Column) -> Column:
 
 
 def sorted_id_list(cell: Column) -> Column:
-    """Distinct codes of a digit and three word characters, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(cell, F.lit(r"\b[0-9]\w{3}\b"), F.lit(0)), F.upper)))
+    """Distinct codes of a digit and three ASCII letters or digits between word boundaries, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(cell, F.lit(r"\b[0-9][A-Za-z0-9]{3}\b"), F.lit(0)), F.upper)))
 
 
 def binarize(value: Column, threshold: float) -> Column:

@@ -78,7 +78,7 @@ def element_place(z: Column, elements: list[int]) -> Column:
 #: What the places of a bond's features stand for, in order; the last of each group is for all others.
 KINDS = ("SINGLE", "DOUBLE", "TRIPLE", "AROMATIC", "DATIVE", None)
 RINGS = (3, 4, 5, 6, None)
-STEREO = (("NONE",), ("CIS",), ("TRANS",), ("E", "Z"), None)
+STEREO = (("STEREONONE",), ("STEREOCIS",), ("STEREOTRANS",), ("STEREOE", "STEREOZ"), None)
 WAYS = (("NONE",), ("BEGINWEDGE", "ENDUPRIGHT"), ("BEGINDASH", "ENDDOWNRIGHT"), ("EITHERDOUBLE",), None)
 
 
@@ -92,7 +92,7 @@ def _one_hot(holds: list[Column]) -> Column:
 
 
 def bond_features(kind: Column, aromatic: Column, conjugated: Column, rings: Column, stereo: Column, way: Column) -> Column:
-    """24 numbers: kind (6), aromatic, conjugated, in a ring, smallest ring of 3 to 6 or larger (5), stereo (5), direction (5). rings has the sizes of all rings of the bond."""
+    """24 numbers: kind (6), aromatic, conjugated, in a ring, smallest ring of 3 to 6 or larger (5), stereo (5), direction (5). rings has the sizes of all rings of the bond, or of the smallest."""
     flag = lambda c: F.when(c, 1e0).otherwise(0e0)
     there = F.size(rings) > 0
     ring = F.when(there, _one_hot([F.array_contains(rings, n) for n in RINGS[:-1]])).otherwise(F.array(*[F.lit(0e0)] * len(RINGS)))

@@ -10,7 +10,8 @@ from quillon.plans.prefix import numbered
 
 #: The order of alternatives of the atom tokeniser.
 ATOM_TOKENS = r"(Cl|Br|Si|Se|Na|Li|Mg|Ca|Al|@@?|=|#|\(|\)|\[|\]|\.|/|\\|[A-Z][a-z]?)"
-SPECIALS = ("<pad>", "<mask>", "<cls>", "<unk>")
+#: Tokens that stand for no text, in the order of their ids.
+SPECIALS = ("[PAD]", "[MASK]", "[CLS]", "[UNK]")
 
 
 def regex_tokens(text: Column, pattern: str = ATOM_TOKENS) -> Column:

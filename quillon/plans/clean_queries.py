@@ -53,7 +53,7 @@ def seq_clean(spark, d):
 
 
 def id_list_parse(spark, d):
-    cell = F.concat_ws(", ", F.concat(F.lit("1ab"), F.col("p_size") % 10), F.concat(F.lit("2xY"), F.col("p_partkey") % 10), F.lit("toolong"), F.concat(F.lit("1ab"), F.col("p_size") % 10))
+    cell = F.concat_ws(", ", F.concat(F.lit("1ab"), F.col("p_size") % 10), F.concat(F.lit("2xY"), F.col("p_partkey") % 10), F.lit("toolong"), F.lit("3_ab"), F.concat(F.lit("1ab"), F.col("p_size") % 10))
     rows = table(spark, d, "part").select("p_partkey", cell.alias("cell"))
     return rows.select("p_partkey", F.array_join(C.id_list(F.col("cell")), " ").alias("ids"), F.array_join(C.sorted_id_list(F.col("cell")), " ").alias("sorted_ids"))
 
@@ -152,7 +152,7 @@ ORACLES = {
     "reject_reasons": "SELECT CASE WHEN p_size < 5 THEN 'small' WHEN p_retailprice < 950 THEN 'cheap' WHEN p_type = 'PROMO' THEN 'promo' ELSE 'ok' END AS reason, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM part GROUP BY 1",
     "stable_hash": "SELECT p_partkey, ('0x' || substring(sha1('123|' || p_partkey), 1, 15))::BIGINT AS h FROM part",
     "regex_tokenize_counts": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, 'Cl|Br|Si|Se|Na|Li|Mg|Ca|Al|@@?|=|#|\\(|\\)|\\[|\\]|\\.|/|\\\\|[A-Z][a-z]?')) AS token FROM documents) GROUP BY token",
-    "char_vocab": "WITH t AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM benchmark) SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM t UNION ALL SELECT * FROM (VALUES ('<pad>', 0), ('<mask>', 1), ('<cls>', 2), ('<unk>', 3))",
+    "char_vocab": "WITH t AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM benchmark) SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM t UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[MASK]', 1), ('[CLS]', 2), ('[UNK]', 3))",
     "encode_with_unk": "SELECT item_id, list_aggregate(list_transform(list_concat([2], list_transform(string_split(text, ''), lambda c: CASE WHEN c = ' ' THEN 17 WHEN c BETWEEN 'a' AND 'm' THEN ascii(c) - 93 ELSE 3 END))[1:32], lambda x: CAST(x AS VARCHAR)), 'string_agg', ' ') AS ids FROM benchmark",
     "ragged_offsets": "SELECT conv_id, turn, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset, n AS length FROM (SELECT conv_id, turn, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM conversations)",
     "pad_and_mask_lengths": "SELECT conv_id, turn, max(n) OVER (PARTITION BY conv_id) AS width, max(n) OVER (PARTITION BY conv_id) - n AS pads FROM (SELECT conv_id, turn, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM conversations)",

@@ -66,7 +66,7 @@ def _bonds(spark, d):
     k = F.col("l_partkey") + F.col("l_quantity").cast("long")
     node = lambda c: F.col(c) % 7
     rings = F.when(k % 4 == 0, F.array(F.lit(6), F.lit(5))).when(k % 4 == 1, F.array(F.lit(7))).when(k % 4 == 2, F.array((3 + k % 3).cast("int")))
-    feats = M.bond_features(_pick(k, "SINGLE", "DOUBLE", "TRIPLE", "AROMATIC", "DATIVE", "QUADRUPLE", None), k % 2 == 0, k % 3 == 0, rings, _pick(k, "NONE", "CIS", "TRANS", "E", "Z", "ANY"), _pick(k, "NONE", "BEGINWEDGE", "ENDDOWNRIGHT", "EITHERDOUBLE", "UNKNOWN", "ENDUPRIGHT", "BEGINDASH", None))
+    feats = M.bond_features(_pick(k, "SINGLE", "DOUBLE", "TRIPLE", "AROMATIC", "DATIVE", "QUADRUPLE", None), k % 2 == 0, k % 3 == 0, rings, _pick(k, "STEREONONE", "STEREOCIS", "STEREOTRANS", "STEREOE", "STEREOZ", "STEREOANY", "E", None), _pick(k, "NONE", "BEGINWEDGE", "ENDDOWNRIGHT", "EITHERDOUBLE", "UNKNOWN", "ENDUPRIGHT", "BEGINDASH", None))
     return li.select(F.col("l_orderkey").alias("mol"), node("l_suppkey").alias("src"), node("l_partkey").alias("dst"), feats.alias("features"))
 
 
@@ -171,7 +171,7 @@ _BON = f"""bon AS (SELECT l_orderkey AS mol, l_suppkey % 7 AS src, l_partkey % 7
  CASE ['SINGLE', 'DOUBLE', 'TRIPLE', 'AROMATIC', 'DATIVE', 'QUADRUPLE', NULL][{_K} % 7 + 1] {_case([("SINGLE", 0), ("DOUBLE", 1), ("TRIPLE", 2), ("AROMATIC", 3), ("DATIVE", 4)], 6)}
  || CASE WHEN {_K} % 2 = 0 THEN '1' ELSE '0' END || CASE WHEN {_K} % 3 = 0 THEN '1' ELSE '0' END || CASE WHEN {_K} % 4 < 3 THEN '1' ELSE '0' END
  || CASE {_K} % 4 WHEN 0 THEN '00100' WHEN 1 THEN '00001' WHEN 2 THEN ['10000', '01000', '00100'][{_K} % 3 + 1] ELSE '00000' END
- || CASE ['NONE', 'CIS', 'TRANS', 'E', 'Z', 'ANY'][{_K} % 6 + 1] {_case([("NONE", 0), ("CIS", 1), ("TRANS", 2), ("E", 3), ("Z", 3)], 5)}
+ || CASE ['STEREONONE', 'STEREOCIS', 'STEREOTRANS', 'STEREOE', 'STEREOZ', 'STEREOANY', 'E', NULL][{_K} % 8 + 1] {_case([("STEREONONE", 0), ("STEREOCIS", 1), ("STEREOTRANS", 2), ("STEREOE", 3), ("STEREOZ", 3)], 5)}
  || CASE ['NONE', 'BEGINWEDGE', 'ENDDOWNRIGHT', 'EITHERDOUBLE', 'UNKNOWN', 'ENDUPRIGHT', 'BEGINDASH', NULL][{_K} % 8 + 1] {_case([("NONE", 0), ("BEGINWEDGE", 1), ("ENDUPRIGHT", 1), ("BEGINDASH", 2), ("ENDDOWNRIGHT", 2), ("EITHERDOUBLE", 3)], 5)} AS f FROM lineitem)"""
 _ENV = f"{_BON}, ends AS (SELECT mol, src AS atom, f FROM bon UNION ALL SELECT mol, dst, f FROM bon), env AS (SELECT mol, atom, k, sum(CAST(substr(f, k, 1) AS DOUBLE)) AS s, max(CAST(substr(f, k, 1) AS DOUBLE)) AS m FROM ends, range(1, 25) r(k) GROUP BY ALL)"
 _NEAR = f"{_ATO}, near AS (SELECT a.structure, a.serial AS lig, b.serial AS res, b.chain FROM ato a JOIN ato b ON a.structure = b.structure AND a.record = 'HETATM' AND b.record = 'ATOM' AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 1.5)"
