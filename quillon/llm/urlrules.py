@@ -6,10 +6,15 @@ find the aliases; a block that a rule gives to one of them holds for all that no
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, small_batches, table
 from quillon.operators.graph import components
 
 #: (verdict, host/path)
@@ -33,18 +38,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-#: The references of HTML that addresses hold, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#58;", ":"), ("&#x3a;", ":"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 #: The ports that a scheme stands for.
 PORTS = {"http": "80", "https": "443"}
 
 
-def _unescaped(url: Column) -> Column:
-    for name, mark in ENTITIES:
-        url = F.regexp_replace(url, F.lit(f"(?i){name}"), F.lit(mark))
-    return url
-
-
 def _part(url: Column, k: int) -> Column:
     """1: the scheme with its colon; 2: the slashes and the host; 3: the path; 4: the query with its mark. Empty where there is none."""
     return F.regexp_extract(url, r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*:(?=//))?(//[^/?#]*)?([^?#]*)(\?[^#]*)?", k)
@@ -64,7 +61,7 @@ def _without_dots(path: Column) -> Column:
 
 def _node(url: Column) -> Column:
     """An address in one spelling: scheme and host in small letters, without the scheme's own port, dots in the path and the fragment; "/" for an empty path."""
-    bare = F.trim(url)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"[\t\n\r]", ""), " ", "%20")  # as browsers read them
     scheme, host = F.lower(_part(bare, 1)), F.translate(_part(bare, 2), CAPITALS, CAPITALS.lower())
     for name, port in PORTS.items():
         host = F.when(scheme == f"{name}:", F.regexp_replace(host, f":(?:{port})?$", "")).otherwise(host)
@@ -88,17 +85,55 @@ def _resolved(to: Column, base: Column) -> Column:
     )
 
 
+#: What holds no tags: comments, and elements of raw text.
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: A value of an attribute ends with the quote that opened it; without one, at white space or the tag's end.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+TAG = re.compile(rf"<(link|meta|base)(?=[\s/>])((?:=\s*+{VALUE}?|[^>=]++)*+)>", re.I)
+ATTRIBUTE = re.compile(rf"""([^\s"'>/=<]++)(?:\s*+=\s*+({VALUE}))?+""")
+#: What follows the seconds and "url=" in the content of a refresh.
+REFRESH = re.compile(r"\s*[0-9]*(?:\.[0-9]*)?\s*[;,]?\s*(?:url\s*=\s*)?(.*)", re.I | re.S)
+
+
+def _told(url: str, page: str) -> list[tuple[str, str]]:
+    """(address that links are relative to, link) for what a page names as canonical or redirects to."""
+    base, found = None, []
+    for kind, rest in TAG.findall(RAW.sub("", page)):
+        attributes: dict[str, str] = {}
+        for name, value in ATTRIBUTE.findall(rest):
+            attributes.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value).strip())
+        kind = kind.lower()
+        if kind == "base" and base is None and attributes.get("href"):
+            base = attributes["href"]
+        elif kind == "link" and "canonical" in attributes.get("rel", "").lower().split():
+            found.append(attributes.get("href", ""))
+        elif kind == "meta" and attributes.get("http-equiv", "").lower() == "refresh":
+            to = REFRESH.match(attributes.get("content", ""))[1].strip()
+            found.append(to[1:].split(to[0])[0] if to[:1] in ("'", '"') else to)
+    try:
+        home = urljoin(url, base or "")
+    except ValueError:  # no address at all
+        home = url
+    return [(home, to) for to in found if to]
+
+
+def _scan(batches):
+    names = ["url", "base", "to"]
+    for batch in batches:
+        rows = [(url, base, to) for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True) for base, to in _told(url, page)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=names)
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): the address of each page and those that it names as canonical or redirects to, all in one spelling; relative ones are resolved against the page's own."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    quoted = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
-    told = (
-        F.when(F.col("tag").rlike(r"""(?is)\A<link\b.*\brel\s*=\s*["']?\s*canonical\b"""), F.regexp_extract("tag", r"(?is)\bhref" + quoted, 1))
-        .when(F.col("tag").rlike(r"""(?is)\A<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract("tag", r"(?is)\burl" + quoted, 1))
-        .otherwise("")
-    )
-    found = pages.where(F.col(url_col).contains("://")).select(F.trim(url_col).alias("url"), F.explode(tags).alias("tag")).select("url", _unescaped(told).alias("to")).where("to <> ''")
-    return found.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("to"), F.col("url"))).alias("b")).where("b IS NOT NULL")
+    """(a, b): the address of each page and those that it names as canonical or redirects to, all in one spelling.
+
+    Tags in comments and in raw text don't count; rel is a list of words in any case; of repeated attributes the first counts. Relative links are resolved against the first <base> with an address, which
+    itself is resolved against the page's own. Only pages with such a tag go to Python.
+    """
+    small_batches(pages.sparkSession)
+    some = pages.where(F.col(url_col).contains("://") & F.col(html_col).rlike("(?i)<(?:link|meta)[\\s/>]")).select(F.trim(url_col).alias("url"), F.col(html_col).alias("html"))
+    found = some.mapInArrow(_scan, "url string, base string, to string")
+    return found.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("to"), F.col("base"))).alias("b")).where("b IS NOT NULL")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:

@@ -71,3 +71,30 @@ def test_relative_mixed_and_cyclic_links(spark):
     ]
     found = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
+def test_links_in_all_their_forms(spark):
+    pages = {
+        "http://p1.org/": '''<link rel="canonical" href="http://b.com/it's">''',
+        "http://p2.org/": "<LINK REL='nofollow  Canonical' HREF = http://b.com/2>",
+        "http://p3.org/": '<link data-href="http://wrong.com/" rel=canonical href="http://b.com/3">',
+        "http://p4.org/": '<link title="a > b" rel="canonical" href="http://b.com/4">',
+        "http://p5.org/": '<link rel="canonical" href="http://b.com/a b">',
+        "http://p6.org/": '<!-- <link rel="canonical" href="http://wrong.com/"> --><script>var s = \'<link rel="canonical" href="http://wrong.com/">\';</script ><link rel=canonical href=/6>',
+        "http://p7.org/x/": '<base target="_blank"><base href="//cdn.org/deep/"><link rel="canonical" href="7">',
+        "http://p8.org/": '''<meta http-equiv="Refresh" content="5; URL='http://b.com/8?a=1&amp;b=2'">''',
+        "http://p9.org/": '<meta content="0;http://b.com/9" http-equiv=refresh><meta name="refresh" content="0; url=http://wrong.com/">',
+        "http://p10.org/": '<link rel="canonicals" href="http://wrong.com/"><linked rel=canonical href="http://wrong.com/"><link rel="canonical"><link href="http://wrong.com/">',
+        "http://p11.org/": "<link rel=canonical href=http://b.com/o'clock>",
+        "http://p12.org/": '<link rel=canonical href="http://b.com/12" href="http://wrong.com/">',
+        "http://p13.org/": "<title><link rel=canonical href=http://wrong.com/></title><link rel=canonical href='" + "x" * 50_000 + "'>",
+        "http://p14.org/": "<link " + "a='b' " * 20_000 + "rel=canonical href=/14>",
+        "http://p15.org/": None,
+    }
+    found = U.links(spark.createDataFrame(list(pages.items()), "url string, html string")).collect()
+    wanted = {
+        "http://p1.org/": "http://b.com/it's", "http://p2.org/": "http://b.com/2", "http://p3.org/": "http://b.com/3", "http://p4.org/": "http://b.com/4", "http://p5.org/": "http://b.com/a%20b", "http://p6.org/": "http://p6.org/6",
+        "http://p7.org/x/": "http://cdn.org/deep/7", "http://p8.org/": "http://b.com/8?a=1&b=2", "http://p9.org/": "http://b.com/9", "http://p11.org/": "http://b.com/o'clock", "http://p12.org/": "http://b.com/12",
+        "http://p13.org/": "http://p13.org/" + "x" * 50_000, "http://p14.org/": "http://p14.org/14",
+    }
+    assert len(found) == len(wanted) and {r.a: r.b for r in found} == wanted
