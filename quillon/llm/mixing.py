@@ -5,7 +5,8 @@ one after the other how many of their slots each source gets, from a multinomial
 than it is due hands the rest back to be drawn again, and the last shard gets what is left, so that all shards together come to the targets. The k-th slot of a source
 stands for its block number p(k mod n) of pass k div n, where n is
 its number of blocks and p is a keyed pseudorandom permutation of the pass, so a block comes back only once all have been taken.
-Slots and packed documents meet in a join by source and block.
+Within a shard another permutation deals the slots of all sources into one order. Slots and packed documents meet in a join by source and block; `mixed_blocks` is the mix as shards
+of blocks, `mix` the same words as documents.
 """
 
 from __future__ import annotations
@@ -99,8 +100,9 @@ class Mix:
         self.sources = self.spark.createDataFrame([(i, r["source"], sizes[i], self.target[i], self.blocks[i]) for i, r in enumerate(found)], "src int, source string, source_size long, target double, n_blocks long")
         if len(found) <= FEW_SOURCES:
             self.sources = F.broadcast(self.sources)
-        laid = [(shard, src, int(starts[shard, src]), int(counts[shard, src]), self.blocks[src]) for shard, src in zip(*np.nonzero(counts), strict=True)]
-        self.draws = self.spark.createDataFrame([(int(a), int(b), c, d, e) for a, b, c, d, e in laid], "shard int, src int, start long, n long, n_blocks long")
+        ahead, whole = np.cumsum(counts, axis=1) - counts, counts.sum(axis=1)  # slots of a shard's sources before, and of all of them
+        laid = [(int(k), int(src), int(starts[k, src]), int(counts[k, src]), self.blocks[src], int(ahead[k, src]), int(whole[k])) for k, src in zip(*np.nonzero(counts), strict=True)]
+        self.draws = self.spark.createDataFrame(laid, "shard int, src int, start long, n long, n_blocks long, ahead long, in_shard long")
         self.seed, self.n_slots = seed, int(counts.sum())
 
     def packed(self) -> DataFrame:
@@ -122,7 +124,7 @@ class Mix:
         return rows.withColumn("first", first - start).withColumn("words", F.least(end, (F.col("block") + 1) * b) - first)
 
     def slots(self) -> DataFrame:
-        """(shard, src, pass, block) for every slot of the mix."""
+        """(shard, place, src, pass, block) for every slot of the mix; places of a shard go from 0 on."""
         seed = self.seed
 
         @F.pandas_udf("long")
@@ -131,22 +133,29 @@ class Mix:
             with np.errstate(over="ignore"):
                 return pd.Series(permuted(place.to_numpy(np.int64), n.to_numpy(np.int64), key * np.uint64(0xD6E8FEB86659FD93)))
 
+        @F.pandas_udf("long")
+        def place_of(index: pd.Series, n: pd.Series, shard: pd.Series) -> pd.Series:
+            with np.errstate(over="ignore"):
+                key = (shard.to_numpy(np.int64).astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            return pd.Series(permuted(index.to_numpy(np.int64), n.to_numpy(np.int64), key))
+
         stop = F.col("start") + F.col("n")
         tasks = max(1, -(-self.n_slots // TASK))
         runs = self.draws.withColumn("from", F.explode(F.sequence("start", stop - 1, F.lit(RUN)))).withColumn("to", F.least(stop, F.col("from") + RUN) - 1)
-        spread = runs.select("shard", "src", "n_blocks", "from", "to").repartition(tasks, F.col("src"), F.col("from"))  # by number, so that few rows of many slots aren't merged into one task
-        every = spread.select("shard", "src", "n_blocks", F.explode(F.sequence("from", "to")).alias("k"))
-        turns = every.select("shard", "src", "n_blocks", F.expr("k div n_blocks").alias("pass"), (F.col("k") % F.col("n_blocks")).alias("place"))
-        return turns.select("shard", "src", "pass", block_of("place", "n_blocks", "src", "pass").alias("block"))
+        spread = runs.select("shard", "src", "n_blocks", (F.col("ahead") - F.col("start")).alias("shift"), "in_shard", "from", "to").repartition(tasks, F.col("src"), F.col("from"))  # by number, so that few rows of many slots aren't merged into one task
+        every = spread.select("shard", "src", "n_blocks", "shift", "in_shard", F.explode(F.sequence("from", "to")).alias("k"))
+        turns = every.select("shard", "src", "n_blocks", "in_shard", (F.col("k") + F.col("shift")).alias("index"), F.expr("k div n_blocks").alias("pass"), (F.col("k") % F.col("n_blocks")).alias("nth"))
+        return turns.select("shard", place_of("index", "in_shard", "shard").alias("place"), "src", "pass", block_of("nth", "n_blocks", "src", "pass").alias("block"))
 
     def taken(self) -> DataFrame:
-        """Per row of the input: id, size, source_size, target and taken, the words that the mix takes from it, repeats counted."""
+        """Per row of the input: id, size, source_size, target and taken, the words that the mix takes from it, repeats counted, and first_shard and last_shard, between which all of them go (null for none)."""
         packed = cut(self.packed())
-        times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
+        times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
         met = self.pieces(packed).hint("merge").join(times, ["src", "block"], "left")
-        sums = met.groupBy("src", "start", "id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-        empty = packed.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-        return sums.select("id", "size", "source_size", "target", "taken").union(empty)
+        sums = met.groupBy("src", "start", "id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.min("first_shard").alias("first_shard"), F.max("last_shard").alias("last_shard"))
+        no_shard = F.lit(None).cast("int")
+        empty = packed.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), no_shard.alias("first_shard"), no_shard.alias("last_shard"))
+        return sums.select("id", "size", "source_size", "target", "taken", "first_shard", "last_shard").union(empty)
 
     def ranges(self) -> DataFrame:
         """(id, text_hash, start, pass, taken): for each row and pass the (first, words) of what the mix takes, in the row's order."""
@@ -156,7 +165,7 @@ class Mix:
 
 
 def mixed_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
-    """Per row of df: id_col, size, source_size, target and taken.
+    """Per row of df: id_col, size, source_size, target, taken, first_shard and last_shard.
 
     Sizes are words of whole texts; null and empty texts have none and nothing is taken from them. A null source is a source of its own.
     Of repeated rows each counts; which of them a word is taken from is left open, as they are equal.
@@ -164,6 +173,24 @@ def mixed_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return Mix(df, id_col, text_col, source_col, **parameters).taken().withColumnRenamed("id", id_col)
 
 
+def mixed_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
+    """The mix as it is written: a row for each block of each output shard, with shard, place (from 0 on in each shard), source, pass, block and text, the words of the block with one blank between.
+
+    A shard has as many blocks of a source as it has drawn. Null and empty texts have no words; rows with the same id and text are packed one after the other, each of them with its own words.
+    """
+    plan = Mix(df, id_col, text_col, source_col, **parameters)
+    at = F.struct("start", "block", "first", "words")
+    ranges = plan.pieces(cut(plan.packed())).groupBy("src", "id", "text_hash").agg(F.collect_list(at).alias("_at"))  # as many as the text has blocks
+    texts = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).dropDuplicates(["_id", "_hash"])
+    joined = ranges.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    words = F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1))
+    part = lambda found: F.transform("_at", lambda a: F.struct(a["block"].alias("block"), a["start"].alias("start"), F.array_join(F.slice(found, (a["first"] + 1).cast("int"), a["words"].cast("int")), " ").alias("t")))
+    pieces = joined.select("src", F.explode(F.flatten(F.transform(F.array(words), part))).alias("p")).select("src", "p.*")
+    blocks = pieces.groupBy("src", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "t"))), lambda x: x["t"]), " ").alias("text"))
+    named = plan.slots().hint("merge").join(blocks, ["src", "block"]).join(plan.sources, "src")
+    return named.select("shard", "place", "source", "pass", "block", "text")
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
     """The mix itself, in the columns of df: a row for each row and pass that words are taken from; the text holds these words, with the white space before each.
 

@@ -124,3 +124,40 @@ def test_no_words_and_no_rows(spark):
     assert M.mixed_words(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.taken for r in M.mixed_words(spark.createDataFrame(make([(1, None, "a"), (2, " ", None)]), SCHEMA)).collect()] == [0, 0]
     assert M.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def drawn(rows):
+    """The slots by shard and source that a mix of the rows draws, and the sources."""
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(len((t or "").split()) for _, t, s in rows if s == x) for x in sources]
+    blocks = [-(-n // M.BLOCK) for n in sizes]
+    return M.draw([round(t * b / n) if n else 0 for t, b, n in zip(M.targets(sizes), blocks, sizes, strict=True)]), sources
+
+
+def test_blocks_follow_the_draw(spark):
+    rows = corpus(2)
+    df = spark.createDataFrame(make(rows), SCHEMA)
+    found = M.mixed_blocks(df).toPandas()
+    counts, sources = drawn(rows)
+    of = {s: k for k, s in enumerate(sources)}
+    got = np.zeros_like(counts)
+    np.add.at(got, (found["shard"], [of[s if isinstance(s, str) else None] for s in found["source"]]), 1)
+    assert (got == counts).all() and len({tuple(r) for r in counts}) > 1
+    for _, part in found.groupby("shard"):
+        assert sorted(part["place"]) == list(range(len(part)))
+    mixed = found[found["shard"] == 0].sort_values("place")["source"].fillna("-").tolist()
+    assert sum(a != b for a, b in zip(mixed, mixed[1:])) > len(set(mixed))  # sources take turns  # noqa: B905
+    words = lambda k, s: sum(len(t.split()) for t in found[(found["pass"] == k) & ((found["source"] == s) | (found["source"].isna() & (s is None)))]["text"])
+    full = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in sources}
+    assert [s for s in sources if words(0, s) == full[s]]  # a source that is used once or more: all of its words, each once
+    sizes = found["text"].str.split().str.len()
+    assert sizes.max() == M.BLOCK and (sizes == M.BLOCK).mean() > 0.9
+
+
+def test_another_draw_is_another_mix(spark, monkeypatch):
+    df = spark.createDataFrame(make(corpus(3)), SCHEMA)
+    before = M.mixed_words(df).select("doc_id", "size", "taken", "first_shard", "last_shard").toPandas()
+    assert before["first_shard"].nunique() > 30 and before.loc[before["taken"] == 0, "first_shard"].isna().all() and before.loc[before["taken"] > 0, "first_shard"].notna().all()
+    monkeypatch.setattr(M, "draw", lambda slots, shards=M.SHARDS, seed=M.SEED: np.array([slots] + [[0] * len(slots)] * (shards - 1), np.int64))
+    after = M.mixed_words(df).select("doc_id", "size", "taken", "first_shard", "last_shard").toPandas()
+    assert after["last_shard"].max() == 0 and sorted(after["taken"]) == sorted(before["taken"])
