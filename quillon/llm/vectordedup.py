@@ -51,14 +51,13 @@ def _pivots(classes: DataFrame) -> dict:
     sizes = classes.groupBy("label", F.size("vec").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     wanted = sizes.orderBy(F.desc("n"), "label", "d").limit(ALL_PIVOTS // 2).collect()  # more large labels than this have one cell each
     part = min(1.0, ALL_PIVOTS / max(1, sum(math.ceil(r["n"] / CELL) for r in wanted)))
-    given = [(r["label"], r["d"], math.floor(part * math.ceil(r["n"] / CELL))) for r in wanted if part * math.ceil(r["n"] / CELL) >= 2]
+    given = [(r["label"], r["d"], math.floor(part * math.ceil(r["n"] / CELL)), r["n"]) for r in wanted if part * math.ceil(r["n"] / CELL) >= 2]
     if not given:
         return {}
     spark = classes.sparkSession
-    quota = F.broadcast(spark.createDataFrame(given, classes.select("label", F.lit(0).alias("d"), F.lit(0).alias("quota")).schema))
-    sized = quota.join(F.broadcast(sizes), ["label", "d"])
+    quota = F.broadcast(spark.createDataFrame(given, classes.select("label", F.lit(0).alias("d"), F.lit(0).alias("quota"), F.lit(0).cast("long").alias("n")).schema))  # at most ALL_PIVOTS / 2 rows
     bound = (2.0 * F.col("quota") + 100) / F.col("n")  # about twice as many vectors as are needed have a hash below, and only they are ranked
-    chosen = classes.withColumn("d", F.size("vec")).join(F.broadcast(sized), ["label", "d"]).where(F.xxhash64("id") / F.lit(2.0**64) + F.lit(0.5) <= bound)
+    chosen = classes.withColumn("d", F.size("vec")).join(quota, ["label", "d"]).where(F.xxhash64("id") / F.lit(2.0**64) + F.lit(0.5) <= bound)
     order = Window.partitionBy("label", "d").orderBy(F.xxhash64("id"), "id")
     rows = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("quota")).select("label", "d", "rank", "vec").collect()
     found: dict = {}
