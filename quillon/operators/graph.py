@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.plans.cut import cut, drop_stored, new_path, stored
+from quillon.plans.prefix import totals_before
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -103,8 +104,7 @@ def min_cut(edges: DataFrame, parts: DataFrame, node: str, part: str) -> DataFra
 
 def edge_offsets(nodes: DataFrame, batch: str, n: str) -> DataFrame:
     """(batch, offset): nodes of the batches before; a row per batch."""
-    w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    return nodes.select(batch, (F.sum(n).over(w) - F.col(n)).alias("offset"))
+    return totals_before(nodes.select(batch, n), batch, {"offset": n}).select(batch, "offset")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

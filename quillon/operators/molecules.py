@@ -203,6 +203,13 @@ GROUPS = (
     Pattern("Phosphate", (_P, _O, _O, _O, _O), ((0, 1, DOUBLE), (0, 2, ANY), (0, 3, ANY), (0, 4, ANY))),
 )
 
+#: Who gives and who takes hydrogen bonds, by a plain rule, not by a toolkit's file of features: N, O and S with a hydrogen give; O and S with a free pair take, and N without a positive charge whose pair is not
+#: shared with a ring or with a double bond beside it.
+HYDROGEN_BONDS = (
+    Pattern("Donor", ("z in (7, 8, 16) and hcount > 0 and charge >= 0",)),
+    Pattern("Acceptor", ("(z in (8, 16) and total < 3 or z = 7 and total < 4 and not (aromatic and total = 3)) and charge <= 0",), (), (Pattern("", (_N, "z in (6, 16)", "z in (7, 8, 16)"), ((0, 1, SINGLE), (1, 2, DOUBLE))), Pattern("", (_N, "aromatic"), ((0, 1, SINGLE),)))),
+)
+
 
 class Matcher:
     """Looks for patterns in all molecules by joins along their bonds: from the atom whose condition holds least often on, each time over the bond to the rarest atom yet to come."""

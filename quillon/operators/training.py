@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.tokens import padded, uniform
-from quillon.plans.prefix import numbered
+from quillon.plans.prefix import numbered, totals_before
 
 
 def normal(seed: int, *parts: Column) -> Column:
@@ -75,8 +75,7 @@ def cursor_slices(stream: DataFrame, place: str, batches: DataFrame, batch: str,
 
     Batches and places meet by blocks of places, so that the join is by equality.
     """
-    w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)  # over the batches, which are few beside the places
-    spans = batches.select(batch, (F.sum(need).over(w) - F.col(need)).alias("_from"), F.sum(need).over(w).alias("_to"))
+    spans = totals_before(batches.select(batch, need), batch, {"_from": need}).select(batch, "_from", (F.col("_from") + F.col(need)).alias("_to"))
     wanted, there = batches.agg(F.sum(need)).first()[0] or 0, stream.count()
     if wanted > there:
         raise ValueError(f"the stream has {there} of {wanted} places")

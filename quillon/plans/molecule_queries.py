@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import homology as H
 from quillon.operators import molecules as M
 from quillon.plans.common import table
 
@@ -85,13 +86,29 @@ def small_scaffold(spark, d):
 
 
 def functional_groups(spark, d):
-    """Atoms of each of the 18 groups in each molecule."""
-    g = _graphs(spark, d)
-    found = M.Matcher(g.atoms, g.bonds).flags()
-    return found.groupBy("mol").agg(*[F.sum(F.get("flags", k)).alias(p.name.lower()) for k, p in enumerate(M.GROUPS)])
+    """Atoms of each of the 18 groups in each molecule, and those that give and take hydrogen bonds."""
+    g, patterns = _graphs(spark, d), (*M.GROUPS, *M.HYDROGEN_BONDS)
+    found = M.Matcher(g.atoms, g.bonds).flags(patterns)
+    return found.groupBy("mol").agg(*[F.sum(F.get("flags", k)).alias(p.name.lower()) for k, p in enumerate(patterns)])
+
+
+def _sequences(spark, d):
+    """A sequence of letters for each customer: families of three share one, of which each has a quarter of the letters changed and a few cut off at the start."""
+    c, alphabet = table(spark, d, "customer"), F.lit("ACDEFGHIKLMNPQRSTVWY")
+    letter = lambda h: F.substr(alphabet, (F.pmod(h, F.lit(20)) + 1).cast("int"), F.lit(1))
+    family, own = F.floor(F.col("c_custkey") / 3), F.col("c_custkey")
+    at = lambda i: F.when(F.pmod(F.xxhash64(F.lit("change"), own, i), F.lit(4)) == 0, letter(F.xxhash64(own, i))).otherwise(letter(F.xxhash64(F.lit("family"), family, i)))
+    return c.select("c_custkey", F.array_join(F.transform(F.sequence((own % 7 + 1).cast("int"), F.lit(120)), at), "").alias("seq"))
+
+
+def homology_hits(spark, d):
+    """Hits of every hundredth customer's sequence among all of them."""
+    s = _sequences(spark, d)
+    found = H.search(s.where("c_custkey % 100 = 0"), s, "c_custkey", "seq")
+    return found.select("query", "target", F.round("pident", 6).alias("pident"), "alnlen", F.round("qcov", 6).alias("qcov"), F.round("tcov", 6).alias("tcov"), F.round("bits", 6).alias("bits"))
 
 
-QUERIES = {f.__name__: f for f in (molecule_atoms, molecule_bonds, molecule_faults, small_ring_bonds, small_ring_atoms, murcko_scaffold, small_scaffold, functional_groups)}
+QUERIES = {f.__name__: f for f in (molecule_atoms, molecule_bonds, molecule_faults, small_ring_bonds, small_ring_atoms, murcko_scaffold, small_scaffold, functional_groups, homology_hits)}
 
 
 def _values(rows) -> str:
@@ -158,6 +175,8 @@ _SQL_GROUPS = {
     "heteroaromaticn": "SELECT mol, [atom] AS m FROM atoms WHERE aromatic = 1 AND z = 7",
     "halogen": "SELECT mol, [atom] AS m FROM atoms WHERE z IN (9, 17, 35, 53)",
     "sulfonyl": f"SELECT a.mol, [a.atom, d.other, x.other, y.other] AS m FROM atoms a {_OXO} {_AT('x', '= ' + repr('DOUBLE'), '@.z = 8 AND @.other <> d.other')} {_AT('y', _ONE, '@.z IN (7, 8) AND @.aromatic = 0')} WHERE a.z = 16",
+    "donor": "SELECT mol, [atom] AS m FROM atoms WHERE z IN (7, 8, 16) AND hcount > 0 AND charge >= 0",
+    "acceptor": f"SELECT a.mol, [a.atom] AS m FROM atoms a WHERE (z IN (8, 16) AND degree + hcount < 3 OR z = 7 AND degree + hcount < 4 AND NOT (aromatic = 1 AND degree + hcount = 3)) AND charge <= 0 AND NOT (z = 7 AND aromatic = 0 AND (EXISTS (SELECT 1 FROM near c JOIN near o ON c.mol = o.mol AND c.other = o.atom WHERE c.mol = a.mol AND c.atom = a.atom AND c.kind = 'SINGLE' AND c.z IN (6, 16) AND o.kind = 'DOUBLE' AND o.z IN (7, 8, 16)) OR EXISTS (SELECT 1 FROM near c WHERE c.mol = a.mol AND c.atom = a.atom AND c.kind = 'SINGLE' AND c.aromatic = 1)))",
     "thiol": "SELECT mol, [atom] AS m FROM atoms WHERE z = 16 AND aromatic = 0 AND degree + hcount = 2 AND hcount = 1",
     "disulfide": f"SELECT a.mol, [a.atom, x.other] AS m FROM atoms a {_AT('x', '= ' + repr('SINGLE'), '@.z = 16')} WHERE a.z = 16",
     "phosphate": f"SELECT a.mol, [a.atom, d.other, x.other, y.other, w.other] AS m FROM atoms a {_OXO} {_AT('x', _ONE, '@.z = 8')} {_AT('y', _ONE, '@.z = 8 AND @.other <> x.other')} {_AT('w', _ONE, '@.z = 8 AND @.other NOT IN (x.other, y.other)')} WHERE a.z = 15",

@@ -153,7 +153,7 @@ RING = M.Pattern("triangle", ("z = 6", "z = 6", "z = 6"), ((0, 1, M.ANY), (1, 2,
 
 def test_groups(spark):
     g = M.graphs(spark.createDataFrame([(i, x) for i, x in enumerate([*GROUP_LINES, "C1CC1CC1CC1", ""])], "id long, line string"), "id", "line")
-    matcher, patterns = M.Matcher(g.atoms, g.bonds), (*M.GROUPS, RING)
+    matcher, patterns = M.Matcher(g.atoms, g.bonds), (*M.GROUPS, *M.HYDROGEN_BONDS, RING)
     atoms = [r.asDict() | {"total": r.degree + r.hcount} for r in g.atoms.collect()]
     bonds = g.bonds.collect()
     flags = {(r.mol, r.atom): r.flags for r in matcher.flags(patterns).collect()}
