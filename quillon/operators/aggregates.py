@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.quantiles import quantiles
 from quillon.plans.prefix import totals_before
 
 
@@ -150,8 +151,10 @@ def last_epoch(df: DataFrame, epoch: str) -> DataFrame:
 
 def boxes(df: DataFrame, epoch: str, value: str) -> DataFrame:
     """(epoch, n, least, q25, q50, q75, most): what a box of each epoch shows."""
-    q = [F.percentile(value, F.lit(p)).alias(f"q{round(100 * p)}") for p in (0.25, 0.5, 0.75)]
-    return df.groupBy(epoch).agg(F.count("*").alias("n"), F.min(value).alias("least"), *q, F.max(value).alias("most"))
+    names = {f"q{round(100 * p)}": p for p in (0.25, 0.5, 0.75)}
+    ends = df.groupBy(F.col(epoch).alias("_epoch")).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    joined = ends.join(quantiles(df, [epoch], value, names), F.col("_epoch").eqNullSafe(F.col(epoch)), "left")
+    return joined.select(F.col("_epoch").alias(epoch), "n", "least", *names, "most")
 
 
 def top_scores(df: DataFrame, score: str, n: str, k: str, tie: str, least_n: int, least_k: int, rows: int = 30, strict: float = 0.35, loose: float = 0.25) -> DataFrame:

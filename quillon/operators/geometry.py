@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.joins import nearest_center, square_distance
+from quillon.operators.quantiles import quantiles
 from quillon.plans.cut import cut
 
 
@@ -63,8 +64,9 @@ def exact_quantiles(d: DataFrame, at: tuple[float, ...], bins: int = 65536) -> D
     rank = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(x)) * (F.col("all") - 1)).alias("at")) for k, x in enumerate(at)])).alias("_r")
     sides = F.explode(F.array(F.floor("_r.at"), F.ceil("_r.at"))).alias("place")
     asked = held.select("*", rank).select("g", "bin", "before", "n", "all", "_r.k", "_r.at", sides).where("place >= before AND place < before + n").distinct()
-    near = d.join(asked.select("g", "bin").distinct(), ["g", "bin"]).groupBy("g", "bin").agg(F.sort_array(F.collect_list("d")).alias("ds"))
-    found = asked.join(near, ["g", "bin"]).select("g", "all", "k", "at", "place", F.get("ds", (F.col("place") - F.col("before")).cast("int")).alias("d"))
+    near = d.join(asked.select("g", "bin").distinct(), ["g", "bin"]).groupBy("g", "bin", "d").agg(F.count("*").alias("m"))  # equal values are one row
+    upto = near.withColumn("end", F.sum("m").over(Window.partitionBy("g", "bin").orderBy("d")))
+    found = asked.join(upto, ["g", "bin"]).where("place - before < end and place - before >= end - m").select("g", "all", "k", "at", "place", "d")
     each = found.groupBy("g", "k").agg(F.max("all").alias("all"), (F.min("d") + (F.max("at") - F.floor(F.max("at"))) * (F.max("d") - F.min("d"))).alias("q"))
     return each.groupBy("g").agg(F.max("all").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{round(100 * x)}") for k, x in enumerate(at)])
 
@@ -94,10 +96,10 @@ def voronoi_grid(centers: DataFrame, cid: str, x: str, y: str, low: float, high:
 
 def percentile_zoom(points: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:
     """Points between two percentiles on every axis."""
-    bounds = points.agg(*[F.percentile(c, F.lit(p)).alias(f"_{c}_{n}") for c in columns for n, p in (("lo", low), ("hi", high))])
-    joined = points.join(F.broadcast(bounds))
+    joined = points
     for c in columns:
-        joined = joined.where(F.col(c).between(F.col(f"_{c}_lo"), F.col(f"_{c}_hi")))
+        bounds = quantiles(points, [], c, {f"_{c}_lo": low, f"_{c}_hi": high})
+        joined = joined.join(F.broadcast(bounds)).where(F.col(c).between(F.col(f"_{c}_lo"), F.col(f"_{c}_hi")))
     return joined.select(*points.columns)
 
 
@@ -108,7 +110,7 @@ def soft_scores(distances: DataFrame, groups: list[str], distance: str, sigma: f
 
 def clip_bounds(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """One row: the bounds that a part of the values at either end lies beyond; the whole range where the bounds meet."""
-    found = df.agg(F.percentile(value, F.lit(low)).alias("a"), F.percentile(value, F.lit(high)).alias("b"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    found = quantiles(df, [], value, {"a": low, "b": high, "_lo": 0.0, "_hi": 1.0})
     flat = F.col("b") <= F.col("a")
     return found.select(F.when(flat, F.col("_lo")).otherwise(F.col("a")).alias("low"), F.when(flat, F.col("_hi")).otherwise(F.col("b")).alias("high"))
 
