@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.joins import nearest_center, square_distance
+from quillon.operators.joins import nearest_center
 from quillon.operators.quantiles import quantiles
 from quillon.plans.cut import cut
 
@@ -33,22 +36,58 @@ def chain_ranking(residues: DataFrame, ligand: DataFrame, xyz: tuple[str, str, s
     return stats.withColumn("place", place.cast("long"))
 
 
+#: Rows of a block that meet the other block at once.
+AT_ONCE = 32
+
+
 def pair_quantiles(points: DataFrame, group: str, row: str, vector: str, at: tuple[float, ...], sample: int | None = None, block: int = 2048, bins: int = 65536) -> DataFrame:
     """(group, pairs, q<percent> ...): quantiles of the distances of all pairs in a group, exact; with `sample`, of at most so many points of it (chosen by a hash).
 
-    Points are dealt into blocks by a hash and every two blocks meet, so that a large group is spread. Distances are counted by bins first; only those in
-    the bins that hold a quantile's two neighbours are gathered and sorted, in a second pass.
+    Points are dealt into blocks by a hash and every two blocks meet in a task, so that a large group is spread and pairs are never rows: a task first gives back how many distances fall into each bin, and in a
+    second pass the distinct distances, and their numbers, of the bins that hold a quantile's two neighbours. Vectors of a group have one length.
     """
-    p = points.select(F.col(group).alias("g"), F.col(row).alias("i"), F.col(vector).alias("v")).where("g IS NOT NULL AND i IS NOT NULL")
+    p = points.select(F.col(group).alias("g"), F.col(row).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("g IS NOT NULL AND i IS NOT NULL AND v IS NOT NULL")
     if sample is not None:
         p = p.withColumn("_rn", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("i"), "i"))).where(F.col("_rn") <= sample).drop("_rn")
-    length = F.sqrt(F.aggregate("v", F.lit(0e0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    length = F.sqrt(F.aggregate("v", F.lit(0e0), lambda s, x: s + x * x))
     sizes = p.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_k"), (2e0 * F.max(length)).alias("_most"))
-    dealt = p.join(sizes, "g").withColumn("_own", F.pmod(F.xxhash64("i"), F.col("_k")).cast("int"))
-    a = dealt.select("g", "i", "v", "_most", F.col("_own").alias("a"), F.explode(F.sequence("_own", F.col("_k") - 1)).alias("b"))
-    z = dealt.select("g", F.col("i").alias("j"), F.col("v").alias("w"), F.col("_own").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("a"))
-    d = a.join(z, ["g", "a", "b"]).where("a < b OR i < j").select("g", "_most", F.sqrt(square_distance(F.col("v"), F.col("w"))).alias("d"))
-    found = exact_quantiles(d.select("g", "_most", "d"), at, bins)
+    dealt = cut(p.join(sizes, "g").withColumn("_own", F.pmod(F.xxhash64("i"), F.col("_k")).cast("int")))
+    kind = points.schema[group].dataType.simpleString()
+
+    def met(asked: DataFrame | None) -> DataFrame:
+        """(g, bin, n) of all pairs, or (g, bin, d, n) of those in the bins that are asked for."""
+        own = dealt.select("g", "i", "v", "_most", F.col("_own").alias("a"), F.explode(F.sequence("_own", F.col("_k") - 1)).alias("b"))
+        if asked is not None:
+            own = own.join(asked.groupBy("g").agg(F.collect_set("bin").alias("wanted")), "g")  # a few bins for each group
+        other = dealt.select(F.col("g").alias("g_2"), F.col("i").alias("i"), F.col("v").alias("v"), F.col("_own").alias("b_2"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("a_2"))
+
+        second = asked is not None
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(left) and len(right):
+                x, y, most = np.array(left["v"].to_list()), np.array(right["v"].to_list()), left["_most"].iloc[0]
+                i, j, same = left["i"].to_numpy(), right["i"].to_numpy(), left["a"].iloc[0] == left["b"].iloc[0]
+                for k in range(0, len(x), AT_ONCE):
+                    apart = x[k : k + AT_ONCE, None, :] - y[None, :, :]
+                    d = np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
+                    d = d[i[k : k + AT_ONCE, None] < j[None, :]] if same else d.ravel()
+                    at_bin = np.minimum(bins, np.floor(d / most * bins)).astype(np.int32) if most > 0 else np.zeros(len(d), np.int32)
+                    if second:
+                        some = np.isin(at_bin, left["wanted"].iloc[0])
+                        values, n = np.unique(d[some], return_counts=True)
+                        found.append(pd.DataFrame({"bin": np.minimum(bins, np.floor(values / most * bins)).astype(np.int32) if most > 0 else np.zeros(len(values), np.int32), "d": values, "n": n}))
+                    else:
+                        found.append(pd.DataFrame(dict(zip(("bin", "n"), np.unique(at_bin, return_counts=True), strict=True))))
+            out = pd.concat(found) if found else pd.DataFrame({"bin": [], "d": [], "n": []})
+            out = out.groupby(["bin"] if not second else ["bin", "d"], as_index=False)["n"].sum()
+            return out.assign(g=left["g"].iloc[0] if len(left) else None)[["g", "bin", *([] if not second else ["d"]), "n"]]
+
+        schema = f"g {kind}, bin int, {'' if not second else 'd double, '}n long"
+        return own.groupBy("g", "a", "b").cogroup(other.groupBy("g_2", "a_2", "b_2")).applyInPandas(meet, schema)
+
+    counts = met(None).groupBy("g", "bin").agg(F.sum("n").alias("n"))
+    found = _from_bins(counts, at, lambda asked: met(asked).groupBy("g", "bin", "d").agg(F.sum("n").alias("m")))
     return found.withColumnsRenamed({"g": group, "n": "pairs"})
 
 
@@ -58,14 +97,18 @@ def exact_quantiles(d: DataFrame, at: tuple[float, ...], bins: int = 65536) -> D
     Values are counted by bins first; only those in the bins that hold a quantile's two neighbours are gathered and sorted, in a second pass, so that no task holds a group.
     """
     d = d.select("g", "d", F.when(F.col("_most") > 0, F.least(F.lit(bins), F.floor(F.col("d") / F.col("_most") * bins).cast("int"))).otherwise(0).alias("bin"))
-    counts = d.groupBy("g", "bin").agg(F.count("*").alias("n"))
+    near = lambda asked: d.join(asked, ["g", "bin"]).groupBy("g", "bin", "d").agg(F.count("*").alias("m"))  # noqa: E731  equal values are one row
+    return _from_bins(d.groupBy("g", "bin").agg(F.count("*").alias("n")), at, near)
+
+
+def _from_bins(counts: DataFrame, at: tuple[float, ...], near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(g, n, q<percent> ...) from (g, bin, n), and from what near gives for some (g, bin): (g, bin, d, m), the distinct values in it and their numbers."""
     of = Window.partitionBy("g")  # over the bins of a group
     held = cut(counts.select("g", "bin", "n", F.sum("n").over(of).alias("all"), (F.sum("n").over(of.orderBy("bin")) - F.col("n")).alias("before")))
     rank = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(x)) * (F.col("all") - 1)).alias("at")) for k, x in enumerate(at)])).alias("_r")
     sides = F.explode(F.array(F.floor("_r.at"), F.ceil("_r.at"))).alias("place")
     asked = held.select("*", rank).select("g", "bin", "before", "n", "all", "_r.k", "_r.at", sides).where("place >= before AND place < before + n").distinct()
-    near = d.join(asked.select("g", "bin").distinct(), ["g", "bin"]).groupBy("g", "bin", "d").agg(F.count("*").alias("m"))  # equal values are one row
-    upto = near.withColumn("end", F.sum("m").over(Window.partitionBy("g", "bin").orderBy("d")))
+    upto = near(asked.select("g", "bin").distinct()).withColumn("end", F.sum("m").over(Window.partitionBy("g", "bin").orderBy("d")))
     found = asked.join(upto, ["g", "bin"]).where("place - before < end and place - before >= end - m").select("g", "all", "k", "at", "place", "d")
     each = found.groupBy("g", "k").agg(F.max("all").alias("all"), (F.min("d") + (F.max("at") - F.floor(F.max("at"))) * (F.max("d") - F.min("d"))).alias("q"))
     return each.groupBy("g").agg(F.max("all").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{round(100 * x)}") for k, x in enumerate(at)])
