@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import molecules as P
 from quillon.functions import smiles as S
 from quillon.operators.graph import components
 from quillon.plans.cut import cut
@@ -269,3 +270,55 @@ def scaffold_clusters(rows: DataFrame, mol: str, keys: DataFrame) -> DataFrame:
     """rows and cluster, the scaffold of a row's molecule as text, for splits that keep clusters on one side; a molecule without one is a cluster of its own."""
     found = rows.join(keys.select(F.col("mol").alias(mol), "scaffold"), mol, "left")
     return found.withColumn("cluster", F.when(F.col("scaffold").isNull(), F.concat(F.lit("mol:"), F.col(mol).cast("string"))).otherwise(F.hex("scaffold"))).drop("scaffold")
+
+
+def bond_rows(bonds: DataFrame) -> DataFrame:
+    """bonds (as of graphs) and conjugated and features, the 24 numbers of functions.molecules.bond_features.
+
+    Conjugated are aromatic bonds, single bonds both of whose ends have a double, triple or aromatic one, and double and triple bonds beside such a single one; free pairs don't count. No bond has a stereo
+    form, as lines give directions only.
+    """
+    ends = directed(bonds.select(*BOND, "kind"))
+    full = ends.where("kind in ('DOUBLE', 'TRIPLE', 'AROMATIC')").select("mol", F.col("src").alias("atom")).distinct()
+    at = lambda atoms, end: atoms.select("mol", F.col("atom").alias(end))
+    links = bonds.where("kind = 'SINGLE'").select(*BOND).join(at(full, "src"), ["mol", "src"], "left_semi").join(at(full, "dst"), ["mol", "dst"], "left_semi")
+    linked = links.select("mol", F.explode(F.array("src", "dst")).alias("atom")).distinct()
+    flagged = bonds.join(links.select(*BOND, F.lit(True).alias("_single")), BOND, "left")
+    for end in ("src", "dst"):
+        flagged = flagged.join(linked.select("mol", F.col("atom").alias(end), F.lit(True).alias(f"_{end}")), ["mol", end], "left")
+    beside = F.coalesce("_src", "_dst", F.lit(False)) & F.col("kind").isin("DOUBLE", "TRIPLE")
+    known = flagged.withColumn("conjugated", (F.col("kind") == "AROMATIC") | F.coalesce("_single", F.lit(False)) | beside)
+    rings = F.when(F.col("ring").isNotNull(), F.array("ring")).otherwise(F.array().cast("array<int>"))
+    features = P.bond_features(F.col("kind"), F.col("kind") == "AROMATIC", F.col("conjugated"), rings, F.lit("STEREONONE"), F.col("way"))
+    return known.withColumn("features", features).select(*bonds.columns, "conjugated", "features")
+
+
+#: The kinds of atoms that count two steps away, and their weights.
+TWO_STEPS = ((1, (7,)), (3, (8,)), (9, (16, 9, 17, 35)))
+
+
+def two_step_codes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol, atom, code) for atoms with others two steps away: 0, 1 or more of each kind among these, as 0, 1, 2, times the kind's weight."""
+    one = cut(directed(bonds.where("src <> dst").select(*BOND)).distinct())
+    two = one.join(one.select("mol", F.col("src").alias("dst"), F.col("dst").alias("far")), ["mol", "dst"]).where("far <> src").select("mol", "src", "far").distinct()
+    away = two.join(one.withColumnRenamed("dst", "far"), ["mol", "src", "far"], "left_anti").join(atoms.select("mol", F.col("atom").alias("far"), "z"), ["mol", "far"])
+    code = sum((w * F.least(F.lit(2), F.sum(F.col("z").isin(*zs).cast("int"))) for w, zs in TWO_STEPS), F.lit(0))
+    return away.groupBy("mol", F.col("src").alias("atom")).agg(code.cast("int").alias("code"))
+
+
+def atom_rows(g: Molecules) -> DataFrame:
+    """(mol, atom, row): the 79 numbers of each atom of functions.molecules.atom_row, all found from the graph.
+
+    Hybrids are by bonds alone: 2 with a triple bond, or two double ones at carbon or nitrogen, 3 for aromatic atoms and others with a double bond but for phosphorus and sulphur, else 4; what free pairs do
+    beside double bonds isn't seen.
+    """
+    double = F.sum((F.col("kind") == "DOUBLE").cast("int"))
+    kinds = directed(g.bonds.select(*BOND, "kind")).groupBy("mol", F.col("src").alias("atom")).agg(double.alias("_double"), F.sum((F.col("kind") == "TRIPLE").cast("int")).alias("_triple"))
+    flags = Matcher(g.atoms, g.bonds).flags((*GROUPS, *HYDROGEN_BONDS)).withColumnRenamed("flags", "_flags")
+    atoms = ring_features(g.atoms, g.bonds).join(kinds, ["mol", "atom"], "left").join(two_step_codes(g.atoms, g.bonds), ["mol", "atom"], "left").join(flags, ["mol", "atom"])
+    env = P.bond_environment(cut(atoms), bond_rows(g.bonds), "mol", "atom", "src", "dst", "features")
+    c, n = F.col, lambda name: F.coalesce(name, F.lit(0))
+    hybrid = F.when((n("_triple") > 0) | ((n("_double") > 1) & c("z").isin(6, 7)), 2).when(c("aromatic") | ((n("_double") > 0) & ~c("z").isin(15, 16)), 3).otherwise(4)
+    base = [c("z"), c("degree"), c("charge"), hybrid, c("aromatic").cast("int"), (c("ring_size") > 0).cast("int"), c("hcount")]
+    groups, last = len(GROUPS), [F.get("_flags", len(GROUPS)), F.get("_flags", len(GROUPS) + 1), c("ring_size"), c("arom_nbrs"), c("fused_id"), n("code")]
+    return env.select("mol", "atom", P.atom_row(base, F.slice("_flags", 1, groups), *last, c("env")).alias("row"))

@@ -173,3 +173,22 @@ def test_no_molecules(spark):
     g = M.graphs(spark.createDataFrame([], "id long, line string"), "id", "line")
     assert g.atoms.count() == 0 and M.ring_features(g.atoms, g.bonds).count() == 0 and M.scaffolds(g.bonds).count() == 0
     assert M.Matcher(g.atoms, g.bonds).flags().count() == 0
+
+
+def test_atom_rows(spark):
+    lines = ["CC(=O)Nc1ccccc1", "C=CC=C", "[Na+]", "CC#N"]
+    g = M.graphs(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), "id", "line")
+    rows = {(r.mol, r.atom): r.row for r in M.atom_rows(g).collect()}
+    assert len(rows) == 18 and {len(r) for r in rows.values()} == {79}
+    base = {k: r[:7] for k, r in rows.items()}  # z, degree, charge, hybrid, aromatic, in a ring, hydrogens
+    assert base[0, 1] == [6, 3, 0, 3, 0, 0, 0] and base[0, 3] == [7, 2, 0, 4, 0, 0, 1] and base[0, 4] == [6, 3, 0, 3, 1, 1, 0] and base[2, 0] == [11, 0, 1, 4, 0, 0, 0] and base[3, 1] == [6, 2, 0, 2, 0, 0, 0]
+    names = [p.name for p in M.GROUPS]
+    on = lambda k: {names[i] for i, x in enumerate(rows[k][7:25]) if x}
+    assert on((0, 3)) == {"Amide"} and on((0, 1)) == {"Amide", "Carbonyl", "Ketone"} and on((0, 4)) == {"Aromatic"}
+    donor, acceptor, size, aromatic, system, code = zip(*[rows[k][25:31] for k in ((0, 3), (0, 2), (0, 4), (0, 0))], strict=True)
+    assert (donor, acceptor, size, aromatic, system) == ((1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 6, 0), (1, 0, 2, 0), (0, 0, 1, 0))
+    assert code == (3, 1, 0, 4)  # two steps from N: O; from O: N; from the ring: C; from the methyl: O and N
+    sums = lambda k: rows[k][31:55]
+    assert sums((0, 1))[:9] == [2, 1, 0, 0, 0, 0, 0, 0, 0] and sums((0, 4))[:14] == [1, 0, 0, 2, 0, 0, 2, 2, 2, 0, 0, 0, 2, 0]
+    assert sums((1, 1))[:8] == [1, 1, 0, 0, 0, 0, 0, 2] and sums((2, 0)) == [0] * 24  # butadiene is conjugated throughout
+    assert sums((1, 0))[14] == 1 and sums((1, 0))[19] == 1  # no stereo form, no direction
