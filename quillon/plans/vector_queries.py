@@ -246,7 +246,7 @@ ORACLES = {
     + " SELECT label, cid, round(c[1], 6) AS c0, round(c[64], 6) AS c63 FROM c2",
     "symmetrize": f"WITH {_SYM} SELECT src, count(*) AS degree FROM sym GROUP BY src",
     "self_loops": f"WITH {_SYM} SELECT 0 AS is_loop, (SELECT count(*) FROM edg) AS n UNION ALL SELECT 1, count(DISTINCT src) FROM sym",
-    "one_way_edges": f"WITH {_SYM}, half AS (SELECT * FROM sym WHERE NOT (src > dst AND src % 3 = 0)) SELECT src, dst FROM half h WHERE NOT EXISTS (SELECT 1 FROM half b WHERE b.src = h.dst AND b.dst = h.src)",
+    "one_way_edges": f"WITH {_SYM}, half AS (SELECT * FROM sym WHERE NOT (src > dst AND src % 3 = 0)) SELECT src, dst FROM half EXCEPT SELECT dst, src FROM half",
     "undirected_bonds": "SELECT l_returnflag AS mol, least(l_suppkey % 20, l_partkey % 20) AS src, greatest(l_suppkey % 20, l_partkey % 20) AS dst, max(l_linenumber) AS l_linenumber FROM lineitem WHERE l_suppkey % 20 <> l_partkey % 20 GROUP BY ALL",
     "hop_edges": f"WITH {_HOPS} SELECT src, 1 AS hop, count(*) AS n FROM h1 GROUP BY src UNION ALL SELECT src, 2, count(*) FROM h2 GROUP BY src UNION ALL SELECT src, 3, count(*) FROM h3 GROUP BY src",
     "het_two_hop_code": f"WITH {_HOPS}, c AS (SELECT src, least(2, count_if(dst % 3 = 0)) + 3 * least(2, count_if(dst % 3 = 1)) + 9 * least(2, count_if(dst % 3 = 2)) AS code FROM h2 GROUP BY src) SELECT n.src, CAST(coalesce(code, 0) AS BIGINT) AS code FROM (SELECT DISTINCT src FROM h1) n LEFT JOIN c USING (src)",
