@@ -100,8 +100,10 @@ def test_rows_of_tables(spark):
     assert one(T.masked_mean(a(1.0, 3.0), a(True, True))) == 0 and one(T.masked_max(a(-1.0, -3.0), a(True, False))) == -3
     assert one(N.shape_fault(F.lit(None).cast("array<array<double>>"), 3, 9)) == "empty" and one(N.superscript(F.lit(-12))) == "⁻¹²"
     assert one(M.letter(F.lit(None).cast("string"))) == "X" and one(M.letter(F.lit("mse"))) == "M" and not one(M.is_protein_residue(F.lit("HETATM"), F.lit("ALA")))
-    f = one(M.bond_features(F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("boolean"), F.lit(None).cast("array<int>"), F.lit("Z"), F.lit("NONE")))
+    f = one(M.bond_features(F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("boolean"), F.lit(None).cast("array<int>"), F.lit("STEREOZ"), F.lit("NONE")))
     assert f == [0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0]
+    short = one(M.bond_features(F.lit("SINGLE"), F.lit(False), F.lit(False), F.lit(None).cast("array<int>"), F.lit("Z"), F.lit("NONE")))
+    assert short[14:19] == [0, 0, 0, 0, 1]  # a name without its prefix is none of the known ones
 
 
 def test_counts_of_two_grammars(spark):
