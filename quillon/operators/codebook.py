@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.clean import safe_key
+from quillon.functions.clean import safe_key, stable_hash
 from quillon.operators.geometry import exact_quantiles
 from quillon.operators.joins import nearest_center, square_distance
 from quillon.plans.cut import cut
@@ -400,10 +400,10 @@ def filled(codebook: DataFrame, key: str, k: int, mode: str = "repeat", points:
     lacking = sizes.where(F.col("_n") < k).select(key, "_n", F.explode(F.sequence(F.col("_n"), F.lit(k - 1))).alias("cid"))
     known = codebook.select(key, "cid", "center")
     if mode == "data":
-        unit = F.xxhash64(F.lit(seed), row) / F.lit(2.0**64) + F.lit(0.5)
+        chosen = stable_hash(F.col(row).cast("string"), seed)
         most = points.groupBy(key).agg(F.count("*").alias("_all"))
-        near = points.join(most, key).where(unit <= (4.0 * k + 100) / F.col("_all"))  # enough of them, whatever their number
-        w = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), row), row)
+        near = points.join(most, key).where(chosen / F.lit(16.0**15) <= (4.0 * k + 100) / F.col("_all"))  # enough of them, whatever their number
+        w = Window.partitionBy(key).orderBy(chosen, row)
         ranked = near.select(key, (F.row_number().over(w) - 1).alias("_rn"), F.col(vector).cast("array<double>").alias("center"))
         have = ranked.groupBy(key).agg(F.count("*").alias("_have"))
         wanted = lacking.join(have, key).withColumn("_rn", (F.col("cid") - F.col("_n")) % F.col("_have"))

@@ -69,6 +69,12 @@ def codebook_fill_data(spark, d):
     return found.groupBy("label").agg(F.count("*").alias("k"), F.countDistinct("center").alias("distinct_centers"))
 
 
+def codebook_fill_points(spark, d):
+    """The centres of codebook_fill_data."""
+    found = C.filled(_centers(spark, d), "label", 7, "data", _points(spark, d), "vec_id", "embedding")
+    return rounded(found.select("label", F.col("cid").cast("long").alias("cid"), F.get("center", 3).alias("c3")), "c3")
+
+
 def codebook_init(spark, d):
     """Centres of a fresh codebook; each key has as many as asked for, padded where it has fewer points."""
     few = _points(spark, d).where("label > 0").unionByName(_points(spark, d).where("label = 0 AND vec_id < 30"))
@@ -463,7 +469,7 @@ def noise_mix(spark, d):
     return rounded(table(spark, d, "part").select("p_partkey", T.noise_mix(F.col("p_retailprice"), 0.25, 9, F.col("p_partkey")).alias("x")), "x")
 
 
-QUERIES = {f.__name__: f for f in (max_share_quantiles, worst_keys, dead_statistics, epoch_report, median_deviation, compact_clusters, codebook_fill, codebook_fill_data, codebook_init, code_lookup, quantized_output, existing_keys, split_largest, equivalence_agreement, same_type_loss, gaussian_mixture, mini_batch_kmeans, logit_metric_block, ranking_cls_metrics, affinity_ranking_metrics, argmax_accuracy, best_epoch_by_loss, best_hyper_parameter, composite_name_order, token_stats, frequent_classes, values_by_position, last_epoch_records, epoch_boxes, top_score_filter, row_shares, one_hot_encode, raw_count_load, per_batch_stats, usable_rows, regressor_rows, key_whitelist, metric_coercion, state_key_filter, superscripts, ids_to_text, filled_lines, feature_shape_check, dict_literal, tiny_components, epoch_shards, contiguous_slices, index_split, graph_split, class_sample_without, sampled_groups, guide_sample, sample_with_repeats, seeded_order, short_ids, distinct_sorted, existing_sequences, unused_positions, dataset_statistics, continuous_masking, reconstruction_metrics, masked_mean_max, top_share_mask, contact_top_loss, cursor_slices, global_atom_numbers, node_numbers, ragged_access, normalised_features, shard_line_index, interaction_collate, distance_bias_collate, noise_mix)}
+QUERIES = {f.__name__: f for f in (max_share_quantiles, worst_keys, dead_statistics, epoch_report, median_deviation, compact_clusters, codebook_fill, codebook_fill_data, codebook_fill_points, codebook_init, code_lookup, quantized_output, existing_keys, split_largest, equivalence_agreement, same_type_loss, gaussian_mixture, mini_batch_kmeans, logit_metric_block, ranking_cls_metrics, affinity_ranking_metrics, argmax_accuracy, best_epoch_by_loss, best_hyper_parameter, composite_name_order, token_stats, frequent_classes, values_by_position, last_epoch_records, epoch_boxes, top_score_filter, row_shares, one_hot_encode, raw_count_load, per_batch_stats, usable_rows, regressor_rows, key_whitelist, metric_coercion, state_key_filter, superscripts, ids_to_text, filled_lines, feature_shape_check, dict_literal, tiny_components, epoch_shards, contiguous_slices, index_split, graph_split, class_sample_without, sampled_groups, guide_sample, sample_with_repeats, seeded_order, short_ids, distinct_sorted, existing_sequences, unused_positions, dataset_statistics, continuous_masking, reconstruction_metrics, masked_mean_max, top_share_mask, contact_top_loss, cursor_slices, global_atom_numbers, node_numbers, ragged_access, normalised_features, shard_line_index, interaction_collate, distance_bias_collate, noise_mix)}
 
 
 def _oracles() -> dict[str, str]:
@@ -523,6 +529,7 @@ def _oracles() -> dict[str, str]:
         "feature_shape_check": "SELECT CASE p_partkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'ragged' WHEN 2 THEN 'width' WHEN 3 THEN 'long' END AS fault, count(*) AS n FROM part GROUP BY 1",
         "dict_literal": "SELECT p_partkey, 'a_1' AS key, CAST(p_size AS BIGINT) AS size FROM part UNION ALL SELECT p_partkey, 'b-' || p_partkey, 7 FROM part",
         "tiny_components": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 600",
+        "codebook_fill_points": f"WITH {_CEN}, pick AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY {_h(0, 'vec_id')}, vec_id) - 1 AS r FROM pts), n AS (SELECT label, count(*) AS n FROM cen GROUP BY label) SELECT label, cid, round(c[4], 6) AS c3 FROM cen UNION ALL SELECT label, n + r, round(v[4], 6) FROM n JOIN pick USING (label) WHERE r < 7 - n",
         "epoch_shards": f"WITH r AS (SELECT n_name, row_number() OVER (ORDER BY {_h(9, 'n_name')}, n_name) - 1 AS pick FROM nation), q AS (SELECT n_name, row_number() OVER (ORDER BY {_h(9, 'n_name')}, n_name) - 1 AS place FROM nation WHERE n_nationkey < 5) SELECT pick, n_name, 'once' AS kind FROM r WHERE pick < 10 UNION ALL SELECT id, n_name, 'again' FROM range(12) t(id) JOIN q ON place = {_h(9, chr(39) + 'again:' + chr(39) + ' || id')} % 5",
         "contiguous_slices": "SELECT s_suppkey, CASE WHEN rn <= 7 THEN 'train' WHEN rn <= 9 THEN 'valid' ELSE 'test' END AS part FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier)",
         "index_split": f"SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) <= trunc(count(*) OVER () * 0.2e0) AS in_order, row_number() OVER (ORDER BY {_h(5, 's_suppkey')}, s_suppkey) <= trunc(count(*) OVER () * 0.2e0) AS by_hash FROM supplier",
