@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import canonical as C
 from quillon.operators import homology as H
 from quillon.operators import molecules as M
 from quillon.plans.common import table
@@ -92,6 +93,53 @@ def functional_groups(spark, d):
     return found.groupBy("mol").agg(*[F.sum(F.get("flags", k)).alias(p.name.lower()) for k, p in enumerate(patterns)])
 
 
+def _edges(spark, d, nodes: int):
+    """Distinct bonds of a graph of few nodes for each order, its line items, without loops."""
+    li = table(spark, d, "lineitem")
+    a, b = (F.col("l_suppkey") % nodes).cast("int"), (F.col("l_partkey") % nodes).cast("int")
+    return li.where(a != b).select(F.col("l_orderkey").alias("mol"), F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct().withColumn("kind", F.lit("SINGLE"))
+
+
+def _ends(bonds):
+    return bonds.select("mol", F.explode(F.array("src", "dst")).alias("atom")).distinct()
+
+
+def isomorphism_classes(spark, d):
+    """For the six-node graph of each order the first order whose graph differs from it in numbers only."""
+    bonds = _edges(spark, d, 6)
+    keys = C.canonical(_ends(bonds), bonds, (), kinds=False)
+    return keys.select("mol", "key").join(keys.groupBy("key").agg(F.min("mol").alias("first_mol")), "key").select("mol", "first_mol")
+
+
+def _templates(spark, d):
+    """A graph of seven nodes for each order and three targets: two with other numbers, one without the last bond; (template bonds, target bonds, maps)."""
+    bonds = _edges(spark, d, 7)
+    last = bonds.groupBy("mol").agg(F.max(F.struct("src", "dst")).alias("m"))
+    of = lambda k, f: bonds.select((F.col("mol") * 4 + k).alias("mol"), f("src").alias("src"), f("dst").alias("dst"), "kind")
+    cut_off = bonds.join(last, "mol").where("struct(src, dst) <> m").select((F.col("mol") * 4 + 2).alias("mol"), "src", "dst", "kind")
+    targets = of(0, lambda c: (F.col(c) * 3 + 1) % 7).union(of(1, lambda c: (F.col(c) * 5 + 2) % 7 + 10)).union(cut_off)
+    pairs = bonds.select(F.col("mol").alias("template")).distinct().select("template", F.explode(F.array(*[F.col("template") * 4 + k for k in range(3)])).alias("target"))
+    maps = C.template_maps(pairs, C.canonical(_ends(bonds), bonds, ()), C.canonical(_ends(targets), targets, ()))
+    return bonds, targets, maps
+
+
+def template_match(spark, d):
+    """The bonds that each map keeps."""
+    bonds, targets, maps = _templates(spark, d)
+    to = F.map_from_entries("atoms")
+    mapped = maps.select("template", "target", to.alias("m")).join(bonds.withColumnRenamed("mol", "template"), "template").select("template", "target", F.element_at("m", F.col("src")).alias("a"), F.element_at("m", F.col("dst")).alias("b"))
+    ends = targets.select(F.col("mol").alias("target"), F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.lit(1).alias("kept"))
+    found = mapped.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(ends, ["target", "x", "y"], "left")
+    return found.groupBy("template", "target").agg(F.count("*").alias("n_bonds"), F.count("kept").alias("n_kept"))
+
+
+def best_ligand(spark, d):
+    """Of an order's targets that fit the one whose line items have most suppliers; items touch targets by their number."""
+    _, _, maps = _templates(spark, d)
+    contacts = table(spark, d, "lineitem").select((F.col("l_orderkey") * 4 + F.col("l_linenumber") % 3).alias("target"), (F.col("l_suppkey") % 50).alias("residue"))
+    return C.best_targets(maps, contacts).select("template", "target", "contact_n", F.size("atoms").alias("n_atoms"))
+
+
 def _sequences(spark, d):
     """A sequence of letters for each customer: families of three share one, of which each has a quarter of the letters changed and a few cut off at the start."""
     c, alphabet = table(spark, d, "customer"), F.lit("ACDEFGHIKLMNPQRSTVWY")
@@ -108,7 +156,7 @@ def homology_hits(spark, d):
     return found.select("query", "target", F.round("pident", 6).alias("pident"), "alnlen", F.round("qcov", 6).alias("qcov"), F.round("tcov", 6).alias("tcov"), F.round("bits", 6).alias("bits"))
 
 
-QUERIES = {f.__name__: f for f in (molecule_atoms, molecule_bonds, molecule_faults, small_ring_bonds, small_ring_atoms, murcko_scaffold, small_scaffold, functional_groups, homology_hits)}
+QUERIES = {f.__name__: f for f in (molecule_atoms, molecule_bonds, molecule_faults, small_ring_bonds, small_ring_atoms, murcko_scaffold, small_scaffold, functional_groups, isomorphism_classes, template_match, best_ligand, homology_hits)}
 
 
 def _values(rows) -> str:
@@ -182,6 +230,11 @@ _SQL_GROUPS = {
     "phosphate": f"SELECT a.mol, [a.atom, d.other, x.other, y.other, w.other] AS m FROM atoms a {_OXO} {_AT('x', _ONE, '@.z = 8')} {_AT('y', _ONE, '@.z = 8 AND @.other <> x.other')} {_AT('w', _ONE, '@.z = 8 AND @.other NOT IN (x.other, y.other)')} WHERE a.z = 15",
 }
 
+def _edge_sql(nodes: int) -> str:
+    a, b = f"l_suppkey % {nodes}", f"l_partkey % {nodes}"
+    return f"e AS (SELECT DISTINCT l_orderkey AS mol, least({a}, {b}) AS src, greatest({a}, {b}) AS dst FROM lineitem WHERE {a} <> {b})"
+
+
 ORACLES = {
     "molecule_atoms": f"WITH RECURSIVE {_MOL}, near AS (SELECT ends.mol, ends.atom, count(*) AS n FROM ends JOIN atoms o ON ends.mol = o.mol AND ends.other = o.atom AND o.aromatic = 1 GROUP BY ALL), ringed AS (SELECT mol, place, dense_rank() OVER (PARTITION BY mol ORDER BY place) AS fused_id FROM placed WHERE ringed) SELECT mol, atom, z, aromatic, charge, degree, hcount, ring_size, coalesce(n, 0) AS arom_nbrs, coalesce(fused_id, 0) AS fused_id FROM atoms LEFT JOIN near USING (mol, atom) LEFT JOIN ringed USING (mol, place)",
     "molecule_bonds": f"WITH {_MOL} SELECT mol, least(src, dst) AS src, greatest(src, dst) AS dst, kind, ring FROM bond",
@@ -201,4 +254,14 @@ SELECT mol, least(src, dst) AS src, greatest(src, dst) AS dst, kind FROM bond JO
 WHERE ring IS NOT NULL OR joint = 1 AND place >= first AND place < last OR joint = 0 AND place > first AND place < last AND (way = 1 OR kind = 'DOUBLE')""",
     "small_scaffold": f"WITH RECURSIVE {_SMALL}, {_CORE} SELECT mol, src, dst FROM ringed WHERE ring IS NOT NULL UNION SELECT mol, a, b FROM sides GROUP BY mol, a, b HAVING count(*) = 2",
     "functional_groups": f"WITH {_MOL}, {_G.replace('SELECT mol,', 'SELECT ends.mol,')}, " + ", ".join(_part(n, q) for n, q in _SQL_GROUPS.items()) + ", mols AS (SELECT DISTINCT mol FROM atoms) SELECT mol, " + ", ".join(f"coalesce({n}.n, 0) AS {n}" for n in _SQL_GROUPS) + " FROM mols " + " ".join(f"LEFT JOIN {n} USING (mol)" for n in _SQL_GROUPS),
+    "isomorphism_classes": f"""WITH {_edge_sql(6)}, digit AS (SELECT unnest(range(6)) AS x),
+perm AS (SELECT [a.x, b.x, c.x, d.x, e.x, f.x] AS p FROM digit a JOIN digit b ON b.x <> a.x JOIN digit c ON c.x NOT IN (a.x, b.x) JOIN digit d ON d.x NOT IN (a.x, b.x, c.x) JOIN digit e ON e.x NOT IN (a.x, b.x, c.x, d.x) JOIN digit f ON f.x NOT IN (a.x, b.x, c.x, d.x, e.x)),
+graph AS (SELECT mol, list((src, dst) ORDER BY src, dst) AS es FROM e GROUP BY mol), own AS (SELECT DISTINCT es FROM graph),
+form AS (SELECT es, min(list_sum(list_transform(es, lambda q: CAST(1 AS BIGINT) << CAST(least(p[q[1] + 1], p[q[2] + 1]) * 6 + greatest(p[q[1] + 1], p[q[2] + 1]) AS BIGINT)))) AS k FROM own, perm GROUP BY es)
+SELECT mol, min(mol) OVER (PARTITION BY k) AS first_mol FROM graph JOIN form USING (es)""",
+    "template_match": f"WITH {_edge_sql(7)}, n AS (SELECT mol, count(*) AS n FROM e GROUP BY mol) SELECT mol AS template, mol * 4 + k AS target, n AS n_bonds, n AS n_kept FROM n, (SELECT unnest([0, 1]) AS k)",
+    "best_ligand": f"""WITH {_edge_sql(7)}, n AS (SELECT mol, count(DISTINCT x) AS n_atoms FROM (SELECT mol, unnest([src, dst]) AS x FROM e) GROUP BY mol),
+c AS (SELECT l_orderkey AS mol, l_linenumber % 3 AS k, count(DISTINCT l_suppkey % 50) AS contact_n FROM lineitem GROUP BY ALL),
+t AS (SELECT mol, k, n_atoms, coalesce(contact_n, 0) AS contact_n FROM n CROSS JOIN (SELECT unnest([0, 1]) AS k) LEFT JOIN c USING (mol, k))
+SELECT mol AS template, mol * 4 + k AS target, contact_n, n_atoms FROM t QUALIFY row_number() OVER (PARTITION BY mol ORDER BY contact_n DESC, k) = 1""",
 }
