@@ -470,25 +470,28 @@ def equivalence_agreement(rows: DataFrame, group: str, code: str) -> DataFrame:
     return per_group.agg(F.count("*").alias("groups"), (F.sum("_d") / (F.count("*") + F.lit(1e-6))).alias("loss"))
 
 
-def same_type_loss(points: DataFrame, kind: str, row: str, vector: str, block: int = 2048) -> DataFrame:
-    """One row: over all ordered pairs, a point with itself too, the mean of d^2 + 1 for equal kinds and exp(-d^2) for others, by 10000. Blocks meet as matrices."""
-    p = points.select(F.col(kind).alias("t"), F.col(row).alias("i"), F.col(vector).alias("v"))
-    n = p.count()
-    parts = max(1, -(-n // block))
-    dealt = p.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left, right = dealt.select("t", "v", F.col("b").alias("a"), others.alias("b")), dealt.select("t", "v", others.alias("a"), "b")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def same_type_loss(points: DataFrame, kind: str, row: str, vector: str, block: int = 2048, batch: str | None = None) -> DataFrame:
+    """Over all ordered pairs, a point with itself too, the mean of d^2 + 1 for equal kinds and exp(-d^2) for others, by 10000; one row, or with batch a row (batch, loss) for each batch, whose points meet only
+    one another. Blocks meet as matrices, so the work is that of the pairs of a batch; a null batch is none."""
+    key = F.lit(0) if batch is None else F.col(batch)
+    p = points.select(key.alias("k"), F.col(kind).alias("t"), F.col(row).alias("i"), F.col(vector).alias("v")).where("k IS NOT NULL")
+    counts = p.groupBy("k").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    dealt = p.join(counts.select("k", parts.alias("parts")), "k").withColumn("b", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left, right = dealt.select("k", "t", "v", F.col("b").alias("a"), others.alias("b")), dealt.select("k", "t", "v", others.alias("a"), "b")
+
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"s": [0.0]})
+            return pd.DataFrame({"k": [key[0]], "s": [0.0]})
         x, y = (np.array(z["v"].to_list(), np.float64) for z in (a, b))
         d = np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T)
-        return pd.DataFrame({"s": [float(np.where(a["t"].to_numpy()[:, None] == b["t"].to_numpy()[None, :], d + 1, np.exp(-d)).sum())]})
+        return pd.DataFrame({"k": [key[0]], "s": [float(np.where(a["t"].to_numpy()[:, None] == b["t"].to_numpy()[None, :], d + 1, np.exp(-d)).sum())]})
 
-    other = right.select(F.col("t").alias("t"), F.col("v").alias("v"), F.col("a").alias("a_2"), F.col("b").alias("b_2"))  # one lineage, two names
-    met = left.groupBy("a", "b").cogroup(other.groupBy("a_2", "b_2")).applyInPandas(meet, "s double")
-    return met.agg((F.sum("s") / F.lit(float(n) * n) / 10000).alias("loss"))
+    other = right.select(F.col("k").alias("k_2"), F.col("t").alias("t"), F.col("v").alias("v"), F.col("a").alias("a_2"), F.col("b").alias("b_2"))  # one lineage, two names
+    met = left.groupBy("k", "a", "b").cogroup(other.groupBy("k_2", "a_2", "b_2")).applyInPandas(meet, f"k {p.schema['k'].dataType.simpleString()}, s double")
+    found = met.groupBy("k").agg(F.sum("s").alias("s")).join(counts, "k").select(F.col("k").alias(batch or "k"), (F.col("s") / (F.col("n").cast("double") * F.col("n")) / 10000).alias("loss"))
+    return found if batch else found.agg(F.max("loss").alias("loss"))
 
 
 def gaussian_mixture(points: DataFrame, row: str, vector: str, k: int, seed: int = 0) -> DataFrame:

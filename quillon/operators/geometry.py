@@ -26,11 +26,13 @@ def contact_mask(residues: DataFrame, contacts: DataFrame, group: str, residue:
 def chain_ranking(residues: DataFrame, ligand: DataFrame, xyz: tuple[str, str, str], structure: str, chain: str, residue: str, cutoff: float, sigma: float) -> DataFrame:
     """(structure, chain, contacts, soft, best, place): residues nearer than the cutoff, the sum of exp(-distance / sigma), the least distance, and the place in the structure.
 
-    All residues of a chain meet all ligand points of the same chain, as the soft score needs; the ligand is gathered, since it is a molecule.
+    Each residue finds the nearest ligand point of its chain, by blocks, so that a chain with many of either is spread. Residues without a place, and chains without a ligand point, go.
     """
-    gathered = ligand.groupBy(chain).agg(F.collect_list(F.struct(*xyz)).alias("_lig"))
-    square = lambda p: sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in xyz), F.lit(0e0))
-    least = residues.join(gathered, chain).withColumn("_d", F.sqrt(F.array_min(F.transform("_lig", square))))
+    there = " AND ".join(f"`{c}` IS NOT NULL" for c in xyz)
+    at = F.array(*[F.col(c).cast("double") for c in xyz])
+    points = residues.where(there).select(structure, chain, residue, at.alias("_at"))
+    known = ligand.where(there).select(chain, at.alias("_lig")).distinct().withColumn("_id", F.xxhash64("_lig"))
+    least = nearest_center(points, known, chain, "_at", "_lig", "_id", cosine=False).withColumn("_d", F.sqrt(F.greatest(-F.col("similarity"), F.lit(0e0))))
     stats = least.groupBy(structure, chain).agg(F.count(F.when(F.col("_d") < cutoff, 1)).alias("contacts"), F.sum(F.exp(-F.col("_d") / sigma)).alias("soft"), F.min("_d").alias("best"))
     place = F.row_number().over(Window.partitionBy(structure).orderBy(F.desc("contacts"), F.desc("soft"), "best", chain))
     return stats.withColumn("place", place.cast("long"))

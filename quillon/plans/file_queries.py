@@ -12,6 +12,7 @@ from quillon.operators import graph as G
 from quillon.operators import splits as P
 from quillon.plans.common import rounded, table
 from quillon.plans.cut import new_path
+from quillon.sources import arrays as A
 from quillon.sources import files as S
 from quillon.sources import sinks as K
 
@@ -392,6 +393,41 @@ def long_matrix(spark, d):
     return rounded(S.long_matrix(rows, cols, e.select(F.col("vec_id").alias("i"), cell.alias("values"))), "y")
 
 
+def array_shards(spark, d):
+    """Vectors as npy files, a file for each column and a thousand rows, and what a task reads of their ranges."""
+    path = new_path(spark)
+    A.write(table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding", F.coalesce("label", F.lit(-1)).alias("label")), path)
+    back = A.read(spark, path, "shard string, row long, vec_id long, label int, embedding array<float>", task_bytes=100_000)
+    total = F.aggregate("embedding", F.lit(0e0), lambda s, x: s + x.cast("double"))
+    return rounded(back.select("vec_id", "label", total.alias("total"), (F.col("row") < 1000).alias("in_shard")), "total")
+
+
+def array_archives(spark, d):
+    """Texts' and sources' lengths as npz files, of which only one column is read; then more shards after these."""
+    path, docs = new_path(spark), table(spark, d, "documents")
+    rows = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.array(F.length("lang"), F.length("source")).alias("pair")).withColumn("pair", F.transform("pair", lambda x: F.coalesce(x, F.lit(0))))
+    A.write(rows, path, "npz", rows=5000)
+    A.write(rows.where("n_chars > 500"), path, "npz", rows=5000, mode="append")
+    return A.read(spark, path, "doc_id long, n_chars int", "npz").groupBy("doc_id", "n_chars").agg(F.count("*").alias("n"))
+
+
+def keyed_stream(spark, d):
+    """Centres that follow a stream, a state for each label: the vectors of even ids are one step, those of odd ids the next, and a row without a vector closes it."""
+    from quillon.operators.codebook import first_centers
+    from quillon.streaming import keyed_state as KS
+
+    p = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    steps = p.select("label", (F.col("vec_id") % 2).cast("long").alias("step"), F.col("embedding").cast("array<double>").alias("embedding"))
+    ends = p.select("label").distinct().select("label", F.lit(2).cast("long").alias("step"), F.lit(None).cast("array<double>").alias("embedding"))
+    path, out, marks = new_path(spark), new_path(spark), new_path(spark)
+    steps.union(ends).write.parquet(path)
+    KS.use_rocks(spark)
+    states = KS.follow(spark.readStream.schema(steps.schema).parquet(path), first_centers(p, "label", "vec_id", "embedding", 4), "label", "step", "embedding")
+    states.writeStream.format("parquet").option("checkpointLocation", marks).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out)
+    return rounded(last.select("label", "step", "cid", "n", "cs", "ue", "last_ep", F.get("center", 0).alias("c0"), F.get("center", 63).alias("c63"), "late"), "cs", "ue", "c0", "c63")
+
+
 def parse_once(spark, d):
     """Costly work once for each distinct value: the memoised and the parallel parse."""
     from quillon.operators.joins import map_distinct
@@ -400,12 +436,27 @@ def parse_once(spark, d):
     return map_distinct(rows, "key", lambda keys: keys.withColumn("parsed", F.sha1("key"))).groupBy("parsed").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, tsv_gz_scan, split_scan, head_limit, molecule_list_scan, affinity_index_scan, sdf_scan, valid_in_space, sdf_index, structure_scan, mmcif_scan, resolution_lookup, structure_paths, complex_pairs, shard_listing, tar_batches, fasta_round_trip, unique_fasta, cluster_map_build, cluster_map_sink, best_hits, overlap_best_hits, json_lines_scan, log_event_routing, epoch_documents, union_of_runs, dataset_concat, split_sinks, annotated_sink, batched_sink, epoch_dump, json_sink, log_append, sized_keys_text, split_manifest, vocabulary_json, epoch_mean_csv, config_merge, csr_edges, ligand_token_parse, token_parse_json, unknown_to_mask, column_resolve, index_clamp, edge_offsets, state_restore, long_matrix, parse_once)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, tsv_gz_scan, split_scan, head_limit, molecule_list_scan, affinity_index_scan, sdf_scan, valid_in_space, sdf_index, structure_scan, mmcif_scan, resolution_lookup, structure_paths, complex_pairs, shard_listing, tar_batches, fasta_round_trip, unique_fasta, cluster_map_build, cluster_map_sink, best_hits, overlap_best_hits, json_lines_scan, log_event_routing, epoch_documents, union_of_runs, dataset_concat, split_sinks, annotated_sink, batched_sink, epoch_dump, json_sink, log_append, sized_keys_text, split_manifest, vocabulary_json, epoch_mean_csv, config_merge, csr_edges, ligand_token_parse, token_parse_json, unknown_to_mask, column_resolve, index_clamp, edge_offsets, state_restore, long_matrix, array_shards, array_archives, keyed_stream, parse_once)}
 
 _NAMED = "CASE WHEN {k} % 6 = 0 THEN 'C' || {k} WHEN {k} % 6 = 1 THEN 'N=O' || {k} WHEN {k} % 6 = 2 THEN CAST({k} AS VARCHAR) WHEN {k} % 6 = 5 THEN '[O-]' || {k} END"
 _STRUCT = "upper(resname) AS resname, chain, upper(element) AS element, count(*) AS n, round(sum(x), 3) AS x, round(sum(z), 3) AS z FROM ato WHERE element IS NOT NULL GROUP BY record, resname, chain, upper(element)"
 
 
+def _keyed_sql() -> str:
+    """Two steps of the moving centres; a step is the same SQL over the centres, counts and usage before it."""
+    from quillon.plans.vector_queries import _CEN
+
+    parts = [f"{_CEN}, s0 AS (SELECT label, cid, CAST(c AS DOUBLE[]) AS c, 1e0 AS cs, 0e0 AS ue, -1 AS last_ep, 0 AS n FROM cen)"]
+    for t in (0, 1):
+        parts.append(f"""a{t} AS (SELECT p.label, p.vec_id, cid, p.v FROM pts p JOIN s{t} USING (label) WHERE vec_id % 2 = {t} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(p.v, c) DESC, cid) = 1),
+x{t} AS (SELECT label, cid, i, sum(v[i]) AS s, count(*) AS n FROM a{t}, range(1, 65) r(i) GROUP BY label, cid, i),
+m{t} AS (SELECT o.*, r.i, coalesce(x.n, 0) AS k, 0.8e0 * cs * c[r.i] + 0.2e0 * coalesce(s, 0e0) AS ea FROM s{t} o CROSS JOIN range(1, 65) r(i) LEFT JOIN x{t} x ON x.label = o.label AND x.cid = o.cid AND x.i = r.i),
+l{t} AS (SELECT *, sqrt(sum(ea * ea) OVER (PARTITION BY label, cid)) AS len FROM m{t}),
+s{t + 1} AS (SELECT label, cid, list(CASE WHEN k > 0 THEN ea / len ELSE c[i] END ORDER BY i) AS c, 0.8e0 * max(cs) + 0.2e0 * max(k) AS cs, 0.97e0 * max(ue) + 0.03e0 * max(k) AS ue, CASE WHEN max(k) > 0 THEN {t} ELSE max(last_ep) END AS last_ep, max(k) AS n FROM l{t} GROUP BY label, cid)""")
+    rows = " UNION ALL ".join(f"SELECT label, {t} AS step, cid, n, round(cs, 6) AS cs, round(ue, 6) AS ue, last_ep, round(c[1], 6) AS c0, round(c[64], 6) AS c63, 0 AS late FROM s{t + 1} WHERE {guard}" for t, guard in ((0, "true"), (1, "label IN (SELECT label FROM pts WHERE vec_id % 2 = 1)")))
+    return "WITH " + ", ".join(parts) + " " + rows
+
+
 def _oracles() -> dict[str, str]:
     from quillon.plans.structure_queries import _ATO
     from quillon.plans.table_queries import _h
@@ -413,6 +464,9 @@ def _oracles() -> dict[str, str]:
 
     atoms = f"WITH {_ATO} SELECT record, {_STRUCT}"
     return {
+        "array_shards": "SELECT vec_id, coalesce(label, -1) AS label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total, true AS in_shard FROM embeddings WHERE embedding IS NOT NULL",
+        "array_archives": "SELECT doc_id, coalesce(length(text), 0) AS n_chars, CASE WHEN length(text) > 500 THEN 2 ELSE 1 END AS n FROM documents",
+        "keyed_stream": _keyed_sql(),
         "csv_round_trip": "SELECT p_partkey, p_name, CASE WHEN p_size % 3 > 0 THEN 'a \"b\", ' || p_brand ELSE '' END AS note, p_retailprice, '' AS none FROM part",
         "tsv_gz_scan": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY ALL",
         "split_scan": "SELECT count_if(p_partkey % 4 = 0) AS n_valid, count(*) AS n_all FROM part",

@@ -109,6 +109,12 @@ def equivalence_agreement(spark, d):
     return rounded(C.equivalence_agreement(table(spark, d, "lineitem"), "l_partkey", "l_linenumber"), "loss")
 
 
+def same_type_loss_by_batch(spark, d):
+    """The loss of each batch of a hundred vectors."""
+    p = _points(spark, d).withColumn("batch", F.floor(F.col("vec_id") / 100).cast("long"))
+    return rounded(C.same_type_loss(p, "label", "vec_id", "embedding", batch="batch"), "loss", digits=8)
+
+
 def same_type_loss(spark, d):
     return rounded(C.same_type_loss(_points(spark, d), "label", "vec_id", "embedding"), "loss", digits=8)
 
@@ -469,7 +475,7 @@ def noise_mix(spark, d):
     return rounded(table(spark, d, "part").select("p_partkey", T.noise_mix(F.col("p_retailprice"), 0.25, 9, F.col("p_partkey")).alias("x")), "x")
 
 
-QUERIES = {f.__name__: f for f in (max_share_quantiles, worst_keys, dead_statistics, epoch_report, median_deviation, compact_clusters, codebook_fill, codebook_fill_data, codebook_fill_points, codebook_init, code_lookup, quantized_output, existing_keys, split_largest, equivalence_agreement, same_type_loss, gaussian_mixture, mini_batch_kmeans, logit_metric_block, ranking_cls_metrics, affinity_ranking_metrics, argmax_accuracy, best_epoch_by_loss, best_hyper_parameter, composite_name_order, token_stats, frequent_classes, values_by_position, last_epoch_records, epoch_boxes, top_score_filter, row_shares, one_hot_encode, raw_count_load, per_batch_stats, usable_rows, regressor_rows, key_whitelist, metric_coercion, state_key_filter, superscripts, ids_to_text, filled_lines, feature_shape_check, dict_literal, tiny_components, epoch_shards, contiguous_slices, index_split, graph_split, class_sample_without, sampled_groups, guide_sample, sample_with_repeats, seeded_order, short_ids, distinct_sorted, existing_sequences, unused_positions, dataset_statistics, continuous_masking, reconstruction_metrics, masked_mean_max, top_share_mask, contact_top_loss, cursor_slices, global_atom_numbers, node_numbers, ragged_access, normalised_features, shard_line_index, interaction_collate, distance_bias_collate, noise_mix)}
+QUERIES = {f.__name__: f for f in (max_share_quantiles, worst_keys, dead_statistics, epoch_report, median_deviation, compact_clusters, codebook_fill, codebook_fill_data, codebook_fill_points, codebook_init, code_lookup, quantized_output, existing_keys, split_largest, equivalence_agreement, same_type_loss, same_type_loss_by_batch, gaussian_mixture, mini_batch_kmeans, logit_metric_block, ranking_cls_metrics, affinity_ranking_metrics, argmax_accuracy, best_epoch_by_loss, best_hyper_parameter, composite_name_order, token_stats, frequent_classes, values_by_position, last_epoch_records, epoch_boxes, top_score_filter, row_shares, one_hot_encode, raw_count_load, per_batch_stats, usable_rows, regressor_rows, key_whitelist, metric_coercion, state_key_filter, superscripts, ids_to_text, filled_lines, feature_shape_check, dict_literal, tiny_components, epoch_shards, contiguous_slices, index_split, graph_split, class_sample_without, sampled_groups, guide_sample, sample_with_repeats, seeded_order, short_ids, distinct_sorted, existing_sequences, unused_positions, dataset_statistics, continuous_masking, reconstruction_metrics, masked_mean_max, top_share_mask, contact_top_loss, cursor_slices, global_atom_numbers, node_numbers, ragged_access, normalised_features, shard_line_index, interaction_collate, distance_bias_collate, noise_mix)}
 
 
 def _oracles() -> dict[str, str]:
@@ -500,6 +506,7 @@ def _oracles() -> dict[str, str]:
         "existing_keys": "WITH k AS (SELECT DISTINCT p_size || '_' || p_brand AS key FROM part), r AS (SELECT key, 'k_' || regexp_replace(key, '[^0-9A-Za-z_]', '_', 'g') AS safe FROM k), known AS (SELECT safe FROM r WHERE length(key) % 2 = 0) SELECT key, CASE WHEN key LIKE '1%' AND 'k_12_Brand_12' IN (SELECT safe FROM known) THEN 'k_12_Brand_12' WHEN safe IN (SELECT safe FROM known) THEN safe END AS safe FROM r",
         "split_largest": f"WITH {_ASS}, n AS (SELECT label, cid, count(*) AS n FROM ass GROUP BY ALL), r AS (SELECT *, count(*) OVER w AS used, max(cid) OVER w AS top, row_number() OVER (PARTITION BY label ORDER BY n DESC, cid) AS rn FROM n WINDOW w AS (PARTITION BY label)), ch AS (SELECT label, cid, top + rn AS neu FROM r WHERE n > 5 AND rn <= 6 - used), i AS (SELECT a.label, a.cid, a.vec_id, a.v, neu FROM ass a JOIN ch ON ch.label = a.label AND ch.cid = a.cid), m AS (SELECT label, cid, j, avg(v[j]) AS m FROM i, range(1, 65) r(j) GROUP BY ALL), mm AS (SELECT label, cid, list(m ORDER BY j) AS mu FROM m GROUP BY ALL), d AS (SELECT i.*, sqrt({_DIST.format(a='v', b='mu')}) AS d FROM i JOIN mm USING (label, cid)), moved AS (SELECT vec_id, neu FROM (SELECT *, quantile_cont(d, 0.5) OVER (PARTITION BY label, cid) AS md FROM d) WHERE d > md) SELECT label, CAST(coalesce(neu, cid) AS BIGINT) AS cid, count(*) AS n FROM ass LEFT JOIN moved USING (vec_id) GROUP BY 1, 2",
         "equivalence_agreement": "WITH n AS (SELECT l_partkey, l_linenumber AS c, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_partkey, sum(n) AS t FROM n GROUP BY 1 HAVING sum(n) > 1), p AS (SELECT a.l_partkey, sum(a.n * b.n * abs(a.c - b.c)) / max(CAST(t.t AS DOUBLE) * t.t) AS d FROM n a JOIN n b ON a.l_partkey = b.l_partkey JOIN t ON t.l_partkey = a.l_partkey GROUP BY 1) SELECT count(*) AS groups, round(sum(d) / (count(*) + 1e-6), 6) AS loss FROM p",
+        "same_type_loss_by_batch": f"WITH {_PTS}, q AS (SELECT a.vec_id // 100 AS batch, a.label = b.label AS same, {_DIST.format(a='a.v', b='b.v')} AS d FROM pts a JOIN pts b ON a.vec_id // 100 = b.vec_id // 100) SELECT batch, round(avg(CASE WHEN same THEN d + 1 ELSE exp(-d) END) / 10000, 8) AS loss FROM q GROUP BY batch",
         "same_type_loss": f"WITH {_PTS}, q AS (SELECT a.label = b.label AS same, {_DIST.format(a='a.v', b='b.v')} AS d FROM pts a, pts b) SELECT round(avg(CASE WHEN same THEN d + 1 ELSE exp(-d) END) / 10000, 8) AS loss FROM q",
         "logit_metric_block": f"WITH {logits} SELECT round({auc}, 6) AS auroc, round({ap}, 6) AS average_precision, round((SELECT 2e0 * count_if(p >= 0.4e0 AND label = 1) / (count_if(p >= 0.4e0) + sum(label)) FROM lo), 6) AS f1, 0.4e0 AS threshold, round((SELECT avg(p) FROM lo), 6) AS prob_mean, round((SELECT stddev_pop(p) FROM lo), 6) AS prob_std",
         "ranking_cls_metrics": f"WITH {logits} SELECT round({auc}, 6) AS auroc, round({ap}, 6) AS average_precision, round({ef(0.01)}, 6) AS ef1, round({ef(0.05)}, 6) AS ef5, round({ef(0.1)}, 6) AS ef10",
