@@ -38,6 +38,7 @@ def _files(path: str):
     """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
+    path = re.sub(r"^file:/+", "/", path)
     return fs.FileSystem.from_uri(path) if re.match(r"^[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
 
 
