@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import molecules as P
+from quillon.functions import packed as R
 from quillon.functions import smiles as S
-from quillon.operators.graph import components
-from quillon.plans.cut import cut
+from quillon.plans.cut import cut, stored
 
 BOND = ["mol", "src", "dst"]
-#: Steps of a scaffold's peeling between two cuts.
-PEELS = 2
+RINGED = ["ring_size", "arom_nbrs", "fused_id"]
 
 
 class Molecules(NamedTuple):
@@ -25,47 +26,40 @@ class Molecules(NamedTuple):
     bonds: DataFrame
 
 
-def _read(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(mol, p, fault): lines parsed, and what is wrong with them."""
-    read = df.select(F.col(id_col).alias("mol"), S.parsed(F.col(text_col)).alias("p"))
-    return cut(read).withColumn("fault", F.when(F.col("p").isNull(), "null").when(~F.col("p.known"), "atom").otherwise(F.col("p.found.fault")))
+def packed_graphs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(mol, fault, atoms, bonds): the molecules of graphs, a row for each line, atoms and bonds as arrays of structs. Nothing is shuffled and nothing kept."""
+    read = df.select(F.col(id_col).alias("mol"), F.arrow_udf(S.found, S.FOUND)(F.col(text_col)).alias("p"))
+    numbered = F.transform("p.atoms", lambda a, i: F.struct(i.alias("atom"), *[a[c].alias(c) for c in ("symbol", "z", "aromatic", "charge", "isotope", "hcount", "degree")]))
+    return read.select("mol", "p.fault", numbered.alias("atoms"), F.col("p.bonds").alias("bonds"))
+
+
+def packed(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol, atoms, bonds): a row for each molecule, from tables of both. Bonds of molecules without atoms are left out, and so are those of a null mol."""
+    group = lambda df, name: df.groupBy("mol").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "mol"])).alias(name))
+    some = group(bonds, "bonds")
+    none = F.array().cast(some.schema["bonds"].dataType)
+    return group(atoms, "atoms").join(some.hint("merge"), "mol", "left").withColumn("bonds", F.coalesce("bonds", none))
+
+
+def unpacked(rows: DataFrame, column: str) -> DataFrame:
+    """(mol and the fields of an array of structs), a row for each of its members."""
+    return rows.select("mol", F.explode(column).alias("_x")).select("mol", "_x.*")
 
 
 def faults(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(mol, fault) of each line, as of graphs."""
-    return _read(df, id_col, text_col).select("mol", "fault")
+    return df.select(F.col(id_col).alias("mol"), F.arrow_udf(S.faults, "string")(F.col(text_col)).alias("fault"))
 
 
 def graphs(df: DataFrame, id_col: str, text_col: str) -> Molecules:
     """The molecules that lines of text stand for; ids become mol, one row for each.
 
-    fault is "null" for a null line, "atom" where brackets or an element can't be read, and else as in smiles.parsed; faulty lines have no atoms. A bond without a sign is aromatic between two
+    fault is "null" for a null line, "atom" where brackets or an element can't be read, and else as in smiles.found; faulty lines have no atoms. A bond without a sign is aromatic between two
     aromatic atoms that share a ring, else single. Hydrogens of atoms without brackets follow from valences, aromaticity from the letters: Kekulé forms aren't made aromatic. Repeated rows of an id
-    repeat its atoms, so ids should be distinct; a null id is kept as it is and joins nothing.
+    repeat its atoms, so ids should be distinct. Lines are parsed once, and kept as Parquet in the shared folder.
     """
-    read = _read(df, id_col, text_col)
-    status = read.select("mol", "fault")
-    sound = read.where("fault is null").select("mol", "p.atoms", "p.found.edges")
-    rings = with_rings(sound.select("mol", F.explode(S.ring_edges(F.col("edges"), F.size("atoms"))).alias("e")).select("mol", "e.src", "e.dst"))
-    flags = sound.withColumn("low", F.transform("atoms", S.is_aromatic)).select("mol", "low", F.explode("edges").alias("e")).select("mol", "low", "e.*")
-    sign, both = F.col("sign"), F.get("low", F.col("src")) & F.get("low", F.col("dst"))
-    kind, way = F.when(both & (sign == ""), "AROMATIC").when(sign == "", "SINGLE"), F.lit("NONE")
-    for s, name in S.BONDS.items():
-        kind = kind.when(sign == s, name)
-    for s, name in S.WAYS.items():
-        way = F.when(sign == s, name).otherwise(way)
-    bonds = flags.select("mol", "src", "dst", kind.alias("kind"), way.alias("way"), (sign == "").alias("_open"))
-    ringed = bonds.join(rings, BOND, "left")
-    settled = cut(ringed.withColumn("kind", F.when((F.col("kind") == "AROMATIC") & F.col("_open") & F.col("ring").isNull(), "SINGLE").otherwise(F.col("kind"))).drop("_open"))
-    token = F.col("token")
-    atoms = sound.select("mol", F.posexplode("atoms").alias("atom", "token")).select(
-        "mol", "atom", S.symbol(token).alias("symbol"), S.number(token).alias("z"), S.is_aromatic(token).alias("aromatic"), S.charge(token).alias("charge"), S.isotope(token).alias("isotope"), S.hydrogens(token).alias("_h")
-    )
-    order = F.when(F.col("kind") == "DOUBLE", 2).when(F.col("kind") == "TRIPLE", 3).when(F.col("kind") == "QUADRUPLE", 4).otherwise(1)
-    sums = settled.select("mol", F.explode(F.array("src", "dst")).alias("atom"), order.alias("o")).groupBy("mol", "atom").agg(F.count("*").cast("int").alias("degree"), F.sum("o").alias("_orders"))
-    joined = atoms.join(sums, ["mol", "atom"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    h = F.coalesce("_h", S.implicit_hydrogens(F.col("symbol"), F.col("aromatic"), F.coalesce("_orders", F.lit(0))))
-    return Molecules(status, joined.withColumn("hcount", h).drop("_h", "_orders"), settled)
+    rows = stored(packed_graphs(df, id_col, text_col))
+    return Molecules(rows.select("mol", "fault"), unpacked(rows, "atoms"), unpacked(rows, "bonds"))
 
 
 def directed(bonds: DataFrame) -> DataFrame:
@@ -74,83 +68,49 @@ def directed(bonds: DataFrame) -> DataFrame:
     return bonds.select("mol", "src", "dst", *rest).union(bonds.select("mol", F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
 
-def shortest_cycles(bonds: DataFrame) -> DataFrame:
-    """(mol, src, dst, ring), src < dst: for each bond that lies on a cycle, the length of a shortest one.
+def with_rings(bonds: DataFrame) -> DataFrame:
+    """bonds and ring, the size of the smallest ring that a bond is in, null for none. The bonds of a molecule meet as one row; loops and repeated bonds don't count."""
+    old = [c for c in bonds.columns if c not in ("mol", "ring")]
+    rows = bonds.groupBy("mol").agg(F.collect_list(F.struct(*old)).alias("b"))
+    sized = rows.withColumn("r", F.arrow_udf(R.ring_sizes, "array<int>")(F.col("b.src").cast("array<bigint>"), F.col("b.dst").cast("array<bigint>")))
+    ring = F.when(F.col("mol").isNotNull(), F.get("r", F.col("i"))).alias("ring")
+    return sized.select("mol", "r", F.posexplode("b").alias("i", "b")).select("mol", *[F.col(f"b.{c}").alias(c) for c in old], ring).select(*[c for c in bonds.columns if c != "ring"], "ring")
 
-    All bonds of all molecules search at once, from both of their ends and not through themselves, a step a round; a bond is done when its searches meet or one of them has nowhere to go. So
-    there are about half as many rounds as the largest ring has atoms, or as the shorter way from a bond to the end of a molecule has. Loops and repeated bonds don't count.
-    """
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    plain = cut(bonds.where("src <> dst").select("mol", low.alias("src"), high.alias("dst")).distinct())
-    onward = directed(plain).select("mol", F.col("src").alias("node"), F.col("dst").alias("_to"))
-    seen = plain.select(*BOND, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("src").alias("node")), F.struct(F.lit(1).alias("side"), F.col("dst").alias("node")))).alias("s")).select(*BOND, "s.*", F.lit(0).alias("d"))
-    done, step = [], 0
-    while True:
-        last, step = step, step + 1
-        front = seen.where(F.col("d") == last).join(onward, ["mol", "node"])
-        went = front.where((F.least("node", "_to") != F.col("src")) | (F.greatest("node", "_to") != F.col("dst"))).select(*BOND, "side", F.col("_to").alias("node"), F.lit(step).alias("d"))
-        seen = cut(seen.union(went).groupBy(*BOND, "side", "node").agg(F.min("d").alias("d")))
-        at = lambda side: F.min(F.when(F.col("side") == side, F.col("d")))  # noqa: E731, B023
-        new = lambda side: F.max(((F.col("side") == side) & (F.col("d") == step)).cast("int"))  # noqa: E731, B023
-        met = seen.groupBy(*BOND, "node").agg((at(0) + at(1) + 1).alias("ring"), new(0).alias("n0"), new(1).alias("n1")).groupBy(*BOND).agg(F.min("ring").alias("ring"), F.max("n0").alias("n0"), F.max("n1").alias("n1"))
-        met = cut(met.where("ring is not null or (n0 = 1 and n1 = 1)"))
-        done.append(met.where("ring is not null").select(*BOND, "ring"))
-        alive = met.where("ring is null").select(*BOND)
-        if alive.isEmpty():
-            break
-        seen = seen.join(alive, BOND, "left_semi")
-    found = done[0]
-    for more in done[1:]:
-        found = found.union(more)
-    return found
 
+def shortest_cycles(bonds: DataFrame) -> DataFrame:
+    """(mol, src, dst, ring), src < dst: for each bond that lies on a cycle, the length of a shortest one."""
+    return with_rings(bonds.where("src <> dst").select("mol", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()).where("ring is not null")
 
-def with_rings(bonds: DataFrame) -> DataFrame:
-    """bonds and ring, the size of the smallest ring that a bond is in, null for none."""
-    rings = cut(shortest_cycles(bonds)).select("mol", F.col("src").alias("_a"), F.col("dst").alias("_b"), "ring")
-    old = [c for c in bonds.columns if c != "ring"]
-    ends = bonds.select(*old, F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b"))
-    return ends.join(rings, ["mol", "_a", "_b"], "left").select(*old, "ring")
+
+def packed_ring_features(rows: DataFrame) -> DataFrame:
+    """rows (as of packed) whose atoms have ring_size, arom_nbrs and fused_id too, as of ring_features."""
+    ids = lambda c: F.col(c).cast("array<bigint>")
+    found = rows.withColumn("_r", F.arrow_udf(R.atom_rings, "array<struct<ring_size:int,arom_nbrs:int,fused_id:int>>")(ids("atoms.atom"), F.col("atoms.aromatic"), ids("bonds.src"), ids("bonds.dst"), F.col("bonds.ring").cast("array<int>")))
+    names = [f.name for f in rows.schema["atoms"].dataType.elementType if f.name not in RINGED]
+    joined = F.zip_with("atoms", "_r", lambda a, r: F.struct(*[a[c].alias(c) for c in names], *[r[c].alias(c) for c in RINGED]))
+    return found.withColumn("atoms", joined).drop("_r")
 
 
 def ring_features(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """atoms (mol, atom, aromatic ...) and ring_size (the smallest ring, 0 outside), arom_nbrs (aromatic neighbours) and fused_id (0 outside, else the number of the ring system in the molecule, from 1 by
     the smallest atom); bonds have ring, as of with_rings. Rings that share an atom are one system."""
-    ends = cut(bonds.where("ring is not null").select(F.struct("mol", F.col("src").alias("atom")).alias("a"), F.struct("mol", F.col("dst").alias("atom")).alias("b"), "ring"))
-    size = ends.select(F.explode(F.array("a", "b")).alias("n"), "ring").groupBy("n").agg(F.min("ring").alias("ring_size"))
-    systems = components(ends, "a", "b")
-    roots = systems.select("component").distinct().withColumn("fused_id", F.row_number().over(Window.partitionBy("component.mol").orderBy("component.atom")))  # a molecule's systems
-    ringed = size.join(systems.join(roots, "component"), size["n"] == F.col("node")).select("n.mol", "n.atom", "ring_size", "fused_id")
-    near = directed(bonds.where("src <> dst").select(*BOND).distinct()).join(atoms.where("aromatic").select("mol", F.col("atom").alias("dst")), ["mol", "dst"]).distinct()
-    counted = near.groupBy("mol", F.col("src").alias("atom")).agg(F.count("*").cast("int").alias("arom_nbrs"))
-    joined = atoms.join(ringed, ["mol", "atom"], "left").join(counted, ["mol", "atom"], "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("int") for c in ("ring_size", "arom_nbrs", "fused_id")})
+    return unpacked(packed_ring_features(packed(atoms, bonds.select(*BOND, "ring"))), "atoms")
 
 
 def scaffolds(bonds: DataFrame, keep_double: bool = True) -> DataFrame:
     """The bonds of each molecule's scaffold: its rings and what links them; a molecule without rings has none.
 
-    Atoms with one bond are taken off in all molecules at once until none is left, a step a round, as many as the longest chain has atoms. What then hangs on the scaffold
-    by a double bond is put back, unless keep_double is false.
+    The bonds of a molecule meet as one row, where atoms with one bond are taken off until none is left. What then hangs on the scaffold by a double bond is put back, unless keep_double is false.
     """
-    core = cut(bonds.where("src <> dst").dropDuplicates(BOND))
-    whole, n = core, core.count()
-    while n:
-        for _ in range(PEELS):
-            ends = core.select("mol", F.explode(F.array("src", "dst")).alias("atom")).groupBy("mol", "atom").count()
-            for end in ("src", "dst"):
-                core = core.join(ends.where("count = 1").select("mol", F.col("atom").alias(end)), ["mol", end], "left_anti")
-        core = cut(core.select(*bonds.columns))
-        now = core.count()
-        if now == n:
-            break
-        n = now
-    if not keep_double:
-        return core
-    atoms = core.select("mol", F.explode(F.array("src", "dst")).alias("atom")).distinct()
-    hanging = whole.where("kind = 'DOUBLE'").join(core.select(*BOND), BOND, "left_anti")
-    touch = [hanging.join(atoms.withColumnRenamed("atom", end), ["mol", end], "left_semi").select(*bonds.columns) for end in ("src", "dst")]
-    return core.union(touch[0].union(touch[1]).dropDuplicates(BOND))
+    old = [c for c in bonds.columns if c != "mol"]
+    return packed_scaffolds(bonds.groupBy("mol").agg(F.collect_list(F.struct(*old)).alias("bonds")), keep_double).select(*bonds.columns)
+
+
+def packed_scaffolds(rows: DataFrame, keep_double: bool = True) -> DataFrame:
+    """The same from rows with bonds, as of packed."""
+    ids = lambda c: F.col(c).cast("array<bigint>")
+    marked = rows.withColumn("_s", F.arrow_udf(R.scaffold_bonds, "array<int>")(ids("bonds.src"), ids("bonds.dst"))).select("mol", F.explode(F.arrays_zip("bonds", "_s")).alias("_x")).select("mol", "_x.bonds.*", "_x._s")
+    return marked.where((F.col("_s") == 2) | ((F.col("_s") == 1) & (F.col("kind") == "DOUBLE")) if keep_double else F.col("_s") == 2).drop("_s")
 
 
 def scaffold_keys(atoms: DataFrame, scaffold: DataFrame, rounds: int = 8, generic: bool = False) -> DataFrame:
@@ -212,58 +172,39 @@ HYDROGEN_BONDS = (
 )
 
 
+def _asked(patterns: tuple[Pattern, ...]) -> list[str]:
+    return sorted({c for p in patterns for q in (p, *p.never) for c in q.atoms})
+
+
+def _searched(rows: DataFrame, patterns: tuple[Pattern, ...], search: Callable) -> Column:
+    """What a search of functions.packed finds in rows as of packed: conditions are evaluated by Spark, ways along the bonds within the rows."""
+    conditions = _asked(patterns)
+    own = lambda c: re.sub(r"\b(z|aromatic|charge|hcount|degree)\b", r"a.\1", re.sub(r"\btotal\b", "(degree + hcount)", c))
+    held = F.array(*[F.expr(f"transform(atoms, a -> coalesce({own(c)}, false))") for c in conditions])
+    ids = lambda c: F.col(c).cast("array<bigint>")
+    return search(conditions)(ids("atoms.atom"), held, ids("bonds.src"), ids("bonds.dst"), F.col("bonds.kind"))
+
+
+def packed_group_counts(rows: DataFrame, patterns: tuple[Pattern, ...] = GROUPS) -> DataFrame:
+    """(mol, counts): how many atoms of each molecule are part of a match of each pattern, from rows as of packed."""
+    return rows.select("mol", _searched(rows, patterns, lambda c: R.counts_of(patterns, c)).alias("counts"))
+
+
 class Matcher:
-    """Looks for patterns in all molecules by joins along their bonds: from the atom whose condition holds least often on, each time over the bond to the rarest atom yet to come."""
+    """Looks for patterns in all molecules, each of them a row: from the atom whose condition holds least often on, each time over the bond to the rarest atom yet to come."""
 
     def __init__(self, atoms: DataFrame, bonds: DataFrame):
-        known = atoms.withColumn("total", F.col("degree") + F.col("hcount"))
-        columns = ["z", "aromatic", "charge", "hcount", "degree", "total"]
-        self.atoms = cut(known.select("mol", "atom", *columns))
-        ends = directed(bonds.where("src <> dst").select(*BOND, "kind"))
-        self.steps = cut(ends.join(self.atoms.withColumnRenamed("atom", "dst"), ["mol", "dst"]).select("mol", "src", "dst", "kind", *columns))
-        self.counts: dict[str, int] = {}
-
-    def count(self, patterns: tuple[Pattern, ...]) -> None:
-        """How many atoms each condition holds for, all in one pass."""
-        wanted = sorted({c for p in patterns for q in (p, *p.never) for c in q.atoms} - set(self.counts))
-        if wanted:
-            found = self.atoms.agg(*[F.count(F.when(F.expr(c), 1)).alias(f"c{i}") for i, c in enumerate(wanted)]).first()
-            self.counts |= dict(zip(wanted, found, strict=True))
+        self.rows = stored(packed(atoms.select("mol", "atom", "z", "aromatic", "charge", "hcount", "degree"), bonds.select(*BOND, "kind")))
 
     def matches(self, pattern: Pattern) -> DataFrame:
         """(mol, a0, a1 ...): every way in which different atoms meet the conditions and bonds, symmetric ones too. Patterns are connected."""
-        self.count((pattern,))
-        rare = lambda k: (self.counts[pattern.atoms[k]], k)
-        start = min(range(len(pattern.atoms)), key=rare)
-        found, placed = self.atoms.where(pattern.atoms[start]).select("mol", F.col("atom").alias(f"a{start}")), {start}
-        left = list(pattern.bonds)
-        while left:
-            touching = [b for b in left if (b[0] in placed) + (b[1] in placed) == 1] or [b for b in left if b[0] in placed]
-            a, b, kinds = min(touching, key=lambda x: rare(x[1] if x[0] in placed else x[0]))
-            left.remove((a, b, kinds))
-            a, b = (a, b) if a in placed else (b, a)
-            over = self.steps.where(F.col("kind").isin(*kinds))
-            if b in placed:  # closes a ring of the pattern
-                found = found.join(over.select("mol", F.col("src").alias(f"a{a}"), F.col("dst").alias(f"a{b}")), ["mol", f"a{a}", f"a{b}"], "left_semi")
-                continue
-            found = found.join(over.where(pattern.atoms[b]).select("mol", F.col("src").alias(f"a{a}"), F.col("dst").alias(f"a{b}")), ["mol", f"a{a}"])
-            for k in placed:
-                found = found.where(F.col(f"a{k}") != F.col(f"a{b}"))
-            placed.add(b)
-        for never in pattern.never:
-            found = found.join(self.matches(never).select("mol", "a0").distinct(), ["mol", "a0"], "left_anti")
-        return found.select("mol", *[f"a{k}" for k in range(len(pattern.atoms))])
+        found = self.rows.select("mol", "atoms", F.explode(_searched(self.rows, (pattern,), lambda c: R.matches_of(pattern, c))).alias("w"))
+        return found.select("mol", *[F.get("atoms", F.get("w", k))["atom"].alias(f"a{k}") for k in range(len(pattern.atoms))])
 
     def flags(self, patterns: tuple[Pattern, ...] = GROUPS) -> DataFrame:
         """(mol, atom, flags): for each atom an array of 0 and 1, whether it is part of a match of each pattern."""
-        self.count(patterns)
-        parts = [self.matches(p).select("mol", F.explode(F.array(*[f"a{i}" for i in range(len(p.atoms))])).alias("atom"), F.lit(k).alias("k")) for k, p in enumerate(patterns)]
-        all_parts = parts[0]
-        for more in parts[1:]:
-            all_parts = all_parts.union(more)
-        of = all_parts.groupBy("mol", "atom").agg(F.collect_set("k").alias("_k"))
-        flag = lambda k: F.coalesce(F.array_contains("_k", k), F.lit(False)).cast("int")
-        return self.atoms.select("mol", "atom").join(of, ["mol", "atom"], "left").select("mol", "atom", F.array(*[flag(k) for k in range(len(patterns))]).alias("flags"))
+        found = self.rows.select("mol", F.arrays_zip(F.col("atoms.atom").alias("atom"), _searched(self.rows, patterns, lambda c: R.flags_of(patterns, c)).alias("flags")).alias("x"))
+        return found.select("mol", F.explode("x").alias("x")).select("mol", "x.atom", "x.flags")
 
 
 def scaffold_clusters(rows: DataFrame, mol: str, keys: DataFrame) -> DataFrame:

@@ -192,3 +192,13 @@ def test_atom_rows(spark):
     assert sums((0, 1))[:9] == [2, 1, 0, 0, 0, 0, 0, 0, 0] and sums((0, 4))[:14] == [1, 0, 0, 2, 0, 0, 2, 2, 2, 0, 0, 0, 2, 0]
     assert sums((1, 1))[:8] == [1, 1, 0, 0, 0, 0, 0, 2] and sums((2, 0)) == [0] * 24  # butadiene is conjugated throughout
     assert sums((1, 0))[14] == 1 and sums((1, 0))[19] == 1  # no stereo form, no direction
+
+
+def test_molecules_are_rows(spark):
+    """Lines become atoms, rings, scaffolds and groups within their rows: nothing is shuffled or kept for it."""
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate([*GROUP_LINES, "C12.C12", "C1.C1", "C(C1)CC1"])], "id long, line string")
+    rows = M.packed_graphs(lines, "id", "line")
+    for df in (M.faults(lines, "id", "line"), M.unpacked(M.packed_ring_features(rows), "atoms"), M.packed_scaffolds(rows), M.packed_group_counts(rows)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    rings = [{(b.src, b.dst): b.ring for b in r.bonds} for r in rows.orderBy("mol").collect()[-3:]]
+    assert rings == [{}, {(0, 1): None}, {(0, 1): 4, (0, 2): 4, (2, 3): 4, (1, 3): 4}]
