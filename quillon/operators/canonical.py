@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.molecules import directed
-from quillon.plans.cut import cut
+from quillon.plans.cut import cut, stored
 
 #: What tells atoms apart in graphs as molecules.graphs makes them.
 ATOM = ("z", "charge", "aromatic", "isotope", "hcount")
@@ -55,17 +55,24 @@ def _same_under_swap(mine: Column, other: Column, near: Column) -> Column:
     return _let(goal, lambda m: F.when(whole(m), kept(m)).otherwise(False))
 
 
-def _packed(atoms: DataFrame, bonds: DataFrame, by: tuple[str, ...], kinds: bool) -> DataFrame:
-    """(mol, part, ids, near, core, colours): a row for each connected part of a molecule, neighbours by their places in ids."""
+def _flat(atoms: DataFrame, bonds: DataFrame, by: tuple[str, ...], kinds: bool) -> DataFrame:
+    """(mol, ids, near, c, shape): a row for each molecule, neighbours by their places in ids; shape is a hash of all but the ids, so that molecules whose atoms stand in the same places share it."""
     kind = F.xxhash64("kind") if kinds else F.lit(0).cast("long")
-    ends = directed(bonds.where("src <> dst").select("mol", "src", "dst", kind.alias("kind"))).distinct()
-    of = ends.groupBy("mol", F.col("src").alias("atom")).agg(F.collect_list(F.struct("dst", "kind")).alias("ns"))
-    own = atoms.groupBy("mol", "atom").agg(F.min(F.xxhash64(*by) if by else F.lit(0).cast("long")).alias("c"))
-    whole = own.join(of, ["mol", "atom"], "left").groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom", "c", "ns"))).alias("a"))
+    ends = directed(bonds.where("src <> dst").select("mol", "src", "dst", kind.alias("kind"))).groupBy("mol").agg(F.array_sort(F.collect_set(F.struct("src", "dst", "kind"))).alias("ns"))
+    colour = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    own = atoms.groupBy("mol").agg(F.array_sort(F.collect_set(F.struct("atom", colour.alias("c")))).alias("a"))
+    one = own.withColumn("a", F.filter("a", lambda x, i: (i == 0) | (x["atom"] != F.get("a", i - 1)["atom"])))  # of a repeated atom the least colour
     place = lambda ids, x: (F.array_position(ids, x) - 1).cast("int")
     none = F.array().cast("array<struct<to:int,kind:bigint>>")
-    near = lambda ids: F.transform("a", lambda x: F.coalesce(F.transform(F.filter(x["ns"], lambda n: F.array_contains(ids, n["dst"])), lambda n: F.struct(place(ids, n["dst"]).alias("to"), n["kind"].alias("kind"))), none))
-    flat = cut(whole.withColumn("ids", F.transform("a", lambda x: x["atom"])).select("mol", "ids", near(F.col("ids")).alias("near"), F.transform("a", lambda x: x["c"]).alias("c")))
+    of = lambda x: F.filter("ns", lambda n: (n["src"] == x) & F.array_contains("ids", n["dst"]))
+    near = F.transform("ids", lambda x: F.coalesce(F.transform(of(x), lambda n: F.struct(place(F.col("ids"), n["dst"]).alias("to"), n["kind"].alias("kind"))), none))
+    rows = one.join(ends.hint("merge"), "mol", "left").withColumn("ids", F.transform("a", lambda x: x["atom"])).select("mol", "ids", near.alias("near"), F.transform("a", lambda x: x["c"]).alias("c"))
+    return rows.withColumn("shape", F.struct(F.xxhash64("near", "c").alias("p"), F.xxhash64(F.lit("shape"), "c", "near").alias("q")))
+
+
+def _packed(flat: DataFrame) -> DataFrame:
+    """(mol, part, ids, near, core, colours): a row for each connected part of the rows of _flat."""
+    place = lambda ids, x: (F.array_position(ids, x) - 1).cast("int")
     # parts: each atom takes the least place among its own and its neighbours' until none changes
     least = lambda v: F.transform("near", lambda ns, i: F.array_min(F.concat(F.array(F.get(v, i)), F.transform(ns, lambda n: F.get(v, n["to"])))))
     places = F.transform("ids", lambda x, i: i)
@@ -88,10 +95,10 @@ def _settled(colours: Column, near: Column) -> Column:
     return F.aggregate(colours, colours, lambda c, _: next_(c))
 
 
-def _parts(atoms: DataFrame, bonds: DataFrame, by: tuple[str, ...], kinds: bool) -> DataFrame:
+def _parts(flat: DataFrame) -> DataFrame:
     """(mol, part, key, order): of each part a hash and the atoms in canonical order."""
     in_core = F.filter(F.transform("colours", lambda c, i: F.when(F.get("core", i), c)), lambda c: c.isNotNull())
-    left = cut(_packed(atoms, bonds, by, kinds).withColumn("path", F.array().cast("array<int>")).withColumn("tie", _tied(in_core)))
+    left = cut(_packed(flat).withColumn("path", F.array().cast("array<int>")).withColumn("tie", _tied(in_core)))
     done = []
     while True:
         done.append(left.where("tie is null").drop("tie", "core"))
@@ -123,11 +130,13 @@ def canonical(atoms: DataFrame, bonds: DataFrame, by: tuple[str, ...] = ATOM, ki
     rings stay tied, each of the least tied colour is tried; tries that refine worse, and those that an automorphism takes to the first, are left; the rest go on together until all ring atoms differ. Ties
     outside rings are broken any way. Connected parts go their own ways and are put together in the order of their keys. Colours are 64-bit hashes, so keys are right as long as no two of them clash. Molecules
     without atoms have no row; of atoms repeated with different columns one counts; a null mol joins nothing and loses its bonds. Tries are as many as the symmetry of rings asks for: six for a lone ring of six, sixty for a ball of sixty, very many only for
-    regular graphs that no molecule has.
+    regular graphs that no molecule has. All of this is done once for each shape, that is, for molecules whose atoms, by their numbers, stand in the same places; their rows are kept as Parquet in the shared folder.
     """
-    parts = _parts(atoms, bonds, by, kinds)
-    whole = parts.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("key", "part", "order"))).alias("p"))
-    return whole.select("mol", F.sha2(F.array_join(F.transform("p", lambda p: p["key"]), ";"), 256).alias("key"), F.flatten(F.transform("p", lambda p: p["order"])).alias("order"))
+    rows = stored(_flat(atoms, bonds, by, kinds))
+    shapes = stored(rows.groupBy("shape").agg(F.first("near").alias("near"), F.first("c").alias("c")).select(F.col("shape").alias("mol"), F.transform("c", lambda x, i: i).alias("ids"), "near", "c"))
+    whole = _parts(shapes).groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("key", "part", "order"))).alias("p"))
+    keys = whole.select(F.col("mol").alias("shape"), F.sha2(F.array_join(F.transform("p", lambda p: p["key"]), ";"), 256).alias("key"), F.flatten(F.transform("p", lambda p: p["order"])).alias("places"))
+    return rows.select("mol", "ids", "shape").join(stored(keys), "shape").select("mol", "key", F.transform("places", lambda i: F.get("ids", i)).alias("order"))
 
 
 def places(orders: DataFrame) -> DataFrame:
@@ -147,7 +156,7 @@ def template_maps(pairs: DataFrame, templates: DataFrame, targets: DataFrame) ->
 def best_targets(maps: DataFrame, contacts: DataFrame) -> DataFrame:
     """(template, target, contact_n, atoms): of the targets that fit a template the one with most contacts, the least of equals; contacts has target and residue, a row or more for each residue that it touches.
     A target without contacts has 0."""
-    n = contacts.groupBy("target").agg(F.countDistinct("residue").alias("contact_n"))
+    n = contacts.groupBy("target").agg(F.size(F.collect_set("residue")).cast("long").alias("contact_n"))
     known = maps.join(n, "target", "left").withColumn("contact_n", F.coalesce("contact_n", F.lit(0).cast("long")))
     best = known.groupBy("template").agg(F.max_by(F.struct("target", "contact_n", "atoms"), F.struct("contact_n", (-F.col("target")).alias("t"))).alias("b"))
     return best.select("template", "b.*")

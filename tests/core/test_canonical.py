@@ -117,3 +117,17 @@ def test_edge_cases(spark):
     assert found[1].key == found[2].key and found[3].key == found[None].key != found[1].key
     assert [dict(zip(found[1].order, found[2].order))[k] for k in (0, 1)] == [9, 7]
     assert [(r.place, r.atom) for r in C.places(C.canonical(a, b, ("z",))).where("mol = 3").collect()] == [(0, 0)]
+
+
+def test_graphs_of_one_shape_are_ordered_once(spark, monkeypatch):
+    """A hundred paths of three atoms, whatever their numbers, are two shapes; only these are refined."""
+    seen, parts = [], C._parts
+    monkeypatch.setattr(C, "_parts", lambda flat: seen.append(flat.count()) or parts(flat))
+    edges = [(k, 10 * k + a, 10 * k + b, "SINGLE") for k in range(100) for a, b in (((1, 2), (2, 3)) if k % 2 else ((1, 3), (2, 3), (3, 2)))]
+    bonds = spark.createDataFrame(edges, "mol long, src long, dst long, kind string")
+    atoms = bonds.selectExpr("mol", "explode(array(src, dst)) as atom")
+    found = C.canonical(atoms, bonds, ()).collect()
+    assert seen == [2] and len(found) == 100 and len({r.key for r in found}) == 1
+    assert all(r.order[0] // 10 == r.mol and {x % 10 for x in r.order} == {1, 2, 3} for r in found)
+    middle = {next(i for i, x in enumerate(r.order) if x % 10 == (2 if r.mol % 2 else 3)) for r in found}
+    assert len(middle) == 1
