@@ -91,3 +91,10 @@ def test_query_against_exact(spark):
     exact = {(r.query, r.target) for r in H.search(s.where("c_custkey % 100 = 0"), s, "c_custkey", "seq", exact=True).collect()}
     found = {(r.query, r.target) for r in Q.homology_hits(spark, "/root/testdata/sf0.001").collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact) and len(exact) >= 3
+
+
+def test_places_of_words_are_not_broadcast(spark):
+    """The planner takes exploded places for a small table; they are joined by shuffles all the same."""
+    df = spark.createDataFrame([("a", "ACDEFGHIKLMNPQRSTVWY"), ("b", "ACDEFGHIKLMNPQRSTVWW")], "id string, seq string")
+    plan = H.candidates(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [seed" in plan and "BroadcastHashJoin [seed" not in plan
