@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.clean import recode
+from quillon.plans.cut import finely
 
 #: Residues and their letters.
 LETTERS = {
@@ -54,9 +55,29 @@ def ligand_atoms(atoms: DataFrame, record: str = "record", resname: str = "resna
     return atoms.where((F.col(record) == "HETATM") & ~F.upper(F.coalesce(resname, F.lit(""))).isin(*WATER) & (F.coalesce(element, F.lit("")) != "H"))
 
 
+def _wide(width: int) -> tuple[int, int, int]:
+    """Of a column that wide: the first number that it can't hold in decimals, how many more it holds in letters of one case, and what their base-36 numbers start from."""
+    return 10**width, 26 * 36 ** (width - 1), 10 * 36 ** (width - 1)
+
+
+def pdb_number(n: Column, width: int) -> Column:
+    """A number in a fixed column: decimals, and from where they don't fit base 36 that starts with a letter (hybrid-36), first capital, then small; beyond that from the start again."""
+    first, more, base = _wide(width)
+    n = F.when(n < 0, n).otherwise(n % F.lit(first + 2 * more))
+    in_36 = lambda x: F.conv(x.cast("long").cast("string"), 10, 36)
+    return F.when(n < first, n.cast("string")).when(n < first + more, in_36(n - first + base)).otherwise(F.lower(in_36(n - first - more + base)))
+
+
+def pdb_number_read(text: Column, width: int) -> Column:
+    """The number that pdb_number wrote, null where there is none."""
+    first, more, base = _wide(width)
+    back = F.conv(text, 36, 10).cast("long") - base + first
+    return F.when(text.rlike(f"^[A-Z][0-9A-Z]{{{width - 1}}}$"), back).when(text.rlike(f"^[a-z][0-9a-z]{{{width - 1}}}$"), back + more).otherwise(text.try_cast("int")).cast("int")
+
+
 def pdb_line(record: Column, serial: Column, atom: Column, resname: Column, chain: Column, number: Column, x: Column, y: Column, z: Column, element: Column) -> Column:
-    """A line of a PDB file, by the fixed columns of the format."""
-    return F.format_string("%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s", record, serial, atom, resname, chain, number, x, y, z, element)
+    """A line of a PDB file, by the fixed columns of the format; serials over 99999 and numbers over 9999 as pdb_number says."""
+    return F.format_string("%-6s%5s %-4s %3s %1s%4s    %8.3f%8.3f%8.3f  1.00  0.00          %2s", record, pdb_number(serial, 5), atom, resname, chain, pdb_number(number, 4), x, y, z, element)
 
 
 def pdb_blocks(lines: DataFrame, groups: list[str], order: str, line: str) -> DataFrame:
@@ -102,9 +123,10 @@ def bond_features(kind: Column, aromatic: Column, conjugated: Column, rings: Col
 
 def bond_environment(atoms: DataFrame, bonds: DataFrame, mol: str, atom: str, src: str, dst: str, features: str, size: int = 24) -> DataFrame:
     """atoms and env: sums and then maxima of the features of each atom's bonds; zeros for an atom without any."""
-    ends = bonds.select(F.col(mol).alias("_mol"), F.col(features).alias("_f"), F.explode(F.array(src, dst)).alias("_atom"))  # features are made once for both ends
+    finely(atoms.sparkSession)
+    ends = bonds.select(F.col(mol).alias("_mol"), F.col(features).alias("_f"), F.explode(F.array(src, dst)).alias("_atom")).repartition("_mol", "_atom")  # features move as they are: sums and maxima are twice as wide
     env = ends.groupBy("_mol", "_atom").agg(F.array(*[F.sum(F.get("_f", k)) for k in range(size)], *[F.max(F.get("_f", k)) for k in range(size)]).alias("env"))
-    joined = atoms.join(env, (F.col(mol) == F.col("_mol")) & (F.col(atom) == F.col("_atom")), "left").drop("_mol", "_atom")
+    joined = atoms.join(env.hint("merge"), (F.col(mol) == F.col("_mol")) & (F.col(atom) == F.col("_atom")), "left").drop("_mol", "_atom")
     return joined.withColumn("env", F.coalesce("env", F.array_repeat(F.lit(0e0), 2 * size)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillon.functions.clean import typed_affinity
+from quillon.functions.molecules import pdb_number_read
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +102,7 @@ def structure_atoms(lines: DataFrame, groups: list[str], line: str = "line") ->
     marked = lines.withColumn("_model", F.sum(F.col(line).startswith("MODEL").cast("int")).over(w))
     rows = marked.where((F.col("_model") <= 1) & F.col(line).rlike("^(ATOM  |HETATM)"))
     number = lambda a: at(a, 8).try_cast("double")
-    return rows.select(*groups, at(1, 6).alias("record"), at(13, 4).alias("atom"), at(18, 3).alias("resname"), at(22, 1).alias("chain"), at(23, 4).try_cast("int").alias("res_seq"), number(31).alias("x"), number(39).alias("y"), number(47).alias("z"), at(77, 2).alias("element"))
+    return rows.select(*groups, at(1, 6).alias("record"), at(13, 4).alias("atom"), at(18, 3).alias("resname"), at(22, 1).alias("chain"), pdb_number_read(at(23, 4), 4).alias("res_seq"), number(31).alias("x"), number(39).alias("y"), number(47).alias("z"), at(77, 2).alias("element"))
 
 
 def mmcif_atoms(lines: DataFrame, groups: list[str], line: str = "line") -> DataFrame:

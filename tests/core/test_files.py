@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillon.functions import molecules as P
 from quillon.operators import codebook as C
 from quillon.sources import files as S
 from quillon.sources import logs as L
@@ -85,3 +86,14 @@ def test_stream_is_as_the_batches(spark, tmp_path):
         state = C.ema_step(state, C.batch_sums(C.assign(part, state, "label", "embedding"), "label", "embedding"), "label", epoch=k)
     key = lambda df: sorted((r.label, r.cid, round(r.cs, 9), [round(x, 9) for x in r.center], r.last_ep) for r in df.collect())
     assert key(CS.state(spark, str(tmp_path / "state"), 1)) == key(state)
+
+
+def test_wide_numbers_of_structures(spark, tmp_path):
+    """Serials and numbers that decimals can't hold keep the columns of a line."""
+    rows = [(99999, 9999), (100000, 10000), (150001, 12345), (43770015, 1223055), (43770016, 1223056), (1, -5)]
+    df = spark.createDataFrame(rows, "s long, r int")
+    line = P.pdb_line(F.lit("ATOM"), F.col("s"), F.lit("CA"), F.lit("ALA"), F.lit("A"), F.col("r"), F.lit(1.5), F.lit(-2.25), F.lit(3.0), F.lit("C"))
+    lines = df.select(line.alias("line")).collect()
+    assert {len(r.line) for r in lines} == {78} and [r.line[6:11] for r in lines[:2]] == ["99999", "A0000"] and lines[4].line[6:11] == "a0000"
+    found = S.structure_atoms(df.select(F.lit("f").alias("file"), F.col("s").alias("line_no"), line.alias("line")), ["file"]).collect()
+    assert sorted((r.res_seq, r.chain, r.x, r.y, r.z, r.element) for r in found) == sorted((r, "A", 1.5, -2.25, 3.0, "C") for _, r in rows)
