@@ -53,9 +53,10 @@ def top_mask(weights: Column, share: float) -> Column:
     if not 0 < share < 1:
         return weights
     k = F.greatest(F.lit(1), F.ceil(F.size(weights) * F.lit(share))).cast("int")
-    ranked = F.array_sort(F.transform(weights, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
-    kept = F.transform(F.slice(ranked, F.lit(1), k), lambda z: z["i"])
-    return F.transform(weights, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(0e0))
+    let = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # noqa: E731 - computed once, not for each number
+    ranked = lambda w: F.sort_array(F.transform(w, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
+    kept = lambda w: F.transform(F.slice(ranked(w), F.lit(1), k), lambda z: z["i"])
+    return let(weights, lambda w: let(kept(w), lambda js: F.transform(w, lambda x, i: F.when(F.array_contains(js, i), x).otherwise(0e0))))
 
 
 def contact_loss(pairs: DataFrame, group: str, value: str, positive: str, tie: list[str], k: int = 8, weight: float = 0.3, margin: float = 0.0) -> DataFrame:

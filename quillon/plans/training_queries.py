@@ -408,7 +408,9 @@ def masked_mean_max(spark, d):
 
 def top_share_mask(spark, d):
     w = T.top_mask(F.transform("embedding", lambda x: F.round(x.cast("double"), 2)), 0.1)
-    return table(spark, d, "embeddings").select("vec_id", F.size(F.filter(w, lambda x: x != 0)).cast("long").alias("kept"), F.round(F.aggregate(w, F.lit(0e0), lambda s, x: s + x), 4).alias("total"))
+    n = lambda w: F.size(F.filter(w, lambda x: x != 0)).cast("long")
+    both = F.get(F.transform(F.array(w), lambda w: F.struct(n(w).alias("kept"), F.round(F.aggregate(w, F.lit(0e0), lambda s, x: s + x), 4).alias("total"))), 0)
+    return table(spark, d, "embeddings").select("vec_id", both.alias("x")).select("vec_id", "x.kept", "x.total")
 
 
 def contact_top_loss(spark, d):
