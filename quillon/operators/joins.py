@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from quillon.plans.cut import finely
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
@@ -36,6 +38,7 @@ def good_entities(df: DataFrame, key: str, label: str, least: int, low: float, h
 
 def entity_semi_join(df: DataFrame, keys: dict[str, int], label: str, low: float, high: float) -> DataFrame:
     """Rows all of whose entities are good by the counts of df itself, in one pass."""
+    finely(df.sparkSession)
     return reduce(lambda rows, key: rows.join(good_entities(df, key, label, keys[key], low, high), key, "left_semi"), keys, df)
 
 

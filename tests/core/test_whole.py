@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.operators import aggregates as A
 from quillon.operators import codebook as V
 from quillon.operators import geometry as Y
+from quillon.operators import graph as G
 from quillon.operators import joins as J
 from quillon.operators import losses as L
 from quillon.operators import metrics as M
@@ -177,3 +178,16 @@ def test_ranks_and_encodings_of_large_groups(spark):
         flat = M.regression(df.withColumn("c", F.lit(1.0)), "c", "v", ["g"], large).collect()
         assert all(r.pearson == r.spearman == 0 for r in flat) and sum(r.n for r in flat) == 7
     assert {r.i: r.encoded for r in A.target_encoding(df, "g", "i", "v", 1.0, 1.0).collect()} == {0: 1, 1: 2, 2: 5 / 3, 3: 1, 6: 2}
+
+
+def test_many_partitions_at_the_start(spark):
+    """Distinct edges start from many partitions; a user's greater number stays."""
+    name, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    G.symmetric(spark.createDataFrame([(1, 2)], "src int, dst int"))
+    assert int(spark.conf.get(name)) >= 1024 and spark.conf.get(size) == f"{16 << 20}b"
+    spark.conf.set(size, "8m")
+    spark.conf.set(name, "5000")
+    G.symmetric(spark.createDataFrame([(1, 2)], "src int, dst int"))
+    assert spark.conf.get(name) == "5000" and spark.conf.get(size) == "8m"
+    spark.conf.unset(name)
+    spark.conf.unset(size)
