@@ -470,23 +470,34 @@ def equivalence_agreement(rows: DataFrame, group: str, code: str) -> DataFrame:
     return per_group.agg(F.count("*").alias("groups"), (F.sum("_d") / (F.count("*") + F.lit(1e-6))).alias("loss"))
 
 
+#: Of a pair loss: blocks of a task on each side at most, and the least number of parts from which they grow.
+SIDE, SPREAD = 8, 16
+
+
 def same_type_loss(points: DataFrame, kind: str, row: str, vector: str, block: int = 2048, batch: str | None = None) -> DataFrame:
     """Over all ordered pairs, a point with itself too, the mean of d^2 + 1 for equal kinds and exp(-d^2) for others, by 10000; one row, or with batch a row (batch, loss) for each batch, whose points meet only
-    one another. Blocks meet as matrices, so the work is that of the pairs of a batch; a null batch is none."""
+    one another. Blocks meet as matrices, each two parts once, so the work is half that of the pairs of a batch; a null batch is none."""
     key = F.lit(0) if batch is None else F.col(batch)
     p = points.select(key.alias("k"), F.col(kind).alias("t"), F.col(row).alias("i"), F.col(vector).alias("v")).where("k IS NOT NULL")
     counts = p.groupBy("k").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    dealt = p.join(counts.select("k", parts.alias("parts")), "k").withColumn("b", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left, right = dealt.select("k", "t", "v", F.col("b").alias("a"), others.alias("b")), dealt.select("k", "t", "v", others.alias("a"), "b")
+    blocks = F.ceil(F.col("n") / F.lit(block))
+    side = F.greatest(F.lit(1), F.least(F.lit(SIDE), F.floor(blocks / SPREAD)))  # blocks that a task has on each side
+    dealt = p.join(counts.select("k", F.ceil(blocks / side).cast("int").alias("parts")), "k").withColumn("b", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
+    left = dealt.select("k", "t", "v", F.col("b").alias("a"), F.explode(F.sequence(F.col("b"), F.col("parts") - 1)).alias("b"))
+    right = dealt.select("k", "t", "v", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("a"), "b")
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The sum over pairs of two parts; those of different parts count in both orders."""
         if a.empty or b.empty:
             return pd.DataFrame({"k": [key[0]], "s": [0.0]})
-        x, y = (np.array(z["v"].to_list(), np.float64) for z in (a, b))
-        d = np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T)
-        return pd.DataFrame({"k": [key[0]], "s": [float(np.where(a["t"].to_numpy()[:, None] == b["t"].to_numpy()[None, :], d + 1, np.exp(-d)).sum())]})
+        (x, t), (y, u) = ((np.array(z["v"].to_list(), np.float64), z["t"].to_numpy()) for z in (a, b))
+        total, xx, yy = 0.0, (x * x).sum(axis=1), (y * y).sum(axis=1)
+        for i in range(0, len(x), block):
+            for j in range(0, len(y), block):
+                m, n = slice(i, i + block), slice(j, j + block)
+                d = np.maximum(0.0, xx[m, None] + yy[None, n] - 2 * x[m] @ y[n].T)
+                total += float(np.where(t[m, None] == u[None, n], d + 1, np.exp(-d)).sum())
+        return pd.DataFrame({"k": [key[0]], "s": [total * (1 if key[1] == key[2] else 2)]})
 
     other = right.select(F.col("k").alias("k_2"), F.col("t").alias("t"), F.col("v").alias("v"), F.col("a").alias("a_2"), F.col("b").alias("b_2"))  # one lineage, two names
     met = left.groupBy("k", "a", "b").cogroup(other.groupBy("k_2", "a_2", "b_2")).applyInPandas(meet, f"k {p.schema['k'].dataType.simpleString()}, s double")

@@ -167,3 +167,20 @@ def test_a_shared_folder_is_asked_for_off_a_local_master():
 
     with pytest.raises(RuntimeError):
         U.shared_folder(Session())
+
+
+def test_pair_loss_of_many_blocks_on_a_side(spark):
+    """Where a task takes several blocks of both sides, parts meet once, and the loss is that of all pairs."""
+    rng = np.random.default_rng(3)
+    x, t = rng.normal(size=(200, 3)), rng.integers(0, 3, 200)
+    df = spark.createDataFrame([(int(k), i, v.tolist()) for i, (k, v) in enumerate(zip(t, x, strict=True))], "t int, i int, v array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    same = t[:, None] == t[None]
+    assert C.SIDE == 8 and C.same_type_loss(df, "t", "i", "v", 3).first()["loss"] == pytest.approx((same * (d + 1) + (~same) * np.exp(-d)).mean() / 10000)
+
+
+def test_top_mask_ranks_once(spark):
+    """The ranking of an array is bound once, not made for each of its numbers."""
+    df = spark.createDataFrame([([0.5, -1.0, 0.5, 0.25, 0.0, 0.5],)], "w array<double>").select(T.top_mask(F.col("w"), 0.3).alias("m"))
+    assert df.first().m == [0.5, 0.0, 0.5, 0.0, 0.0, 0.0]
+    assert " transform(array(transform(slice(" in df._jdf.queryExecution().analyzed().toString().replace("get(", " ")
