@@ -191,3 +191,29 @@ def test_many_partitions_at_the_start(spark):
     assert spark.conf.get(name) == "5000" and spark.conf.get(size) == "8m"
     spark.conf.unset(name)
     spark.conf.unset(size)
+
+
+def test_files_in_small_pieces(spark):
+    """A task that makes the edges of a table distinct reads a piece of it that doesn't grow with the table; a user's smaller pieces stay."""
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.unset(name)
+    registry.queries()["self_loops"](spark, DATA)
+    assert spark.conf.get(name) == f"{16 << 20}b"
+    spark.conf.set(name, "8MB")
+    G.symmetric(spark.createDataFrame([(1, 2)], "src int, dst int"))
+    assert spark.conf.get(name) == "8MB"
+    spark.conf.unset(name)
+
+
+def test_edges_are_made_distinct_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (3, 2), (None, 1), (4, None)], "src long, dst long")
+    assert sorted(map(tuple, G.symmetric(edges).collect())) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+    assert sorted(map(tuple, G.with_loops(edges).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (3, 3)]
+    plan = lambda name: registry.queries()[name](spark, DATA)._jdf.queryExecution()
+    assert plan("symmetrize").optimizedPlan().toString().count("Aggregate [") == 2  # the pairs and the degrees
+    assert plan("neighbor_mean").optimizedPlan().toString().count("Aggregate [") == 4  # the pairs, the nodes twice, the means
+
+
+def test_edges_are_not_broadcast(spark):
+    plan = registry.queries()["one_way_edges"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
