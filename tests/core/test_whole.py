@@ -217,3 +217,24 @@ def test_edges_are_made_distinct_once(spark):
 def test_edges_are_not_broadcast(spark):
     plan = registry.queries()["one_way_edges"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_propagation_makes_the_nodes_once(spark):
+    """The nodes are not made anew for each step, and the values are those of the normalised matrix."""
+    rng, made = np.random.default_rng(5), spark.sparkContext.accumulator(0)
+
+    def node(i):
+        made.add(1)
+        return i, float(i)
+
+    a = np.triu(rng.random((12, 12)) < 0.3, 1)
+    a[:, 11] = False
+    a = a + a.T
+    edges = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(a))], "src long, dst long")
+    values = spark.createDataFrame(spark.sparkContext.parallelize(range(12), 2).map(node), "n long, x double")
+    root = 1 / np.sqrt(np.maximum(a.sum(axis=0), 1))
+    wanted = np.linalg.matrix_power(root[:, None] * a * root, 3) @ np.arange(12)
+    got = {r.n: r.x for r in G.propagate(edges, values, "n", "x", 3).collect()}
+    assert [got[i] for i in range(12)] == pytest.approx(wanted.tolist()) and len(got) == 12
+    assert made.value <= 2 * 12
+    assert {r.n: r.x for r in G.propagate(edges, values, "n", "x", 0).collect()} == {i: float(i) for i in range(12)}
