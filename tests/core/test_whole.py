@@ -238,3 +238,30 @@ def test_propagation_makes_the_nodes_once(spark):
     assert [got[i] for i in range(12)] == pytest.approx(wanted.tolist()) and len(got) == 12
     assert made.value <= 2 * 12
     assert {r.n: r.x for r in G.propagate(edges, values, "n", "x", 0).collect()} == {i: float(i) for i in range(12)}
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_hops_write_what_further_steps_start_from(spark, monkeypatch, most):
+    written = []
+    for name in ("cut", "stored"):
+        monkeypatch.setattr(G, name, lambda df, *rest, real=getattr(G, name): written.append(1) or real(df, *rest))
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 40, (45, 2))] + [(0, i) for i in range(40, 50)] + [(41, 0)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    wanted = set()
+    for n in near:
+        seen = last = {n}
+        for hop in range(1, most + 1):
+            last = set().union(*(near[m] for m in last)) - seen
+            seen = seen | last
+            wanted |= {(n, m, hop) for m in last}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    found = [tuple(r) for r in G.hops(df, most).select("src", "dst", "hop").collect()]
+    assert len(found) == len(wanted) and set(found) == wanted and len(written) == max(1, most - 1)
+    if most == 3:
+        weights = {(r.src, r.dst, r.kind): r.weight for r in G.weighted_hops(df).collect()}
+        assert weights == {(a, b, k): {1: 1.0, 2: 0.5, 3: 0.3}[k] for a, b, k in wanted} | {(n, n, 0): 1.0 for n in near}
