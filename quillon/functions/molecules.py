@@ -75,9 +75,10 @@ def pdb_number_read(text: Column, width: int) -> Column:
     return F.when(text.rlike(f"^[A-Z][0-9A-Z]{{{width - 1}}}$"), back).when(text.rlike(f"^[a-z][0-9a-z]{{{width - 1}}}$"), back + more).otherwise(text.try_cast("int")).cast("int")
 
 
-def pdb_line(record: Column, serial: Column, atom: Column, resname: Column, chain: Column, number: Column, x: Column, y: Column, z: Column, element: Column) -> Column:
-    """A line of a PDB file, by the fixed columns of the format; serials over 99999 and numbers over 9999 as pdb_number says."""
-    return F.format_string("%-6s%5s %-4s %3s %1s%4s    %8.3f%8.3f%8.3f  1.00  0.00          %2s", record, pdb_number(serial, 5), atom, resname, chain, pdb_number(number, 4), x, y, z, element)
+def pdb_line(record: Column, serial: Column, atom: Column, resname: Column, chain: Column, number: Column, x: Column, y: Column, z: Column, element: Column, plain: bool = False) -> Column:
+    """A line of a PDB file, by the fixed columns of the format; serials over 99999 and numbers over 9999 as pdb_number says, or, if plain, in decimals all the same, which shift the columns after them."""
+    fixed = (lambda n, width: n.cast("string")) if plain else pdb_number
+    return F.format_string("%-6s%5s %-4s %3s %1s%4s    %8.3f%8.3f%8.3f  1.00  0.00          %2s", record, fixed(serial, 5), atom, resname, chain, fixed(number, 4), x, y, z, element)
 
 
 def pdb_blocks(lines: DataFrame, groups: list[str], order: str, line: str) -> DataFrame:

@@ -97,3 +97,17 @@ def test_wide_numbers_of_structures(spark, tmp_path):
     assert {len(r.line) for r in lines} == {78} and [r.line[6:11] for r in lines[:2]] == ["99999", "A0000"] and lines[4].line[6:11] == "a0000"
     found = S.structure_atoms(df.select(F.lit("f").alias("file"), F.col("s").alias("line_no"), line.alias("line")), ["file"]).collect()
     assert sorted((r.res_seq, r.chain, r.x, r.y, r.z, r.element) for r in found) == sorted((r, "A", 1.5, -2.25, 3.0, "C") for _, r in rows)
+
+
+def test_block_text_of_wide_serials(spark, tmp_path):
+    """The query writes serials over 99999 and residue numbers over 9999 as its SQL does."""
+    import duckdb
+
+    from quillon.plans import structure_queries as Q
+
+    rows = [(v, v % 3, [0.1 * (v % 7), -1.5, 0.25]) for v in (5, 149, 99999, 100000, 100001, 1499999, 1500000, 1500001)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    wanted = con.sql(Q.ORACLES["pdb_block_text"]).fetchall()
+    assert sorted(tuple(r) for r in Q.pdb_block_text(spark, str(tmp_path)).select("structure", "chain", "res_seq", "block").collect()) == sorted(wanted) and len(wanted) == 7
