@@ -130,13 +130,14 @@ def canonical(atoms: DataFrame, bonds: DataFrame, by: tuple[str, ...] = ATOM, ki
     rings stay tied, each of the least tied colour is tried; tries that refine worse, and those that an automorphism takes to the first, are left; the rest go on together until all ring atoms differ. Ties
     outside rings are broken any way. Connected parts go their own ways and are put together in the order of their keys. Colours are 64-bit hashes, so keys are right as long as no two of them clash. Molecules
     without atoms have no row; of atoms repeated with different columns one counts; a null mol joins nothing and loses its bonds. Tries are as many as the symmetry of rings asks for: six for a lone ring of six, sixty for a ball of sixty, very many only for
-    regular graphs that no molecule has. All of this is done once for each shape, that is, for molecules whose atoms, by their numbers, stand in the same places; their rows are kept as Parquet in the shared folder.
+    regular graphs that no molecule has. All of this is done once for each shape, that is, for molecules whose atoms, by their numbers, stand in the same places; their rows are kept as Parquet in the shared folder. These
+    files are small where rows are alike, so Spark would take them for tables to broadcast: they are joined by sorting, here and below.
     """
     rows = stored(_flat(atoms, bonds, by, kinds))
     shapes = stored(rows.groupBy("shape").agg(F.first("near").alias("near"), F.first("c").alias("c")).select(F.col("shape").alias("mol"), F.transform("c", lambda x, i: i).alias("ids"), "near", "c"))
     whole = _parts(shapes).groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("key", "part", "order"))).alias("p"))
     keys = whole.select(F.col("mol").alias("shape"), F.sha2(F.array_join(F.transform("p", lambda p: p["key"]), ";"), 256).alias("key"), F.flatten(F.transform("p", lambda p: p["order"])).alias("places"))
-    return rows.select("mol", "ids", "shape").join(stored(keys), "shape").select("mol", "key", F.transform("places", lambda i: F.get("ids", i)).alias("order"))
+    return rows.select("mol", "ids", "shape").join(stored(keys).hint("merge"), "shape").select("mol", "key", F.transform("places", lambda i: F.get("ids", i)).alias("order"))
 
 
 def places(orders: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def template_maps(pairs: DataFrame, templates: DataFrame, targets: DataFrame) ->
     place; both sides are of canonical, with the same by and kinds. Other pairs, such as those whose counts differ, have no row; repeated pairs are repeated."""
     left = templates.select(F.col("mol").alias("template"), "key", F.col("order").alias("_a"))
     right = targets.select(F.col("mol").alias("target"), F.col("key").alias("_key"), F.col("order").alias("_b"))
-    fit = pairs.select("template", "target").join(left, "template").join(right, "target").where("key = _key")
+    fit = pairs.select("template", "target").join(left.hint("merge"), "template").join(right.hint("merge"), "target").where("key = _key")
     return fit.select("template", "target", F.transform("_a", lambda a, i: F.struct(a.alias("template_atom"), F.get("_b", i).alias("target_atom"))).alias("atoms"))
 
 
@@ -157,6 +158,6 @@ def best_targets(maps: DataFrame, contacts: DataFrame) -> DataFrame:
     """(template, target, contact_n, atoms): of the targets that fit a template the one with most contacts, the least of equals; contacts has target and residue, a row or more for each residue that it touches.
     A target without contacts has 0."""
     n = contacts.groupBy("target").agg(F.size(F.collect_set("residue")).cast("long").alias("contact_n"))
-    known = maps.join(n, "target", "left").withColumn("contact_n", F.coalesce("contact_n", F.lit(0).cast("long")))
+    known = maps.join(n.hint("merge"), "target", "left").withColumn("contact_n", F.coalesce("contact_n", F.lit(0).cast("long")))
     best = known.groupBy("template").agg(F.max_by(F.struct("target", "contact_n", "atoms"), F.struct("contact_n", (-F.col("target")).alias("t"))).alias("b"))
     return best.select("template", "b.*")

@@ -131,3 +131,12 @@ def test_graphs_of_one_shape_are_ordered_once(spark, monkeypatch):
     assert all(r.order[0] // 10 == r.mol and {x % 10 for x in r.order} == {1, 2, 3} for r in found)
     middle = {next(i for i, x in enumerate(r.order) if x % 10 == (2 if r.mol % 2 else 3)) for r in found}
     assert len(middle) == 1
+
+
+def test_nothing_is_broadcast(spark):
+    """Tables of alike molecules are small as files, however many rows they have; they are joined by sorting."""
+    from quillon.plans import molecule_queries as Q
+
+    for query in (Q.template_match, Q.best_ligand, Q.isomorphism_classes):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
