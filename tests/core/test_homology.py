@@ -98,3 +98,44 @@ def test_places_of_words_are_not_broadcast(spark):
     df = spark.createDataFrame([("a", "ACDEFGHIKLMNPQRSTVWY"), ("b", "ACDEFGHIKLMNPQRSTVWW")], "id string, seq string")
     plan = H.candidates(df, df)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [seed" in plan and "BroadcastHashJoin [seed" not in plan
+
+
+def test_scores_are_those_of_alignments():
+    """Bands of all widths, beside and within the sequences; the plain scores and the whole alignments agree."""
+    rng = random.Random(7)
+    texts = families(rng, 30, 40) + ["A" * 50, "AC" * 20, "A", "ACDEFGHIKL" * 4]
+    pairs = [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(400)]
+    q, t = [texts[a] for a, _ in pairs], [texts[b] for _, b in pairs]
+    low = np.array([rng.randint(1 - len(x), len(y) - 1) for x, y in zip(q, t)])
+    high = np.array([rng.randint(a, len(y) - 1) for a, y in zip(low, t)])
+    whole, letters = H.aligned(q, t, low, high), [H._letters(s) for s in (q, t)]
+    sizes = [np.diff(at) for _, at in letters]
+    found = H.scores(letters[0][0], letters[0][1][:-1], sizes[0], letters[1][0], letters[1][1][:-1], sizes[1], low, high)
+    for name, values in found.items():
+        assert (values == whole[name]).all(), name
+
+
+@pytest.mark.parametrize("met", [1 << 20, 300, 1])
+def test_blocks_find_the_candidates(spark, monkeypatch, met):
+    """Within two blocks the pairs and diagonals are those of the table of places, with frequent words, repeated names, other letters and few places held at once."""
+    monkeypatch.setattr(H, "MET", met)
+    rng = random.Random(3)
+    texts = families(rng, 12, 50) + ["A" * 40, "A" * 30 + "C" * 9, "ACDE", "AC", "日本語" * 5, "x日本語y\0\0日本語", "\0" * 9, "ACDEFGHIKLMNPQ" * 3]
+    names = sorted([f"s{i % (len(texts) - 2)}" for i in range(len(texts))])
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(zip(names, texts)), "id string, seq string")
+    wanted = {(r.query, r.target): (r.low, r.high) for r in H.candidates(df, df).collect()}
+    words = [x[i : i + H.WORD] for x in texts for i in range(len(x) - H.WORD + 1)]
+    often = [w for w in set(words) if words.count(w) * H.FREQUENT > len(words)]
+    ids = sorted(set(names))
+    number = np.array([ids.index(x) for x in names])
+    found = [(ids[a], ids[b], low, high) for part in H._near(texts, texts, number, number, often, H.WORD, H.SEEDS, H.BAND) for a, b, low, high in zip(*part)]
+    assert len(found) == len(wanted) > 60 and {(a, b): (low, high) for a, b, low, high in found} == wanted
+
+
+def test_places_that_meet_are_not_shuffled(spark):
+    """What a search moves are sequences, in blocks; no row is made of two places that meet."""
+    df = spark.createDataFrame([(f"s{i}", "ACDEFGHIKLMNPQRSTVWY" * 3) for i in range(5)], "id string, seq string")
+    found = H.search(df, df, "id", "seq")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FlatMapCoGroups" in plan and found.count() == 25
