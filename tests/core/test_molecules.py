@@ -202,3 +202,30 @@ def test_molecules_are_rows(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     rings = [{(b.src, b.dst): b.ring for b in r.bonds} for r in rows.orderBy("mol").collect()[-3:]]
     assert rings == [{}, {(0, 1): None}, {(0, 1): 4, (0, 2): 4, (2, 3): 4, (1, 3): 4}]
+
+
+def test_rows_of_atoms_from_lines(spark, monkeypatch):
+    """Atoms in one pass are those of the arrays, for sound, faulty, empty, null and repeated lines, in batches of any size; a line is parsed once for a batch."""
+    import pyarrow as pa
+
+    from quillon.functions import smiles as S
+    from quillon.plans import molecule_queries
+
+    texts = [*GROUP_LINES, "C12.C12", "C1.C1", "C(C1)CC1", "[13CH3][NH3+].[Cl-]", "C(", "", None, "[Xx]", *GROUP_LINES]
+    lines = spark.createDataFrame([(None if i == 3 else i // 2, x) for i, x in enumerate(texts)], "id long, line string")
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    wanted = key(M.unpacked(M.packed_ring_features(M.packed_graphs(lines, "id", "line")), "atoms").select("mol", *S.ATOM_ROWS))
+    found = M.ringed_atoms(lines, "id", "line")
+    assert key(found) == wanted and key(M.ringed_atoms(lines.where("line is null"), "id", "line")) == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" not in plan
+    plan = molecule_queries.molecule_atoms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    monkeypatch.setattr(S, "BATCH", 7)
+    read, parse = [], S._read
+    monkeypatch.setattr(S, "_read", lambda *a: read.append(1) or parse(*a))
+    some = ["CCO", None, "c1ccccc1", "CCO", "CCO"]
+    parts = list(S.atom_rows(("atom", "z", "ring_size"))([pa.RecordBatch.from_arrays([pa.array(list("abcde")), pa.array(some, pa.string())], ["mol", "line"])]))
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    wanted = lambda m: [(m, 0, 6, 0), (m, 1, 6, 0), (m, 2, 8, 0)]
+    assert rows == [*wanted("a"), *[("c", k, 6, 6) for k in range(6)], *wanted("d"), *wanted("e")] and len(read) == 2 and {len(p) for p in parts[:-1]} == {7}
