@@ -229,3 +229,13 @@ def test_rows_of_atoms_from_lines(spark, monkeypatch):
     rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
     wanted = lambda m: [(m, 0, 6, 0), (m, 1, 6, 0), (m, 2, 8, 0)]
     assert rows == [*wanted("a"), *[("c", k, 6, 6) for k in range(6)], *wanted("d"), *wanted("e")] and len(read) == 2 and {len(p) for p in parts[:-1]} == {7}
+
+
+def test_bonds_of_a_line_are_flat_numbers():
+    """A line that is faulty late leaves none of its bonds among those of its batch; ends in two trees mark all bonds of the line, not those of others."""
+    from quillon.functions import smiles as S
+
+    bonds = ([], [], [], [])
+    read = lambda line: S._read(every := S.TOKENS.findall(line), [S._kind(t) for t in every], bonds)
+    assert [read(x) for x in ("CCO", "C1CC1C(", "C1CC1=", "CC1C", "C12CC12", "C.C1CC1", "C1.C1C")] == [None, "branch", "bond", "ring", "ring", None, None]
+    assert list(zip(*bonds[:3])) == [(0, 1, ""), (1, 2, ""), (1, 2, ""), (2, 3, ""), (1, 3, ""), (0, 1, ""), (1, 2, "")] and set(bonds[3]) == {2, 3, 4, 5, 6}
